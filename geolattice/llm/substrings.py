@@ -17,13 +17,15 @@ SKETCH_ROWS, COUNTERS_PER_WINDOW, BLOCK = 2, 4, 1 << 22
 BYTES_PER_WINDOW = 6
 #: Windows found repeated that one bucket of the second pass expects.
 GROUP_WINDOWS = 1 << 18
+#: Kind of a message that comes back as it is.
+NOTE = SKETCH_ROWS + 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 class _Chunk:
-    """Windows of a chunk: two hashes of 64 bits, the document's rank by id, and word places."""
+    """Windows of a chunk: two hashes of 64 bits (the second only if wanted), the document's rank by id, and word places."""
 
-    def __init__(self, t: pa.Table, width: int):
+    def __init__(self, t: pa.Table, width: int, exact: bool = True):
         order = np.argsort(_ids(t), kind="stable")
         self.t = t.take(pa.array(order))
         self.ids = _ids(self.t)
@@ -31,37 +33,44 @@ class _Chunk:
         for s in T.slices(self.t["text"]):
             w = T.words(s)
             at = T.whole_windows(w, width)
-            first.append(T.window_hashes(T.span_hashes(s.data, w.start, w.end, 1), width, 1)[at])
-            second.append(T.window_hashes(T.span_hashes(s.data, w.start, w.end, 2), width, 2)[at])
-            rank.append(w.doc[at] + s.first)
-            self.parts.append((s, w, at))
+            words = T.span_hashes(s.data, w.start, w.end)
+            first.append(T.window_hashes(words, width, 1)[at])
+            if exact:
+                second.append(T.window_hashes(T.mix(words), width, 2)[at])
+                rank.append(w.doc[at] + s.first)
+                self.parts.append((s, w, at))
         self.first, self.second, self.rank = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((first, np.uint64), (second, np.uint64), (rank, np.int64)))
 
     @property
     def key(self) -> int:
         return self.t["chunk"][0].as_py()
 
-    def doc(self) -> np.ndarray:
-        return self.ids[self.rank]
-
 
 def _ids(t: pa.Table) -> np.ndarray:
     return t["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
 
 
-def _cells(c: _Chunk, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each window in a row of the sketch, and the counters in order, each once."""
-    cell = T.mix(c.first ^ np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (1 << 64) - 1)) % np.uint64(width)
-    return cell, np.unique(cell)
+def _cells(c: _Chunk, row: int, blocks: int) -> np.ndarray:
+    """The counter of each window in a row of the sketch: its block, then its place in the block."""
+    h = T.mix(c.first ^ np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (1 << 64) - 1))
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(BLOCK) + (h & np.uint64(BLOCK - 1))
+
 
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters in order, each once, and whether the chunk has it twice or more."""
+    own = np.sort(cells)
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.flatnonzero(new)
+    return own[at], np.diff(at, append=len(own)) > 1
 
-def _sketch(c: _Chunk, width: int) -> Iterable[tuple[int, int, int, bytes]]:
+
+def _sketch(c: _Chunk, blocks: int) -> Iterable[tuple[int, int, int, bytes]]:
     for row in range(SKETCH_ROWS):
-        cell, _ = _cells(c, row, width)
-        own, times = np.unique(cell, return_counts=True)
+        own, twice = _distinct(_cells(c, row, blocks))
         for block, part in C.split((own // np.uint64(BLOCK)).astype(np.int64)):
             within = (own[part] - np.uint64(block * BLOCK)).astype(np.uint32)
-            yield block, c.key, row, C.pack(C.deltas(within), np.packbits(times[part] > 1))
+            yield block, c.key, row, C.pack(C.deltas(within), np.packbits(twice[part]))
 
 
 def _merge_sketches(bodies: list[bytes]) -> list[bytes]:
@@ -75,31 +84,43 @@ def _merge_sketches(bodies: list[bytes]) -> list[bytes]:
     return [C.pack(np.packbits(total[at] >= 2)) for at in cells]
 
 
-def _estimated(c: _Chunk, answers: pa.Table, width: int) -> np.ndarray:
-    """Which windows every row of the sketch counts twice or more."""
-    out = np.ones(len(c.first), bool)
+def _estimated(c: _Chunk, answers: pa.Table, blocks: int) -> np.ndarray:
+    """The windows that every row of the sketch counts twice or more."""
+    at = np.arange(len(c.first))
     for row in range(SKETCH_ROWS):
-        cell, own = _cells(c, row, width)
+        cell = _cells(c, row, blocks)
+        own, _ = _distinct(cell)
         got = C.replies(answers, row)
         hot = np.zeros(len(own), bool)
         for block, part in C.split((own // np.uint64(BLOCK)).astype(np.int64)):
             hot[part] = np.unpackbits(C.unpack(got[block])[0], count=part.stop - part.start).view(bool)
-        out &= hot[np.searchsorted(own, cell)]
-    return out
+        own, cell = own[hot], cell[at]
+        at = at[own[np.minimum(np.searchsorted(own, cell), len(own) - 1)] == cell] if len(own) else at[:0]
+    return at
+
+
+def _sorted_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A stable order by both hashes; by the first alone where no two differ in the second only."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+    return order
 
 
 class _Groups:
-    """The chunk's windows estimated repeated, each text once: hashes in order and the smallest id here."""
+    """The chunk's windows estimated repeated, each text once: hashes in order and the document of the smallest id here."""
 
-    def __init__(self, c: _Chunk, hot: np.ndarray, buckets: int):
-        self.at = np.flatnonzero(hot)
-        a, b, r = c.first[hot], c.second[hot], c.rank[hot]
-        order = np.lexsort((r, b, a))
+    def __init__(self, c: _Chunk, at: np.ndarray, buckets: int):
+        self.at = at
+        a, b, r = c.first[at], c.second[at], c.rank[at]
+        order = _sorted_hashes(a, b)
         a, b, r = a[order], b[order], r[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.group = np.empty(len(a), np.int64)
         self.group[order] = np.cumsum(new) - 1
+        # ranks grow with the place in the chunk, so the first of a group is the least
         self.first, self.second, self.least = a[new], b[new], r[new]
         self.bucket = ((self.first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -108,11 +129,17 @@ def _group_question(c: _Chunk, g: _Groups) -> Iterable[tuple[int, int, int, byte
     for bucket, part in C.split(g.bucket):
         docs, which = np.unique(g.least[part], return_inverse=True)
         yield bucket, c.key, SKETCH_ROWS, C.pack(C.deltas(g.first[part]), g.second[part], C.deltas(c.ids[docs]), which.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32))
+    # a note to itself, so that the last look need not ask the sketch again
+    hot = np.zeros(len(c.first), bool)
+    hot[g.at] = True
+    yield c.key, c.key, NOTE, C.pack(np.packbits(hot))
 
 
 def _merge_groups(bodies: list[bytes]) -> list[bytes]:
     """Tells for each window of each chunk whether some other chunk has it in a document with a smaller id."""
     first, second, doc, sizes = [], [], [], []
+    if len(C.unpack(bodies[0])) == 1:  # notes
+        return bodies
     for body in bodies:
         delta, b, ids, which = C.unpack(body)
         first.append(np.cumsum(delta, dtype=np.uint64))
@@ -178,20 +205,21 @@ def drop_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     """
     parts, total = C.chunked(docs, doc_id, text, chunk_bytes)
     expected = max(total // BYTES_PER_WINDOW, 1)
-    cells = max(expected * COUNTERS_PER_WINDOW, 1 << 16)
+    blocks = max(1, expected * COUNTERS_PER_WINDOW // BLOCK)
     buckets = max(1, expected // GROUP_WINDOWS)
-    counted = C.answer(C.ask(parts, lambda t: _sketch(_Chunk(t, width), cells)), _merge_sketches)
+    counted = C.answer(C.ask(parts, lambda t: _sketch(_Chunk(t, width, exact=False), blocks)), _merge_sketches)
 
-    def regroup(t: pa.Table, a: pa.Table) -> tuple[_Chunk, _Groups]:
+    def regroup(t: pa.Table, a: pa.Table) -> Iterable[tuple[int, int, int, bytes]]:
         c = _Chunk(t, width)
-        return c, _Groups(c, _estimated(c, a, cells), buckets)
+        return _group_question(c, _Groups(c, _estimated(c, a, blocks), buckets))
 
-    grouped = C.answer(C.ask(parts, lambda t, a: _group_question(*regroup(t, a)), counted), _merge_groups)
+    grouped = C.answer(C.ask(parts, regroup, counted), _merge_groups)
 
     def finish(t: pa.Table, a: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()))})
-        c, g = regroup(t, a)
-        return _result(c, _removed(c, g, a), width)
+        c = _Chunk(t, width)
+        hot = np.unpackbits(C.unpack(C.replies(a, NOTE)[c.key])[0], count=len(c.first))
+        return _result(c, _removed(c, _Groups(c, np.flatnonzero(hot), buckets), a), width)
 
-    return parts.groupBy("chunk").cogroup(counted.unionByName(grouped).groupBy("chunk")).applyInArrow(finish, RESULT)
+    return parts.groupBy("chunk").cogroup(grouped.groupBy("chunk")).applyInArrow(finish, RESULT)

@@ -167,10 +167,7 @@ def whole_windows(w: Words, width: int) -> np.ndarray:
 
 def covered(n: int, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     """Which of n places lie in a run of ``width`` places that begins at one of ``at``."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, at, 1)
-    np.add.at(d, at + width, -1)
-    return np.cumsum(d[:n]) > 0
+    return np.cumsum((np.bincount(at, minlength=n + 1) - np.bincount(at + width, minlength=n + 1))[:n]) > 0
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

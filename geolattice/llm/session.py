@@ -34,3 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -101,6 +101,8 @@ class Automaton:
         The walk starts afresh after every pair of adjacent words that no item has, since no match of two words or more spans it;
         stretches too short for a window aren't walked.
         """
+        if not words:
+            return np.zeros((0, 2), np.int64), set()
         ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
         known = ids >= 0
         pair = (ids[:-1] << 32) | ids[1:]

@@ -1,0 +1,134 @@
+"""Personal data, piece ids, token files and the pipeline."""
+
+import hashlib
+import re
+import zlib
+
+import cases
+import numpy as np
+import pyarrow as pa
+import pytest
+from geolattice.llm import pieces, pii, text, tokenfiles
+from geolattice.llm.session import vocabulary
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+MODEL, BPE = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
+
+
+@pytest.fixture(params=["odd", "empty", "table"])
+def docs(request, spark):
+    odd = cases.frame(spark)
+    return {"odd": odd, "empty": odd.limit(0)}.get(request.param) or spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def luhn(s):
+    return sum((2 * int(c) - 9 * (c > "4")) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+}
+
+
+def base(t):
+    found = [(m.start(), k, m.end(), kind) for k, (kind, (p, ok)) in enumerate(KINDS.items()) for m in re.finditer(p, t or "") if ok(m[0])]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def test_personal_data(docs):
+    found = pii.find_personal_data(docs).select("doc_id", "text", "n_email", "n_card", pii.listed(F.col("base_spans")).alias("b"), pii.listed(F.col("all_spans")).alias("a"))
+    for r in found.collect():
+        want = base(r["text"])
+        assert r["b"] == ",".join(want) and r["n_email"] == sum(x.startswith("email") for x in want)
+        assert [x for x in r["a"].split(",") if x.split(":")[0] in KINDS] == want
+    for r in pii.redacted(docs).collect():
+        assert not base(r["text"])
+
+
+def test_added_spans(spark):
+    rows = ["call me at (212) 555-0199 now", "write to ann [at] host [dot] com", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "on 2024-05-17 it was", "ISBN 978-3-16-148410-0", "plain text of words", "order 12345678"]
+    found = [r[0] for r in pii.find_personal_data(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").select(pii.listed(F.col("all_spans"))).collect()]
+    assert found == ["number:11:25", "address:9:32", "secret:9:49", "", "", "", ""]
+
+
+def test_pieces_match_the_library(docs):
+    from sentencepiece import SentencePieceProcessor
+
+    lib = SentencePieceProcessor(model_file=MODEL)
+    for r in pieces.encode_pieces(docs, MODEL, dropout=0.0).collect():
+        if "▁" not in (r["text"] or ""):
+            assert r["ids"] == lib.encode(r["text"] or "")
+
+
+def test_pieces_with_dropout_are_lossless_and_vary(docs):
+    given = docs.drop("kept")
+    one, again, other = (pieces.encode_pieces(given, MODEL, seed=s) for s in (1, 1, 2))
+    assert sorted(map(str, one.collect())) == sorted(map(str, again.collect()))
+    back = pieces.decode_pieces(one.withColumnRenamed("text", "given"), MODEL)
+    assert back.filter(F.coalesce("given", F.lit("")) != F.col("text")).isEmpty()
+    assert pieces.encode_pieces(given, MODEL, digest=True).filter("not lossless").isEmpty()
+    if not given.isEmpty():
+        assert sorted(map(str, one.collect())) != sorted(map(str, other.collect()))
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_agendas_agree(dropout):
+    own = pieces.Pieces(MODEL)
+    words = sorted({" " + w for t in cases.TEXTS for w in cases.words(t)})[:400]
+    keys = np.arange(len(words)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7)
+    symbols = [own.char[[ord(c) for c in w]] for w in words]
+    word, _, ids = pieces.segment(own, np.concatenate(symbols), np.array([len(s) for s in symbols]), keys, dropout)
+    for k, s in enumerate(symbols):
+        assert ids[word == k].tolist() == pieces.segment_one(own, s.tolist(), int(keys[k]), dropout)[1::2]
+
+
+@pytest.mark.parametrize("ids", [[], [7], [0] * 5000, list(range(3000)), [1, 2, 3, 4_000_000_000, 5] * 300, np.random.default_rng(1).integers(0, 50257, 9999).tolist()])
+def test_blocks_round_trip(ids):
+    a = np.array(ids, np.uint32)
+    body, index = tokenfiles.write_blocks(a)
+    assert tokenfiles.read_blocks(body, index).tolist() == a.tolist()
+
+
+def test_token_files(docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BPE)
+    got = sorted((r.asDict() for r in tokenfiles.read_tokens(tokenfiles.write_tokens(docs, BPE, file_bytes=5000)).collect()), key=lambda r: r["start"])
+    given = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert [r["doc_id"] for r in got] == sorted(given)
+    start = 0
+    for r in got:
+        ids = [*lib.encode(given[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r["doc_id"]
+        start += len(ids)
+
+
+def test_slices_see_nulls_and_offsets():
+    column = pa.array(["ab", None, "", "cd e", "f"])[1:4]
+    s = next(iter(text.slices(column)))
+    assert s.data.tobytes() == b"cd e" and s.offsets.tolist() == [0, 0, 0, 4] and text.words(s).per_doc.tolist() == [0, 0, 2]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SMALL)
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert out.count() > 0.5 * given.count() and out.join(given, "doc_id", "left_anti").isEmpty()
+    odd = cases.frame(spark, extra=False)
+    for table in (odd, odd.limit(0)):
+        df = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, SMALL)
+            assert df.columns == odd.columns
+        texts = [r[0] for r in df.select("text").collect()]
+        assert all(not base(t) for t in texts) and len({hashlib.sha256((t or "").encode()).digest() for t in texts}) == len(texts)
+        corpus_pipeline.STAGES[-1][1](spark, df, SMALL).collect()

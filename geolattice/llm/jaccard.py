@@ -239,9 +239,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = staged(least_id.select("text_id"), "texts")
     signed = staged(worded.mapInArrow(_signatures(bands, rows), "doc_id long, bands array<long>, sig binary"), "signatures")
     signed = signed.dropDuplicates(["doc_id"]).join(texts, F.col("doc_id") == F.col("text_id"), "left_semi")
-    bucketed = signed.select("doc_id", "sig", F.explode("bands").alias("band"))
-    crowded = signed.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("__c")).filter("__c > 1").select("band")
-    met = bucketed.join(crowded, "band", "left_semi")
+    # ids and band hashes alone tell which texts meet; the signatures then go to those
+    pairs = signed.select("doc_id", F.explode("bands").alias("band"))
+    crowded = pairs.groupBy("band").agg(F.count("*").alias("__c")).filter("__c > 1").select("band")
+    met = staged(pairs.join(crowded, "band", "left_semi"), "meetings").join(signed.select("doc_id", "sig"), "doc_id")
     edges = _blocks(met, "band", "doc_id").select("band", "doc_id", "sig", "__own", "lo", "hi").groupBy("band", "lo", "hi").applyInArrow(_candidate_edges(bands * rows, least), "src long, dst long")
     families = connected_components(staged(edges.distinct(), "candidates"), staged)
     families = staged(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")

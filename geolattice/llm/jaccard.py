@@ -19,6 +19,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 UNLIKE, UNLIKE_SHARE = 0.3, 0.2
 #: Documents of one family that a task holds at once; a larger family goes to tasks by pairs of blocks.
 BLOCK_DOCS = 1024
+#: Ids in families up to which their bitmap (16 bits each, 8 MB at most) is broadcast.
+BITMAP_IDS = 4_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 _SIGNED = np.int64
@@ -199,6 +201,22 @@ def _verify(threshold: float):
     return run
 
 
+def _likely_members(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """The documents of families and a few others, so that few texts are exchanged: a bitmap of hashed ids, 16 bits for each, is broadcast.
+
+    Its size is checked; beyond BITMAP_IDS all documents go on.
+    """
+    count = families.count()
+    if count > BITMAP_IDS:
+        return docs
+    size = F.lit(max(64, 16 * count))
+    bit = F.pmod(F.xxhash64("doc_id", F.lit(1)), size)
+    ones = families.select(bit.alias("b")).select((F.col("b") / 64).cast("long").alias("__block"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
+    bitmap = ones.groupBy("__block").agg(F.bit_or("m").alias("__bits"))
+    marked = docs.withColumn("__bit", bit).withColumn("__block", (F.col("__bit") / 64).cast("long")).join(F.broadcast(bitmap), "__block")
+    return marked.filter("(shiftrightunsigned(__bits, cast(__bit % 64 as int)) & 1L) = 1").select(*docs.columns)
+
+
 def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in T.slices(batch.column("text")):
@@ -247,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     families = connected_components(staged(edges.distinct(), "candidates"), staged)
     families = staged(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
     n = partitions(spark)
-    sets = worded.join(families, "doc_id").dropDuplicates(["doc_id"]).select("family", "doc_id", "text").mapInArrow(_gram_sets, "family long, doc_id long, grams binary")
+    sets = _likely_members(worded, families).join(families.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("family", "doc_id", "text").mapInArrow(_gram_sets, "family long, doc_id long, grams binary")
     checked = _blocks(sets, "family", "doc_id").select("family", "doc_id", "grams", "__own", "lo", "hi").repartition(n, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "src long, dst long, links long")
     checked = staged(checked, "links")
     links = checked.filter("src = dst").groupBy(F.col("src").alias("text_id")).agg(F.sum("links").alias("links"))

@@ -18,7 +18,8 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        # keys in order, and the entry of each
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.check = np.zeros(1 << 16, np.uint64)
         self.start = np.zeros((1 << 16) + 1, np.int64)
         self.ids = np.zeros(1 << 18, np.uint16)
@@ -37,15 +38,20 @@ class WordCache:
         own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         if self.n + len(own) > self.max_entries:
             self._clear()
-        at = np.fromiter(map(self.index.get, own.tolist(), [-1] * len(own)), np.int64, len(own))
-        missing = at < 0
-        missing |= self.check[at] != check[first]
+        at = np.full(len(own), -1)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            at = np.where(self.keys[place] == own, self.entry[place], -1)
+        missing = (at < 0) | (self.check[at] != check[first])
         if missing.any():
             where = np.flatnonzero(missing)
             ids, counts = encode(first[where])
             self._grow(len(where), len(ids))
             new = np.arange(self.n, self.n + len(where))
-            self.index.update(zip(own[where].tolist(), new.tolist(), strict=True))
+            # a key whose second hash differs gets a newer entry, which comes first among equals
+            keys, entry = np.concatenate([own[where], self.keys]), np.concatenate([new, self.entry])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.entry = keys[order], entry[order]
             self.check[new] = check[first[where]]
             self.start[new + 1] = self.used + np.cumsum(counts)
             self.start[self.n] = self.used

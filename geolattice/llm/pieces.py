@@ -23,6 +23,8 @@ from geolattice.llm.wordcache import WordCache
 MARK = "▁"
 #: Segmentations that a seed has for each word; a keyed hash of document and place picks one.
 VARIANTS = 4
+#: Bytes of text encoded at a time; a longer document is one slice.
+SLICE_BYTES = 1 << 19
 #: Characters beyond which a word has an agenda of its own.
 LONG = 400
 _NONE = np.iinfo(np.int64).max
@@ -237,8 +239,9 @@ def _arrow(batch: pa.RecordBatch, parts: list[tuple], names: list[str]) -> pa.Re
     return pa.RecordBatch.from_arrays([*batch.columns, *parts], names=[*batch.schema.names, *names])
 
 
-def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", key: str = "doc_id", seed: int = 1, dropout: float = 0.1, digest: bool = False) -> DataFrame:
-    """All columns of ``docs`` plus ids (array<int>) and n_tokens; with ``digest`` ids_crc32 and lossless instead of ids.
+def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", key: str = "doc_id", seed: int = 1, dropout: float = 0.1, digest: bool = False, keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` plus ids (array<int>) and n_tokens; with ``digest`` ids_crc32 and lossless instead of ids. Without
+    ``keep_text`` the text itself is left out.
 
     ``model`` is the path of a SentencePiece BPE model with byte pieces, on every executor. Without dropout the ids are those of
     that library, but that a text's own U+2581 goes as bytes, so that decoding gives it back. With dropout each candidate merge of a
@@ -251,14 +254,15 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", key: str =
     types = ["long", "long", "boolean"] if digest else ["long", "array<int>"]
     base = docs.drop(*[c for c in names if c in docs.columns and c not in (text, key)])
     keyed = base.withColumn("__key", F.xxhash64(key))
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema] + [f"{n} {t}" for n, t in zip(names, types, strict=True)])
+    left_out = ["__key"] if keep_text else ["__key", text]
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema if f.name not in left_out] + [f"{n} {t}" for n, t in zip(names, types, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, seed, dropout)
         for batch in batches:
             own = batch.column("__key").to_numpy().view(np.uint64)
-            rest = batch.drop_columns(["__key"])
-            for s in T.slices(batch.column(text)):
+            rest = batch.drop_columns(left_out)
+            for s in T.slices(batch.column(text), SLICE_BYTES):
                 ids, counts = codec.encode(s, own[s.first : s.first + s.n])
                 part = rest.slice(s.first, s.n)
                 ends = np.concatenate([[0], np.cumsum(counts)])

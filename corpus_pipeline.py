@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_pieces(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "lang", "source", "n_tokens", "ids")
+    return encode_pieces(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"), keep_text=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -19,6 +19,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 UNLIKE, UNLIKE_SHARE = 0.3, 0.2
 #: Documents of one family that a task holds at once; a larger family goes to tasks by pairs of blocks.
 BLOCK_DOCS = 1024
+#: Bytes of n-gram sets likewise.
+BLOCK_BYTES = 8 << 20
 #: Ids in families up to which their bitmap (16 bits each, 8 MB at most) is broadcast.
 BITMAP_IDS = 4_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
@@ -73,7 +75,7 @@ def _signatures(bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in T.slices(batch.column("text"), 1 << 20):
+            for s in T.slices(batch.column("text")):
                 grams, doc = _shingles(s)
                 counts = np.bincount(doc, minlength=s.n)
                 some = np.flatnonzero(counts)
@@ -125,15 +127,18 @@ def _tree(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.n
     return ids[e[:, 0]], ids[e[:, 1]]
 
 
-def _blocks(members: DataFrame, key: str, rank: str) -> DataFrame:
+def _blocks(members: DataFrame, key: str, rank: str, weight: str | None = None) -> DataFrame:
     """Rows for each pair of blocks of a group that they take part in: one copy where a group is one block, else as many as blocks.
 
-    The block of a row comes from a hash, with enough blocks for the group's count, so that no rank over a whole group is needed.
+    The block of a row comes from a hash, with enough blocks for the group's count and for the bytes of ``weight``, so that no rank over a
+    whole group is needed.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").withColumn("__blocks", F.ceil(F.col("__n") / BLOCK_DOCS).cast("int"))
+    bytes_ = F.sum(F.octet_length(weight)) if weight else F.lit(0)
+    sizes = members.groupBy(key).agg(F.count("*").alias("__n"), bytes_.alias("__w")).filter("__n > 1")
+    sizes = sizes.select(key, F.ceil(F.greatest(F.col("__n") / BLOCK_DOCS, F.col("__w") / BLOCK_BYTES)).cast("int").alias("__blocks"))
     rows = members.join(sizes, key).withColumn("__own", F.pmod(F.xxhash64(rank), F.col("__blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda x: F.struct(F.least(x, F.col("__own")).alias("lo"), F.greatest(x, F.col("__own")).alias("hi")))
-    return rows.withColumn("__pair", F.explode(pairs)).select("*", "__pair.lo", "__pair.hi").drop("__pair", "__n", "__blocks")
+    return rows.withColumn("__pair", F.explode(pairs)).select("*", "__pair.lo", "__pair.hi").drop("__pair", "__blocks")
 
 
 def _halves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -266,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     families = staged(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
     n = partitions(spark)
     sets = _likely_members(worded, families).join(families.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("family", "doc_id", "text").mapInArrow(_gram_sets, "family long, doc_id long, grams binary")
-    checked = _blocks(sets, "family", "doc_id").select("family", "doc_id", "grams", "__own", "lo", "hi").repartition(n, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "src long, dst long, links long")
+    checked = _blocks(sets, "family", "doc_id", "grams").select("family", "doc_id", "grams", "__own", "lo", "hi").repartition(n, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "src long, dst long, links long")
     checked = staged(checked, "links")
     links = checked.filter("src = dst").groupBy(F.col("src").alias("text_id")).agg(F.sum("links").alias("links"))
     classes = connected_components(checked.filter("src <> dst").select("src", "dst"), staged).select(F.col("node").alias("text_id"), F.col("component").alias("class"))

@@ -155,6 +155,7 @@ def _candidate_edges(hashes: int, least: int):
         if same:
             linked &= a[:, None] < b[None, :]
         u, v = _tree(ids[a], ids[b], linked)
+        T.trim()
         return pa.table({"src": pa.array(u, pa.int64()), "dst": pa.array(v, pa.int64())})
 
     return run
@@ -199,6 +200,7 @@ def _verify(threshold: float):
             np.add.at(links, b, linked.sum(axis=0))
         u, v = _tree(ids[a], ids[b], linked & (a[:, None] < b[None, :]) if same else linked)
         n = len(ids)
+        T.trim()
         return pa.table({
             "src": pa.array(np.concatenate([ids, u]), pa.int64()), "dst": pa.array(np.concatenate([ids, v]), pa.int64()), "links": pa.array(np.concatenate([links, np.zeros(len(u), np.int64)])),
         }).slice(0, n + len(u))

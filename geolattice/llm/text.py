@@ -7,6 +7,8 @@ finished by a mixer, and the same again over the words of a window.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,6 +94,21 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix((total[width:] - total[:n]) * down[:n])
 
 
+_TRIMMED = [0.0]
+
+
+def trim(seconds: float = 1.0) -> None:
+    """Gives memory that is free back to the system, at most once in so many seconds: Spark keeps a Python worker for later stages."""
+    if time.monotonic() - _TRIMMED[0] < seconds:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+    _TRIMMED[0] = time.monotonic()
+
+
 @dataclass
 class Slice:
     """Some consecutive documents of a batch: their bytes, and where each begins in them (one more at the end)."""
@@ -124,6 +141,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         j = min(j, len(column))
         yield Slice(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+        trim()
 
 
 @dataclass

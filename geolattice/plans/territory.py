@@ -65,6 +65,15 @@ def as_of(spark: SparkSession, folder: str) -> DataFrame:
     return D.as_of(s.filter("scene_id % 5 = 0").select("scene_id", "tile", "day"), right, ["tile"], "day", "day", "cloud")
 
 
+@query()
+def as_of_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """``as_of`` with all scenes on both sides; the latest value is looked up for each tile and day, and scenes are joined to it."""
+    s = scenes(spark, folder)
+    right = s.filter("cloud is not null").groupBy("tile", "day").agg(F.max("cloud").alias("cloud"))
+    days = D.as_of(s.select("tile", "day").distinct(), right, ["tile"], "day", "day", "cloud")
+    return s.select("scene_id", "tile", "day").join(days, ["tile", "day"]).select("scene_id", "tile", "day", "cloud")
+
+
 @query("select strftime(m, '%Y-%m') as month, last_day(m)::date as last from (select unnest(generate_series(timestamp '1995-11-01', timestamp '1998-02-01', interval 1 month)) as m)")
 def month_list(spark: SparkSession, folder: str) -> DataFrame:
     months = spark.range(1).select(F.explode(D.months_between_inclusive(F.lit("1995-11-15").cast("date"), F.lit("1998-02-03").cast("date"))).alias("m"))
@@ -103,6 +112,13 @@ def cohort_curves(spark: SparkSession, folder: str) -> DataFrame:
     return T.cohort_curve(o, "unit", "m", "n", "cap").withColumn("share", F.round("share", 6))
 
 
+@query()
+def cohort_curves_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """``cohort_curves`` of every customer that has orders."""
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("m"), F.lit(1).alias("n"), F.lit(8.0).alias("cap"))
+    return T.cohort_curve(o, "unit", "m", "n", "cap").withColumn("share", F.round("share", 6))
+
+
 @query("with f as (select o_orderpriority as unit, year(o_orderdate)::bigint as y, count(*) as n from orders group by 1, 2) select unit, y, n, 100000 - coalesce(sum(n) over (partition by unit order by y rows between 1 following and unbounded following), 0)::bigint as stock from f")
 def reverse_stock(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("unit"), F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
@@ -207,6 +223,14 @@ def measurement_union(spark: SparkSession, folder: str) -> DataFrame:
     return measurements([a, b])
 
 
+@query()
+def measurement_union_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """``measurement_union`` of the whole tables."""
+    a = table(spark, folder, "supplier").selectExpr("'a' as source", "s_suppkey as id", "s_acctbal as balance")
+    b = table(spark, folder, "customer").selectExpr("'b' as source", "c_custkey as id", "c_name as name")
+    return measurements([a, b])
+
+
 @query("select c_mktsegment as result, '{\"result\":\"' || c_mktsegment || '\",\"legend\":[' || string_agg('{\"class\":' || c || ',\"detail\":' || n || '}', ',' order by c) || ']}' as json from (select c_mktsegment, c_nationkey as c, count(*) as n from customer group by 1, 2) group by 1")
 def legend(spark: SparkSession, folder: str) -> DataFrame:
     counts = table(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("result"), F.col("c_nationkey").alias("class")).agg(F.count("*").alias("detail"))

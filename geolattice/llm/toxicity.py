@@ -1,8 +1,8 @@
 """Toxicity by two Kneser-Ney models of words, one for each class, over back-off counts that both share.
 
 A word is generated in two steps, its first PREFIX bytes and then the whole of it, each with absolute discounting: what a class
-discounts goes to the shared distribution of the same step, whose counts come from the whole corpus. Counts are of contexts: of
-documents, or of different words before it where an expression has few of these. So an expression that a class has seen DISCOUNT times or less says nothing of its own.
+discounts goes to the shared distribution of the same step, whose counts come from the whole corpus. Counts are of different
+texts: of rows with equal texts one counts. So an expression that a class has seen in DISCOUNT texts or less says nothing of its own.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ WIDTHS = (1, 3, 12, 0)
 #: Words whose ratio exceeds this are strong evidence; its sum for the root of the length is one more feature.
 STRONG, FEATURES = 1.4, len(WIDTHS) + 1
 ROOT = np.uint64(0x51A9D3F7C2B48E61)
-COUNTS = "cls int, parent long, child long, n long, seen long"
-#: Contexts fewer than this, of 64 hashed ones, are taken as an expression's count, so that copies of a text count once.
-FEW = 16
+COUNTS = "cls int, parent long, child long, n long"
+#: Repeated texts up to which a bitmap of their hashes (16 bits each, 8 MB at most) is broadcast.
+BITMAP_TEXTS = 4_000_000
+#: Stands for the parts of a text that rows of several parts have: no model leaves all of these out.
+SEVERAL = 5
 
 
 def _expressions(s: T.Slice) -> tuple[T.Words, np.ndarray, np.ndarray]:
@@ -43,35 +45,31 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
-def _grouped(values: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the first of each distinct combination of values, and the contexts of all rows that have it."""
+def _first(values: list[np.ndarray]) -> np.ndarray:
+    """Indexes of the first of each distinct combination of values."""
     order = np.lexsort(values[::-1])
     if not len(order):
-        return order, seen
-    first = np.flatnonzero(np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in values], axis=0)]))
-    return order[first], np.bitwise_or.reduceat(seen[order], first)
+        return order
+    return order[np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in values], axis=0)])]
 
 
 def _document_counts(s: T.Slice) -> tuple[np.ndarray, ...]:
-    """(document, parent, child, contexts) of each expression of each document, once. The context of a word is the word before it."""
+    """(document, parent, child) of each expression of each document, once."""
     w, prefix, whole = _expressions(s)
-    before = np.zeros_like(whole)
-    before[1:] = whole[:-1]
-    before[w.begin[:-1][w.per_doc > 0]] = 0
-    own, seen = _grouped([w.doc, whole], np.uint64(1) << (T.mix(before) & np.uint64(63)))
+    own = _first([w.doc, whole])
     doc, pre, word = w.doc[own], prefix[own], whole[own]
-    first, above = _grouped([doc, pre], seen)
-    return np.concatenate([doc, doc[first]]), np.concatenate([pre, np.full(len(first), ROOT)]), np.concatenate([word, pre[first]]), np.concatenate([seen, above])
+    first = _first([doc, pre])
+    return np.concatenate([doc, doc[first]]), np.concatenate([pre, np.full(len(first), ROOT)]), np.concatenate([word, pre[first]])
 
 
-def _summed(cls: np.ndarray, parent: np.ndarray, child: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+def _summed(cls: np.ndarray, parent: np.ndarray, child: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(child):
-        return cls, parent, child, n, seen
+        return cls, parent, child, n
     key = T.mix(child ^ T.mix(parent + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     at = order[first]
-    return cls[at], parent[at], child[at], np.add.reduceat(n[order], first), np.bitwise_or.reduceat(seen[order], first)
+    return cls[at], parent[at], child[at], np.add.reduceat(n[order], first)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,15 +77,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> pa.RecordBatch:
-        c, p, k, n, seen = _summed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        c, p, k, n = _summed(*[np.concatenate(x) for x in zip(*held, strict=True)])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (p, k, n, seen)]], names=["cls", "parent", "child", "n", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (p, k, n)]], names=["cls", "parent", "child", "n"])
 
     for batch in batches:
         cls = batch.column("cls").to_numpy(zero_copy_only=False)
         for s in T.slices(_lower(batch.column("text"))):
-            doc, parent, child, seen = _document_counts(s)
-            held.append(_summed(cls[s.first + doc], parent, child, np.ones(len(doc), np.int64), seen))
+            doc, parent, child = _document_counts(s)
+            held.append(_summed(cls[s.first + doc], parent, child, np.ones(len(doc), np.int64)))
         if sum(len(h[0]) for h in held) > 2 * HELD:
             yield out()
     if held:
@@ -141,18 +139,31 @@ class Model:
 FOLDS = (0, 1, 2, 3, 4)
 
 
-def _evidence(which):
-    """The count of an expression in the rows chosen: of documents, or of contexts where these are few."""
-    n, contexts = F.sum(F.when(which, F.col("n")).otherwise(0)), F.bit_count(F.bit_or(F.when(which, F.col("seen")).otherwise(F.lit(0).cast("long"))))
-    return F.when(contexts < FEW, F.least(n, contexts)).otherwise(n).cast("long")
+def _texts(docs: DataFrame) -> DataFrame:
+    """Each different text of ``docs`` once. Only texts whose hash a broadcast bitmap of repeated hashes has are exchanged.
+
+    Beyond BITMAP_TEXTS repeated texts, all are exchanged.
+    """
+    texts = docs.select("text").filter("text is not null")
+    repeated = staged(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated-texts")
+    count = repeated.count()
+    if count > BITMAP_TEXTS:
+        return texts.distinct()
+    bits = max(64, 16 * count)
+    bit = F.pmod("h", F.lit(bits))
+    bitmap = repeated.withColumn("bit", bit).groupBy((F.col("bit") / 64).cast("long").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    marked = texts.withColumn("h", F.xxhash64("text")).withColumn("bit", bit).withColumn("block", (F.col("bit") / 64).cast("long")).join(F.broadcast(bitmap), "block", "left")
+    marked = marked.select("text", (F.expr("shiftrightunsigned(coalesce(bits, 0L), cast(bit % 64 as int)) & 1L") == 1).alias("again"))
+    return marked.filter("not again").select("text").unionByName(marked.filter("again").select("text").distinct())
 
 
 def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     """Models of the labelled rows (text, cls, part), with shared counts of all ``docs`` (text): that of all rows, then one without each part from 1 to 4."""
-    cells = labelled.select("text", (F.col("cls") + 2 * F.col("part")).cast("int").alias("cls"))
-    n = {(y, k): _evidence((F.col("cls") % 2 == y) & (F.col("cls") != y + 2 * k)) for y in (0, 1) for k in FOLDS}
+    part = F.when(F.min("part") == F.max("part"), F.min("part")).otherwise(SEVERAL)
+    cells = labelled.groupBy("text", "cls").agg(part.alias("part")).select("text", (F.col("cls") + 2 * F.col("part")).cast("int").alias("cls"))
+    n = {(y, k): F.sum(F.when((F.col("cls") % 2 == y) & (F.col("cls") != y + 2 * k), F.col("n")).otherwise(0)) for y in (0, 1) for k in FOLDS}
     per_class = staged(cells.mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()]), "class-counts")
-    shared = staged(docs.select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(_evidence(F.lit(True)).alias("n")), "shared-counts")
+    shared = staged(_texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(F.sum("n").alias("n")), "shared-counts")
     parents = per_class.groupBy("parent").agg(*[x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))])
     evident = per_class.filter(F.greatest("n0_0", "n1_0") > discount)
     totals = shared.join(evident.select("parent").distinct(), "parent", "left_semi").groupBy("parent").agg(F.sum("n").alias("below"))
@@ -202,7 +213,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     out the rows with its remainder. A hash sample of ``max_labelled`` rows is used where there are more. The counts that both classes back off to are those of all documents, and each
     document is scored by its whole text. score is the calibrated probability; log_ratio the toxic less the ordinary
     log-likelihood for each word. Null and empty texts have log_ratio 0 and the score of a text without evidence. Null ids and
-    labels train nothing (a null id is held_out false); repeated ids and labels count as often as they come. Without
+    labels train nothing (a null id is held_out false); repeated ids and labels calibrate as often as they come, and rows with
+    equal texts are counted once, in each class that they have. Without
     labels of both classes the score is the prior.
     """
     spark = docs.sparkSession

@@ -181,3 +181,17 @@ def test_toxicity_of_odd_texts(docs, spark):
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     none = rows(toxicity.score_toxicity(docs, labels.limit(0)))
     assert len({r["score"] for r in none}) <= 1
+
+
+def test_toxicity_counts_different_texts(spark):
+    # a phrase always in the same context, in many different texts, is evidence; one text in many copies is not
+    ordinary = lambda i: " ".join(f"v{i * 31 % 211} w{(i * i + k) % 97}" for k in range(12))
+    phrase = [(i, f"grim zorblax deed {ordinary(i)}" if i % 2 else ordinary(i), i % 2) for i in range(300)]
+    docs = spark.createDataFrame(phrase, "doc_id long, text string, toxic int").repartition(5)
+    held = [r for r in rows(toxicity.score_toxicity(docs, docs)) if r["held_out"]]
+    assert len(held) > 30 and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+    copies = spark.createDataFrame([(f"grim zorblax deed {i % 3}", 1, 1 + i % 4) for i in range(300)] + [(ordinary(0), 0, 1)], "text string, cls int, part int").repartition(5)
+    assert all(not len(m.keys) for m in toxicity._fit(copies, copies, 3))
+    # each class counts what rows outside the part left out have; all texts are counted once
+    counted = Counter(r["text"] for r in rows(toxicity._texts(copies.unionByName(copies.selectExpr("null as text", "0 as cls", "1 as part")))))
+    assert counted == Counter({r["text"] for r in rows(copies)})

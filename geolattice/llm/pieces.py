@@ -2,14 +2,16 @@
 
 Words are segmented by an agenda of candidate merges, best score first and the leftmost of equals. A keyed hash skips a candidate
 with probability ``dropout``, so a seed gives one segmentation and another seed another, and any of them decodes to the text.
-Distinct words of a batch run their agendas side by side, one merge each at a time; a long word has an agenda of its own.
+Candidates are skipped for each occurrence by itself. A segmentation follows from the word and the candidates skipped, so these two
+are its key in the cache, and an agenda runs only for pairs not met yet: side by side, one merge each at a time; a long word has
+an agenda of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,9 @@ from geolattice.llm.wordcache import WordCache
 
 #: Fixed value: the character that stands for a space in pieces.
 MARK = "▁"
-#: Segmentations that a seed has for each word; a keyed hash of document and place picks one.
-VARIANTS = 4
 #: Bytes of text encoded at a time; a longer document is one slice.
 SLICE_BYTES = 1 << 19
-#: Characters beyond which a word has an agenda of its own.
+#: Characters beyond which a word has an agenda of its own, and bytes beyond which each of its occurrences has.
 LONG = 400
 _NONE = np.iinfo(np.int64).max
 _PLACE = 20
@@ -57,6 +57,7 @@ class Pieces:
         pairs = sorted({(names[a] * size + names[b], i) for name, i in names.items() for k in range(1, len(name)) if (a := name[:k]) in names and (b := name[k:]) in names})
         self.pair, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.merge_of = dict(pairs)
+        self.longest = max(map(len, names))
         spelled = [b""] * size
         for name, i in names.items():
             spelled[i] = name.replace(MARK, " ").encode()
@@ -81,6 +82,30 @@ def skipped(key: np.ndarray, place: np.ndarray, merged: np.ndarray, dropout: flo
     return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
 
 
+def candidates(pieces: Pieces, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, merged piece) of each candidate that an agenda can come to, whichever others are skipped; in order of words."""
+    room = np.repeat(np.cumsum(counts), counts) - np.arange(len(symbols))
+    spans = [np.zeros(0, np.int64), symbols.astype(np.int64)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in range(2, pieces.longest + 1):
+        at = np.flatnonzero(room >= n)
+        if not len(at):
+            break
+        ids = np.full(len(symbols), -1)
+        for k in range(1, n):
+            at = at[ids[at] < 0]
+            both = at[(spans[k][at] >= 0) & (spans[n - k][at + k] >= 0)]
+            ids[both] = pieces.merges(spans[k][both], spans[n - k][both + k])
+        spans.append(ids)
+        own = np.flatnonzero(ids >= 0)
+        found.append((own, ids[own]))
+    at, merged = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    order = np.argsort(at, kind="stable")
+    at, merged = at[order], merged[order]
+    word = np.repeat(np.arange(len(counts)), counts)[at]
+    return word, at - (np.cumsum(counts) - counts)[word], merged
+
+
 def segment_one(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
     """The agenda of one word, as a heap: symbols are character ids (-1: none in the vocabulary); gives the index of the first character and the id of each piece, in turn."""
     n = len(symbols)
@@ -169,9 +194,30 @@ class Codec:
     """Encodes and decodes slices of texts with one vocabulary, seed and dropout."""
 
     def __init__(self, path: str, seed: int, dropout: float):
-        self.pieces, self.seed, self.dropout, self.cache = Pieces(path), np.uint64(seed), dropout, WordCache()
+        self.pieces, self.seed, self.dropout, self.cache, self.met = Pieces(path), np.uint64(seed), dropout, WordCache(), WordCache()
         self.stride = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
 
+    def _candidates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place and merged piece in turn, how many numbers a word has) of the words' candidates; words beyond LONG bytes have none."""
+        raw = [w.decode("utf-8", "replace") if len(w) <= LONG else "" for w in words]
+        points = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
+        word, place, merged = candidates(self.pieces, self.pieces.char[points], np.array([len(w) for w in raw], np.int64))
+        return np.stack([place, merged], axis=1).ravel(), 2 * np.bincount(word, minlength=len(words))
+
+    def _skips(self, word: np.ndarray, check: np.ndarray, own: np.ndarray, long_: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the set of candidates that each occurrence skips, given the words' hashes and the occurrences' keys; 0 for none."""
+        flat, counts = self.met.lookup(word, check, encode)
+        place, merged = flat[0::2].astype(np.uint64), flat[1::2]
+        at = np.repeat(np.arange(len(word)), counts // 2)
+        hit = np.flatnonzero(skipped(own[at], place, merged, self.dropout))
+        at, token = at[hit], T.mix((place[hit] << np.uint64(24)) + merged[hit])
+        sets = np.where(long_, own, np.uint64(0)), np.where(long_, T.mix(own), np.uint64(0))
+        if len(hit):
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            for x, t in zip(sets, (token, T.mix(token ^ self.stride)), strict=True):
+                x[at[first]] = np.add.reduceat(t, first)
+        return sets
+
     def _words(self, words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words in which a space is the mark; characters outside the vocabulary go as bytes."""
         raw = [w.decode("utf-8", "replace") for w in words]
@@ -208,11 +254,14 @@ class Codec:
         within = np.arange(len(a)) - np.searchsorted(doc, doc)
         h1, h2 = T.span_hashes(data, a, b, 1), T.span_hashes(data, a, b, 2)
         key = T.mix(h1 ^ T.mix(np.full(len(a), self.seed)))
-        if self.dropout > 0:
-            variant = T.mix(doc_keys[doc] ^ T.mix(within.astype(np.uint64) + self.stride)) % np.uint64(VARIANTS)
-            key = T.mix(key + variant)
         raw = data.tobytes()
-        ids, counts = self.cache.lookup(key, h2, lambda where: self._words([raw[x:y] for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)], key[where]))
+        spelled = lambda where: [raw[x:y] for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)]
+        own = key
+        if self.dropout > 0:
+            own = T.mix(key ^ T.mix(doc_keys[doc] ^ T.mix(within.astype(np.uint64) + self.stride)))
+            skips, more = self._skips(key, h2, own, b - a > LONG, lambda where: self._candidates(spelled(where)))
+            key, h2 = np.where(skips > 0, T.mix(key ^ skips), key), h2 ^ more
+        ids, counts = self.cache.lookup(key, h2, lambda where: self._words(spelled(where), own[where]))
         return ids.astype(np.int64), np.bincount(doc, weights=counts, minlength=s.n).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -244,9 +293,9 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", key: str =
     ``keep_text`` the text itself is left out.
 
     ``model`` is the path of a SentencePiece BPE model with byte pieces, on every executor. Without dropout the ids are those of
-    that library, but that a text's own U+2581 goes as bytes, so that decoding gives it back. With dropout each candidate merge of a
-    word is skipped if a hash keyed by the seed, the word, one of VARIANTS variants and the candidate's place says so; the variant
-    of an occurrence comes from ``key`` and its ordinal. Null and empty texts have no ids. ids_crc32 is of the ids as little-endian
+    that library, but that a text's own U+2581 goes as bytes, so that decoding gives it back. With dropout each candidate merge of an
+    occurrence of a word is skipped if a hash keyed by the seed, the word, ``key``, the word's ordinal in the text and the candidate's
+    place says so. Null and empty texts have no ids. ids_crc32 is of the ids as little-endian
     unsigned 32-bit integers; lossless tells whether decoding gave the text's bytes. Columns that bear the new names are
     replaced. One pass, no exchange; a worker holds a batch, the vocabulary and a bounded cache of words.
     """

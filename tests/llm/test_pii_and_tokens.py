@@ -132,3 +132,33 @@ def test_pipeline(spark):
         texts = [r[0] for r in df.select("text").collect()]
         assert all(not base(t) for t in texts) and len({hashlib.sha256((t or "").encode()).digest() for t in texts}) == len(texts)
         corpus_pipeline.STAGES[-1][1](spark, df, SMALL).collect()
+
+
+def test_dropout_is_drawn_for_each_occurrence(spark):
+    # one word in many places: each has the segmentation that its own key gives, and there are more than a few
+    texts = [" ".join(["internationalization"] * 60), "internationalization " + "ab" * 500 + " 😀 ünï  internationalization\n" + "ab" * 500, "▁x internationalization"]
+    codec = pieces.Codec(MODEL, 3, 0.2)
+    agenda = codec._words
+    keys = np.arange(len(texts) * 2).astype(np.uint64)
+    s = next(text.slices(pa.array(texts * 2, pa.large_string())))
+    asked = {}
+    codec.cache.lookup = lambda key, check, encode: [asked.update(pairs=len(set(zip(key.tolist(), check.tolist(), strict=True))), n=len(key)), encode(np.arange(len(key)))][1]
+    plain = codec.encode(s, keys)  # without the cache, each occurrence by its own agenda
+    cached = pieces.Codec(MODEL, 3, 0.2)
+    calls = []
+    cached._words = lambda words, k: (calls.append(len(words)), agenda(words, k))[1]
+    for _ in range(2):
+        got = cached.encode(s, keys)
+        assert got[0].tolist() == plain[0].tolist() and got[1].tolist() == plain[1].tolist()
+    assert sum(calls) == asked["pairs"] < asked["n"]
+    df = spark.createDataFrame([(i, texts[0]) for i in range(40)], "doc_id long, text string")
+    spelled = pieces.Pieces(MODEL)
+    forms = set()
+    for r in pieces.encode_pieces(df, MODEL).collect():
+        word = []
+        for i in r["ids"]:
+            if word and bytes(spelled.spelled[spelled.begin[i] : spelled.begin[i + 1]]).startswith(b" "):
+                forms.add(tuple(word))
+                word = []
+            word.append(i)
+    assert len(forms) > 20

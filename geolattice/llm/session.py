@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that Spark hands to a Python task.
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Unset, and in local mode only, a temporary one."""
     context = spark.sparkContext
@@ -32,6 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lets Spark hand Python tasks batches of at most about ``size`` bytes (or one row); a bound that the session has set lower stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, str(size))
+
+
+def _bytes(value: str) -> int:
+    digits = value.lower().rstrip("bkmgt")
+    unit = value[len(digits) :].lower().rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm import text as T
-from geolattice.llm.session import partitions, staged
+from geolattice.llm.session import bounded_batches, partitions, staged
 from geolattice.operators.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -90,7 +90,7 @@ def _signatures(bands: int, rows: int):
                 width = 4 * len(factor)
                 flat = pa.Array.from_buffers(pa.list_(pa.int64()), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * bands).astype(np.int32))], children=[pa.array(band.view(np.int64).ravel())])
                 raw = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * width).astype(np.int32)), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some + s.first)), flat, raw], names=["doc_id", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(some + s.first)) for c in ("doc_id", "hash")], flat, raw], names=["doc_id", "hash", "bands", "sig"])
 
     return run
 
@@ -149,7 +149,7 @@ def _halves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 def _candidate_edges(hashes: int, least: int):
     def run(t: pa.Table) -> pa.Table:
         a, b, same = _halves(t)
-        ids = t["doc_id"].to_numpy()
+        ids = t["node"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, hashes)
         linked = _agreeing(sig[a], sig[b], least)
         if same:
@@ -164,7 +164,7 @@ def _candidate_edges(hashes: int, least: int):
 def _verify(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         a, b, same = _halves(t)
-        ids = t["doc_id"].to_numpy()
+        ids = t["node"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), sizes)
@@ -217,7 +217,7 @@ def _likely_members(docs: DataFrame, families: DataFrame) -> DataFrame:
     if count > BITMAP_IDS:
         return docs
     size = F.lit(max(64, 16 * count))
-    bit = F.pmod(F.xxhash64("doc_id", F.lit(1)), size)
+    bit = F.pmod(F.xxhash64("hash"), size)
     ones = families.select(bit.alias("b")).select((F.col("b") / 64).cast("long").alias("__block"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
     bitmap = ones.groupBy("__block").agg(F.bit_or("m").alias("__bits"))
     marked = docs.withColumn("__bit", bit).withColumn("__block", (F.col("__bit") / 64).cast("long")).join(F.broadcast(bitmap), "__block")
@@ -236,54 +236,77 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc, np.arange(s.n + 1)) * 8
             sets = pa.Array.from_buffers(pa.binary(), s.n, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(grams.tobytes())])
             part = batch.slice(s.first, s.n)
-            yield pa.RecordBatch.from_arrays([part.column("family"), part.column("doc_id"), sets], names=["family", "doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("family"), part.column("node"), sets], names=["family", "node", "grams"])
+
+
+def _hash(text: str):
+    """128 bits of the SHA-256 of a text with words; null for others."""
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text_id, class_id, n_links) for each row of ``docs``.
+    """(doc_id, text_id, class_id, n_links, class_key) for each row of ``docs``.
 
     Words are runs of anything but ASCII white space; a text with fewer than SHINGLE words, but some, is one n-gram. Two texts are
-    linked if the Jaccard similarity of their n-gram sets is ``threshold`` or more. text_id is the least doc_id with the same text,
-    class_id the least doc_id of all texts joined by links (copies included), n_links the number of different texts linked to
-    this one. Texts without words, null ones among them, have no links and are alone in their class even if equal. Rows with a
-    null id are left out of all classes: their columns are null, n_links 0; rows that share an id and text are rows alike.
-    Other columns of ``docs`` are not looked at.
+    linked if the Jaccard similarity of their n-gram sets is ``threshold`` or more. A text is known by its hash, so rows that share an
+    id but not the text take part each with its own. text_id is the least doc_id with the same text, class_id the least doc_id of all
+    texts joined by links (copies included), n_links the number of different texts linked to this one. class_key is the hash of that class's first
+    text, in order of id, then hash: where ids are unique it follows from class_id, and where an id has several texts it tells their
+    classes apart. Texts without words, null ones among them, have no links and no class_key, and are alone in their class even if
+    equal. Rows with a null id are left out of all classes: their columns are null, n_links 0; rows alike in id and text are rows alike. No rows give
+    no rows. Other columns of ``docs`` are not looked at.
 
     Copies are set aside first. Texts meet where all hashes of a band agree; in a bucket, and then in a family of texts that
     buckets join, pairs are compared as matrices inside tasks, and only edges that span what is joined leave a task, so a group
     of near copies makes no rows for its pairs. Buckets and families beyond BLOCK_DOCS texts are dealt to tasks by pairs of blocks.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
+    n = partitions(spark)
     bands, rows = bands_and_rows(threshold, recall)
     least = least_agreement(bands * rows, threshold)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    worded = own.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    hashed = own.select("doc_id", F.when(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.sha2("text", 256)).alias("hash"))
-    hashed = staged(hashed, "text-hashes")
-    least_id = hashed.filter("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("text_id"))
-    texts = staged(least_id.select("text_id"), "texts")
-    signed = staged(worded.mapInArrow(_signatures(bands, rows), "doc_id long, bands array<long>, sig binary"), "signatures")
-    signed = signed.dropDuplicates(["doc_id"]).join(texts, F.col("doc_id") == F.col("text_id"), "left_semi")
-    # ids and band hashes alone tell which texts meet; the signatures then go to those
-    pairs = signed.select("doc_id", F.explode("bands").alias("band"))
+    own = own.withColumn("hash", F.when(F.col("doc_id").isNotNull(), _hash("text")))
+    worded = own.filter("hash is not null")
+    hashed = staged(own.select("doc_id", "hash"), "text-hashes")
+    # each different text has a number, fixed by being written
+    first = hashed.filter("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("text_id"))
+    texts = staged(first.withColumn("node", F.monotonically_increasing_id()), "texts")
+    of_text = texts.withColumnRenamed("text_id", "doc_id")
+    signed = worded.mapInArrow(_signatures(bands, rows), "doc_id long, hash binary, bands array<long>, sig binary")
+    signed = staged(signed.join(of_text, ["hash", "doc_id"]).dropDuplicates(["hash", "doc_id"]).select("node", "bands", "sig"), "signatures")
+    # numbers and band hashes alone tell which texts meet; the signatures then go to those
+    pairs = signed.select("node", F.explode("bands").alias("band"))
     crowded = pairs.groupBy("band").agg(F.count("*").alias("__c")).filter("__c > 1").select("band")
-    met = staged(pairs.join(crowded, "band", "left_semi"), "meetings").join(signed.select("doc_id", "sig"), "doc_id")
-    edges = _blocks(met, "band", "doc_id").select("band", "doc_id", "sig", "__own", "lo", "hi").groupBy("band", "lo", "hi").applyInArrow(_candidate_edges(bands * rows, least), "src long, dst long")
+    met = staged(pairs.join(crowded, "band", "left_semi"), "meetings").join(signed.select("node", "sig"), "node")
+    blocks = _blocks(met, "band", "node").select("band", "node", "sig", "__own", "lo", "hi").repartition(n, "band", "lo", "hi")
+    edges = blocks.groupBy("band", "lo", "hi").applyInArrow(_candidate_edges(bands * rows, least), "src long, dst long")
     families = connected_components(staged(edges.distinct(), "candidates"), staged)
-    families = staged(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-    n = partitions(spark)
-    sets = _likely_members(worded, families).join(families.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("family", "doc_id", "text").mapInArrow(_gram_sets, "family long, doc_id long, grams binary")
-    checked = _blocks(sets, "family", "doc_id", "grams").select("family", "doc_id", "grams", "__own", "lo", "hi").repartition(n, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "src long, dst long, links long")
+    families = staged(families.select("node", F.col("component").alias("family")).join(of_text, "node"), "families")
+    members = _likely_members(worded, families).join(families.hint("merge"), ["hash", "doc_id"]).dropDuplicates(["hash", "doc_id"])
+    sets = members.select("family", "node", "text").mapInArrow(_gram_sets, "family long, node long, grams binary")
+    checked = _blocks(sets, "family", "node", "grams").select("family", "node", "grams", "__own", "lo", "hi").repartition(n, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInArrow(_verify(threshold), "src long, dst long, links long")
     checked = staged(checked, "links")
-    links = checked.filter("src = dst").groupBy(F.col("src").alias("text_id")).agg(F.sum("links").alias("links"))
-    classes = connected_components(checked.filter("src <> dst").select("src", "dst"), staged).select(F.col("node").alias("text_id"), F.col("component").alias("class"))
-    found = links.join(classes, "text_id", "left")
-    labelled = least_id.join(found, "text_id", "left").select("hash", "text_id", F.coalesce("class", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    links = checked.filter("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+    classes = connected_components(checked.filter("src <> dst").select("src", "dst"), staged)
+    named = classes.join(texts, "node").groupBy("component").agg(F.min(F.struct("text_id", "hash")).alias("of"))
+    found = links.join(classes.join(named, "component"), "node", "left").select("node", "links", "of")
+    labelled = texts.join(found, "node", "left").select("hash", "text_id", F.coalesce("of.text_id", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("of.hash", "hash").alias("class_key"))
     out = hashed.join(labelled, "hash", "left")
-    return out.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lower(F.hex("class_key")).alias("class_key"),
+    )
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least id of each class, in the columns of ``docs``; documents with a null id stay."""
-    firsts = near_duplicates(docs, doc_id=doc_id, text=text).filter("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.filter(F.col(doc_id).isNull()).unionByName(docs.join(firsts, F.col(doc_id).cast("long") == F.col("__first"), "left_semi").dropDuplicates([doc_id]))
+    """One document of each class, in the columns of ``docs``: that with the least id, and of several such the one whose text's hash is least.
+
+    Rows alike in id and text are one document, and one of them stays. Documents with a null id, and those without words (null and empty
+    texts among them), are alone in their class and all stay. An empty table stays empty.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text).filter("doc_id = class_id and class_key is not null")
+    firsts = found.select(F.col("doc_id").alias("__id"), F.unhex("class_key").alias("__hash")).distinct()
+    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__hash": F.when(F.col(doc_id).isNotNull(), _hash(text))})
+    one = keyed.filter("__hash is not null").join(firsts, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return one.unionByName(keyed.filter("__hash is null")).select(*docs.columns)

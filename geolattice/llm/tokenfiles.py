@@ -17,11 +17,11 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm import text as T
-from geolattice.llm.session import partitions, staged
+from geolattice.llm.session import bounded_batches, partitions, staged
 from geolattice.llm.wordcache import WordCache
 
 if TYPE_CHECKING:
@@ -30,7 +30,12 @@ if TYPE_CHECKING:
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 1024, 0.99
 #: Bytes of text in a file.
 FILE_BYTES = 8 << 20
-FILES = "part int, file int, n_ids long, n_docs long, payload binary"
+#: A file's row: the range of ids that it is in, its place there, the ids of that range before it, what it holds, and its bytes.
+FILES = "part int, file int, before long, n_ids long, n_docs long, payload binary"
+#: Parts up to which the table of their first ids is broadcast (16 bytes each).
+MAX_PARTS = 200_000
+#: Bytes of text encoded at a time.
+ENCODED = 1 << 20
 _HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("n_out", "<u2")])
 
 
@@ -228,33 +233,37 @@ def _tokenizer(path: str) -> ByteBpe:
 def write_tokens(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the ids of all documents, each ended by ``end_id``, to files in ascending order of doc_id; returns the table of files.
 
-    The table has part, file, n_ids, n_docs and payload (see the module); files follow each other by part, then file. Null and
-    empty texts have the end id only. Null doc_ids come first; rows that share one stand together in any order. Other columns of
-    ``docs`` are not looked at. ``tokenizer`` is a path that the executors can read, of a byte-level BPE. No rows, no files.
+    The table has the columns of FILES (see the module too); files follow each other by part, then file. Null and empty texts have the
+    end id only. Null doc_ids come first; rows that share one stand together, in the order of a hash of their texts, and may be
+    dealt to several parts. Other columns of ``docs`` are not looked at. ``tokenizer`` is a path that the executors can read, of a
+    byte-level BPE. No rows, no files.
     """
     n = partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, k = _tokenizer(tokenizer), 0
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
-        size = part = 0
+        size = part = before = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal k, size
+            nonlocal k, size, before
             ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             docs_ = [x for h in held for x in h[2]]
             payload = write_file(ids, docs_, sizes)
             held.clear()
-            k, size = k + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (k - 1, pa.int32()), (len(ids), pa.int64()), (len(docs_), pa.int64()), (payload, pa.binary()))], names=["part", "file", "n_ids", "n_docs", "payload"])
+            row = ((part, pa.int32()), (k, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (len(docs_), pa.int64()), (payload, pa.binary()))
+            k, size, before = k + 1, 0, before + len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], names=["part", "file", "before", "n_ids", "n_docs", "payload"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             part, names = batch.column("part")[0].as_py(), batch.column("doc_id").to_pylist()
-            for s in T.slices(batch.column("text"), 4 << 20):
+            for s in T.slices(batch.column("text"), ENCODED):
                 ids, counts = bpe.encode(s)
                 ended = np.full(len(ids) + s.n, end_id, np.uint32)
                 ends = np.cumsum(counts + 1) - 1
@@ -272,17 +281,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """From the table of files: doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document."""
+    """From the table of files: doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document.
+
+    The driver sums the ids of each part, one row a part, and hands the sums on as a table of as many rows; a file's own start in its
+    part is in its row.
+    """
     spark: SparkSession = files.sparkSession
     totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     below, bases = 0, []
     for part, n in totals:
         bases.append((part, below))
         below += n
-    base = spark.createDataFrame(bases, "part int, base long")
-    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    # the counts of files alone are ordered; payloads meet their starts by a key
-    starts = files.select("part", "file", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part")).join(F.broadcast(base), "part").select("part", "file", (F.col("base") + F.col("in_part")).alias("start"))
+    starts = spark.createDataFrame(bases, "part int, base long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,4 +303,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(F.broadcast(starts), ["part", "file"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.join(F.broadcast(starts) if len(bases) <= MAX_PARTS else starts, "part").select((F.col("base") + F.col("before")).alias("start"), "payload")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -58,10 +58,19 @@ def months_between_inclusive(first: Column, last: Column) -> Column:
     return F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str) -> DataFrame:
-    """Left rows with the latest ``value`` of the right at or before theirs, or null: one union and a window, no pairs."""
-    side = right.select(*keys, F.col(right_at).alias("__at"), F.col(value).alias("__v"), F.lit(0).alias("__left"), *[F.lit(None).cast(t).alias(f"__{c}") for c, t in left.dtypes if c not in keys])
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, days: int = 32) -> DataFrame:
+    """Left rows with the latest ``value`` of the right at or before theirs, or null: no pairs are made.
+
+    Time (dates or timestamps) is cut into stretches of ``days``; a window orders one stretch of a key, and the last value of the stretches
+    before comes from a running look over one row a stretch.
+    """
+    at = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    side = right.filter(F.col(value).isNotNull()).select(*keys, F.col(right_at).alias("__at"), F.col(value).alias("__v"), F.lit(0).alias("__left"), *[F.lit(None).cast(t).alias(f"__{c}") for c, t in left.dtypes if c not in keys])
     main = left.select(*keys, F.col(left_at).alias("__at"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v"), F.lit(1).alias("__left"), *[F.col(c).alias(f"__{c}") for c in left.columns if c not in keys])
-    w = Window.partitionBy(*keys).orderBy("__at", "__left").rowsBetween(Window.unboundedPreceding, 0)
-    found = side.unionByName(main).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__left = 1")
-    return found.select(*[F.col(c) if c in keys else F.col(f"__{c}").alias(c) for c in left.columns], F.col("__v").alias(value))
+    rows = side.unionByName(main).withColumn("__stretch", at(F.col("__at")))
+    before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "__stretch").agg(F.max_by("__v", F.when(F.col("__left") == 0, F.col("__at"))).alias("__end"))
+    carried = ends.select(*keys, "__stretch", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    w = Window.partitionBy(*keys, "__stretch").orderBy("__at", "__left").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__left = 1").join(carried, [*keys, "__stretch"])
+    return found.select(*[F.col(c) if c in keys else F.col(f"__{c}").alias(c) for c in left.columns], F.coalesce("__v", "__carried").alias(value))

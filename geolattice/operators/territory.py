@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolattice.functions.order_stats import ranked_values
+
 
 def cohort_curve(events: DataFrame, unit: str, month: str, n: str, capacity: str) -> DataFrame:
     """Cumulative share of a unit's capacity by month of age, capped at 1, on a spine without gaps. Age 0 is the first month."""
@@ -33,7 +35,9 @@ def contribution(parts: DataFrame, unit: str, period: str, n: str) -> DataFrame:
 def votes(scores: DataFrame, unit: str, scenarios: list[str], top: int) -> DataFrame:
     """How often a unit is among the ``top`` of a scenario (rank by falling value, ties share the best), and its best rank."""
     long_ = scores.select(unit, F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(s).cast("double").alias("v")) for s in scenarios])).alias("x")).select(unit, "x.*")
-    ranked = long_.withColumn("rank", F.rank().over(Window.partitionBy("scenario").orderBy(F.desc("v"))))
+    long_ = long_.withColumn("v", -F.col("v"))
+    places = ranked_values(long_, ["scenario"], "v").select("scenario", "v", (F.col("below") + 1).alias("rank"))
+    ranked = long_.join(places, ["scenario", "v"])
     return ranked.groupBy(unit).agg(F.sum((F.col("rank") <= top).cast("long")).alias("votes"), F.min("rank").cast("long").alias("best"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolattice.functions import radiometry as R
-from geolattice.functions.order_stats import average_rank, spearman, terciles
+from geolattice.functions.order_stats import spearman, terciles, with_average_rank
 from geolattice.operators import dates as D
 from geolattice.operators import territory as T
 from geolattice.operators.polygons import hexagon
@@ -58,16 +58,9 @@ def monthly_history(spark: SparkSession, folder: str) -> DataFrame:
     return D.best_of_month(scenes(spark, folder).filter("cloud is not null").select("day", "cloud"), 3)
 
 
-@query(f"with {SCENES}, a as (select scene_id, tile, day from sc where scene_id % 5 = 0), b as (select tile, day as d2, max(cloud) as cloud from sc where scene_id % 5 = 1 and cloud is not null group by 1, 2) select a.scene_id, a.tile, a.day, b.cloud from a asof left join b on a.tile = b.tile and a.day >= b.d2")
+@query(f"with {SCENES}, b as (select tile, day as d2, max(cloud) as cloud from sc where cloud is not null group by 1, 2) select sc.scene_id, sc.tile, sc.day, b.cloud from sc asof left join b on sc.tile = b.tile and sc.day >= b.d2")
 def as_of(spark: SparkSession, folder: str) -> DataFrame:
-    s = scenes(spark, folder)
-    right = s.filter("scene_id % 5 = 1 and cloud is not null").groupBy("tile", "day").agg(F.max("cloud").alias("cloud"))
-    return D.as_of(s.filter("scene_id % 5 = 0").select("scene_id", "tile", "day"), right, ["tile"], "day", "day", "cloud")
-
-
-@query()
-def as_of_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """``as_of`` with all scenes on both sides; the latest value is looked up for each tile and day, and scenes are joined to it."""
+    """The latest known cloud at or before each scene's day; it is looked up for each tile and day, and scenes are joined to it."""
     s = scenes(spark, folder)
     right = s.filter("cloud is not null").groupBy("tile", "day").agg(F.max("cloud").alias("cloud"))
     days = D.as_of(s.select("tile", "day").distinct(), right, ["tile"], "day", "day", "cloud")
@@ -89,7 +82,8 @@ def rank_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select p_partkey, p_size::bigint as p_size, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0 as place from part")
 def average_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), average_rank(F.col("p_size")).alias("place"))
+    p = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+    return with_average_rank(p, "p_size", "place").select("p_partkey", "p_size", "place")
 
 
 @query("""with e as (select c_nationkey, quantile_cont(c_acctbal, 1.0 / 3) as a, quantile_cont(c_acctbal, 2.0 / 3) as b from customer group by 1), t as (select c_custkey, c_nationkey, c_acctbal, case when c_acctbal <= a then 1 when c_acctbal <= b then 2 else 3 end as tercile from customer join e using (c_nationkey)),
@@ -105,16 +99,9 @@ def rank_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return spearman(table(spark, folder, "part"), "p_size", "p_retailprice", ["p_brand"]).withColumn("rho", F.round("rho", 6))
 
 
-@query("""with e as (select o_custkey as unit, date_trunc('month', o_orderdate)::date as m, count(*) as n from orders where o_custkey % 10 = 1 group by 1, 2), a as (select unit, min(m) as a, max(m) as b from e group by 1),
+@query("""with e as (select o_custkey as unit, date_trunc('month', o_orderdate)::date as m, count(*) as n from orders group by 1, 2), a as (select unit, min(m) as a, max(m) as b from e group by 1),
  s as (select unit, a, unnest(generate_series(a::timestamp, b::timestamp, interval 1 month))::date as m from a) select unit, date_diff('month', a, m) as age, round(least(sum(coalesce(n, 0)) over (partition by unit order by m) / 8.0, 1.0), 6) as share from s left join e using (unit, m)""")
 def cohort_curves(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").filter("o_custkey % 10 = 1").select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("m"), F.lit(1).alias("n"), F.lit(8.0).alias("cap"))
-    return T.cohort_curve(o, "unit", "m", "n", "cap").withColumn("share", F.round("share", 6))
-
-
-@query()
-def cohort_curves_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """``cohort_curves`` of every customer that has orders."""
     o = table(spark, folder, "orders").select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("m"), F.lit(1).alias("n"), F.lit(8.0).alias("cap"))
     return T.cohort_curve(o, "unit", "m", "n", "cap").withColumn("share", F.round("share", 6))
 
@@ -216,16 +203,8 @@ def top_in_all(spark: SparkSession, folder: str) -> DataFrame:
     return T.votes(s, "s_suppkey", ["a", "b", "c"], 40).filter("votes > 0").select("s_suppkey", F.when(F.col("votes") == 3, "all").otherwise("some").alias("place"))
 
 
-@query("select 'a' as source, s_suppkey as id, s_acctbal as balance, null as name from supplier where s_suppkey < 20 union all select 'b', c_custkey, null, c_name from customer where c_custkey < 20")
+@query("select 'a' as source, s_suppkey as id, s_acctbal as balance, null as name from supplier union all select 'b', c_custkey, null, c_name from customer")
 def measurement_union(spark: SparkSession, folder: str) -> DataFrame:
-    a = table(spark, folder, "supplier").filter("s_suppkey < 20").selectExpr("'a' as source", "s_suppkey as id", "s_acctbal as balance")
-    b = table(spark, folder, "customer").filter("c_custkey < 20").selectExpr("'b' as source", "c_custkey as id", "c_name as name")
-    return measurements([a, b])
-
-
-@query()
-def measurement_union_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """``measurement_union`` of the whole tables."""
     a = table(spark, folder, "supplier").selectExpr("'a' as source", "s_suppkey as id", "s_acctbal as balance")
     b = table(spark, folder, "customer").selectExpr("'b' as source", "c_custkey as id", "c_name as name")
     return measurements([a, b])

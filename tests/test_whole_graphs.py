@@ -1,4 +1,4 @@
-"""Graph queries on whole tables, which have no SQL, against plain versions."""
+"""Graph queries against plain versions."""
 
 import heapq
 from collections import defaultdict
@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_components_of_all_rows(spark, tmp_path):
-    # part 1 joins orders 1 and 2; order 3 and part 3 have equal keys; rows that the sampled query leaves out
+    # part 1 joins orders 1 and 2; order 3 and part 3 have equal keys
     rows = [(1, 1, 4, 50), (2, 1, 2, 40), (2, 7, 1, 30), (3, 3, 3, 20), (6010, 9, 7, 13), (3008, 9, 7, 13)]
     rows += [(o, 100 + o * o % 37, 1 + o % 7, 13) for o in range(4000, 4200)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
@@ -26,7 +26,7 @@ def test_components_of_all_rows(spark, tmp_path):
     for o, p, *_ in rows:
         a, b = sorted((root(2 * o), root(2 * p + 1)))
         up[b] = a
-    got = QUERIES["components_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["components"](spark, str(tmp_path)).collect()
     assert sorted((r.node, r.component) for r in got) == sorted((x, root(x)) for x in up)
 
 
@@ -43,5 +43,5 @@ def test_network_distance_from_every_supplier(spark):
             best[x] = d
             for y, w in near[x]:
                 heapq.heappush(heap, (d + w, y))
-    got = {r.node: r.d for r in QUERIES["network_distance_whole"](spark, FOLDER).collect()}
+    got = {r.node: r.d for r in QUERIES["network_distance"](spark, FOLDER).collect()}
     assert got == pytest.approx(best) and sum(d == 0 for d in got.values()) == len(set(keys))

@@ -24,7 +24,7 @@ from geolattice.llm.wordcache import WordCache
 #: Fixed value: the character that stands for a space in pieces.
 MARK = "▁"
 #: Bytes of text encoded at a time; a longer document is one slice.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Characters beyond which a word has an agenda of its own, and bytes beyond which each of its occurrences has.
 LONG = 400
 _NONE = np.iinfo(np.int64).max
@@ -233,7 +233,7 @@ class Codec:
             out = np.repeat(ids, size)
             out[np.repeat(ids < 0, size)] = self.pieces.byte[np.frombuffer(b"".join(spelled), np.uint8)]
             word, ids = np.repeat(word, size), out
-        return ids.astype(np.uint16 if self.pieces.size <= 1 << 16 else np.int64), np.bincount(word, minlength=len(counts))
+        return ids, np.bincount(word, minlength=len(counts))
 
     def encode(self, s: T.Slice, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count of each document): a text that is not empty begins with a mark; doc_keys vary the segmentation."""

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; one longer document is a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 U = np.uint64
 
 
@@ -46,24 +46,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
+class _Base:
     """Powers of an odd base modulo 2**64 and of its inverse, made once in each Python worker and extended as needed."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, dtype=np.int64)) * 2 + 1
+        self.base = int(np.random.default_rng(seed).integers(1 << 62, dtype=np.int64)) * 2 + 1
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
         self.up = self.down = np.ones(1, U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
+        if len(self.up) < n:
+            size = -(-n // STEP) * STEP
+            for name, base in (("up", self.base), ("down", self.inverse)):
+                x = np.full(size, base, U)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
         return self.up, self.down
 
 
+#: Places by which the powers grow.
+STEP = 1 << 16
+#: Two bases serve all seeds, so that their powers are few; seeds differ by what stands for a byte.
+_BASES = [_Base(1), _Base(2)]
+
+
+class _Powers:
+    def __init__(self, seed: int):
+        self.own = _BASES[seed % 2]
+        self.base, self.to = self.own.base, self.own.to
+        self.table = np.random.default_rng(1000 + seed).integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+
+
 _POWERS: dict[int, _Powers] = {}
 
 
@@ -87,7 +100,7 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, U)
-    p = _powers(seed + 7919)
+    p = _powers(seed + 7920)
     up, down = p.to(len(words) + 1)
     total = np.zeros(len(words) + 1, U)
     np.cumsum(words * up[: len(words)], out=total[1:])

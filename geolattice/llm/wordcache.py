@@ -7,11 +7,12 @@ from collections.abc import Callable
 import numpy as np
 
 #: Entries after which a worker starts its cache afresh.
-MAX_ENTRIES = 1_500_000
+MAX_ENTRIES = 200_000
 
 
 class WordCache:
-    """Token ids by word. ``encode`` gets the distinct words missing, by index into the keys asked for, and returns ids and their counts."""
+    """Numbers by word (token ids, of 32 bits). ``encode`` gets the distinct words missing, by index into the keys asked for, and returns
+    the numbers and how many each word has; numbers that 32 bits don't hold are refused."""
 
     def __init__(self, max_entries: int = MAX_ENTRIES):
         self.max_entries = max_entries
@@ -22,7 +23,7 @@ class WordCache:
         self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.check = np.zeros(1 << 16, np.uint64)
         self.start = np.zeros((1 << 16) + 1, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint16)
+        self.ids = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
 
     def _grow(self, entries: int, ids: int) -> None:
@@ -46,6 +47,8 @@ class WordCache:
         if missing.any():
             where = np.flatnonzero(missing)
             ids, counts = encode(first[where])
+            if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 32:
+                raise ValueError("an id needs more than 32 bits")
             self._grow(len(where), len(ids))
             new = np.arange(self.n, self.n + len(where))
             # a key whose second hash differs gets a newer entry, which comes first among equals

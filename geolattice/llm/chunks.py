@@ -1,7 +1,7 @@
 """Documents dealt once to chunks of bounded size, and questions that chunks ask of each other through keyed exchanges.
 
 Finding what repeats in a corpus needs a second look at the text, with knowledge from everywhere else. The text is
-exchanged once, by a hash of its id; the same exchange serves every look, since each look is a branch of one plan (Spark
+exchanged once, by a hash of its id and itself; the same exchange serves every look, since each look is a branch of one plan (Spark
 reuses equal exchanges). In between, chunks send sorted, packed keys to buckets of the key space, and each bucket answers with
 one bit a key, in the order in which they were sent, so an answer is far smaller than its question. A key is in one message
 of its chunk however often the chunk has it, so a key that a third of all rows share is one entry a chunk.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from geolattice.llm.session import partitions
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MESSAGE = "bucket long, chunk long, kind int, body binary"
 _CODEC = "zstd"
 
@@ -30,7 +30,7 @@ def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BY
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(-(-total // chunk_bytes), partitions(docs.sparkSession))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long")).repartition(partitions(docs.sparkSession), "chunk"), total
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(partitions(docs.sparkSession), "chunk"), total
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -18,10 +18,14 @@ from geolattice.llm import chunks as C
 from geolattice.llm import text as T
 
 LENGTH, SEED = 400, 32
-#: Anchors, and bytes of suffix runs, that a bucket of the first and second exchange expects.
-SEEN_BUCKET, RUN_BUCKET_BYTES = 1 << 18, 8 << 20
+#: Anchors, and bytes of text, that a bucket of the first and second exchange expects.
+SEEN_BUCKET, RUN_BUCKET_BYTES = 1 << 18, 4 << 20
+#: An anchor that the corpus has more often is hot. Its suffixes are dealt by more than the anchor, see ``_Run``.
+HOT = 2048
 #: Bits of a hash that decide which substring is least; the rest hold its place, so the first of equals wins.
 PLACE_BITS = np.uint64(24)
+#: String starts of a slice that are looked at together.
+STEP = 1 << 22
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 SEEN, RUN, NOTE = 0, 1, 2
 
@@ -30,48 +34,34 @@ class _Anchors:
     """Anchors of a slice: their places, hashes, and the first and last string starts filed under each."""
 
     def __init__(self, s: T.Slice, length: int):
-        n, width = len(s.data), length - SEED + 1
         self.slice = s
-        self.at = self.hash = self.low = self.high = np.zeros(0, np.int64)
-        if n < length:
-            self.hash = self.hash.astype(np.uint64)
-            return
-        starts = np.arange(n - SEED + 1)
-        h = T.span_hashes(s.data, starts, starts + SEED, 3)
-        low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-        key = (h & ~low) | starts.astype(np.uint64) if n <= int(low) else h
-        # least of each run of ``width``: prefix and suffix minima of blocks of that width
-        pad = -len(key) % width
-        blocks = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
-        fore = np.minimum.accumulate(blocks, axis=1).ravel()[: len(key)]
-        back = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()[: len(key)]
-        m = len(key) - width + 1
-        least = np.minimum(back[:m], fore[width - 1 :])
-        start = np.arange(m)
-        if n <= int(low):
-            anchor = (least & low).astype(np.int64)
-        else:  # a very long document: the place of each minimum is the first with that hash from the start on
-            order = np.argsort(h, kind="stable")
-            first = np.searchsorted(h[order], least)
-            anchor = order[first]
-            for _ in range(64):
-                late = anchor < start
-                if not late.any():
-                    break
-                first[late] += 1
-                anchor[late] = order[first[late]]
-            else:
-                anchor = np.array([int(i + np.argmin(h[i : i + width])) for i in range(m)])
-        # strings inside one document only
-        doc = np.searchsorted(s.offsets[1:], start, "right")
-        inside = start + length <= s.offsets[1:][doc]
-        start, anchor = start[inside], anchor[inside]
+        parts = [_least(s, a, min(a + STEP, len(s.data) - length + 1), length) for a in range(0, max(len(s.data) - length + 1, 0), STEP)]
+        start, anchor = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ((), ())))
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         self.at, self.low = anchor[first], start[first]
         self.high = start[np.append(first[1:], len(anchor)) - 1] if len(first) else self.low
-        self.hash = h[self.at]
+        self.hash = T.span_hashes(s.data, self.at, self.at + SEED, 3)
+
+
+def _least(s: T.Slice, begin: int, stop: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """String starts from ``begin`` to ``stop`` whose strings lie inside one document, and the anchor of each: by the upper bits of the hash, then by place."""
+    data, width = s.data[begin : stop + length - 1], length - SEED + 1
+    starts = np.arange(len(data) - SEED + 1)
+    h = T.span_hashes(data, starts, starts + SEED, 3)
+    low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    key = (h & ~low) | starts.astype(np.uint64)
+    # least of each run of ``width``: prefix and suffix minima of blocks of that width
+    pad = -len(key) % width
+    blocks = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
+    fore = np.minimum.accumulate(blocks, axis=1).ravel()[: len(key)]
+    back = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()[: len(key)]
+    m = len(key) - width + 1
+    anchor = (np.minimum(back[:m], fore[width - 1 :]) & low).astype(np.int64) + begin
+    start = np.arange(begin, begin + m)
+    inside = start + length <= s.offsets[1:][np.searchsorted(s.offsets[1:], start, "right")]
+    return start[inside], anchor[inside]
 
 
 def _slices(t: pa.Table, length: int) -> list[_Anchors]:
@@ -83,39 +73,55 @@ def _ordered(t: pa.Table) -> pa.Table:
     return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _seen_question(t: pa.Table, length: int, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+def _seen_question(t: pa.Table, length: int, buckets: int, hot: int) -> Iterator[tuple[int, int, int, bytes]]:
     h, times = np.unique(np.concatenate([a.hash for a in _slices(_ordered(t), length)]), return_counts=True)
     for bucket, part in C.split(_bucket(h, buckets)):
-        yield bucket, t["chunk"][0].as_py(), SEEN, C.pack(C.deltas(h[part]), np.packbits(times[part] > 1))
+        yield bucket, t["chunk"][0].as_py(), SEEN, C.pack(C.deltas(h[part]), np.minimum(times[part], hot + 1).astype(np.uint32))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _merge_seen(bodies: list[bytes]) -> list[bytes]:
-    """Tells each chunk which of its anchors' substrings are anchors twice or more in the corpus."""
-    hashes, twice = [], []
+def _merge_seen(bodies: list[bytes], hot: int) -> list[bytes]:
+    """Tells each chunk which of its anchors' substrings are anchors twice or more in the corpus, and which are hot."""
+    hashes, times = [], []
     for body in bodies:
         delta, own = C.unpack(body)
         hashes.append(np.cumsum(delta, dtype=np.uint64))
-        twice.append(np.unpackbits(own, count=len(delta)))
+        times.append(own)
     h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, weights=1 + np.concatenate(twice), minlength=len(h))
-    return [C.pack(np.packbits(x)) for x in np.split(total[inverse] >= 2, np.cumsum([len(x) for x in hashes])[:-1])]
+    total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(h))[inverse]
+    return [C.pack(np.packbits(x >= 2), np.packbits(x > hot)) for x in np.split(total, np.cumsum([len(x) for x in hashes])[:-1])]
 
 
 class _Run:
-    """A chunk's suffixes at repeated anchors: for each bucket sorted, equal ones once, and where in the chunk they came from."""
+    """A chunk's suffixes at repeated anchors: for each bucket sorted, equal ones once, and where in the chunk they came from.
 
-    def __init__(self, t: pa.Table, parts: list[_Anchors], wanted: list[np.ndarray], length: int, buckets: int):
+    An entry is the suffix from the anchor on, what stands before it, and how many bytes before the anchor the last of its strings
+    starts. The suffixes of an anchor go to a bucket by its hash. A hot anchor's are dealt further: of its strings, those that start at
+    most half a string before it share so many bytes behind its start, and the others so many before it, and these bytes choose the bucket.
+    Equal strings have both alike, so they still meet, though strings that merely share the anchor do not.
+    """
+
+    def __init__(self, parts: list[_Anchors], wanted: list[tuple[np.ndarray, np.ndarray]], length: int, buckets: int):
         found: dict[int, dict[tuple[bytes, bytes, int], list[tuple[int, int]]]] = {}
-        for k, (a, want) in enumerate(zip(parts, wanted, strict=True)):
-            raw = a.slice.data.tobytes()
-            at, low, high = a.at[want].tolist(), a.low[want].tolist(), a.high[want].tolist()
-            for bucket, p, i, j in zip(_bucket(a.hash[want], buckets).tolist(), at, low, high, strict=True):
-                # the suffix from the anchor on, what stands before it, and how far back the last string starts
-                found.setdefault(bucket, {}).setdefault((raw[p : j + length], raw[i:p], p - j), []).append((k, p))
+        half = (length - SEED) // 2
+
+        def add(k: int, raw: bytes, hashes: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+            for bucket, at, i, j in zip(_bucket(hashes, buckets).tolist(), p.tolist(), first.tolist(), last.tolist(), strict=True):
+                found.setdefault(bucket, {}).setdefault((raw[at : j + length], raw[i:at], at - j), []).append((k, at))
+
+        for k, (a, (want, hot)) in enumerate(zip(parts, wanted, strict=True)):
+            raw, plain = a.slice.data.tobytes(), want & ~hot
+            add(k, raw, a.hash[plain], a.at[plain], a.low[plain], a.high[plain])
+            if hot.any():
+                h, at, low, high = a.hash[hot], a.at[hot], a.low[hot], a.high[hot]
+                near, far = at - high <= half, at - low > half
+                behind = T.mix(h[near] ^ T.span_hashes(a.slice.data, at[near], at[near] + length - half, 5))
+                add(k, raw, behind, at[near], np.maximum(low, at - half)[near], high[near])
+                before = T.mix(h[far] ^ T.span_hashes(a.slice.data, at[far] - half - 1, at[far], 7))
+                add(k, raw, before, at[far], low[far], np.minimum(high, at - half - 1)[far])
         self.buckets = {b: sorted(x.items()) for b, x in sorted(found.items())}
 
     def question(self, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -151,19 +157,27 @@ def _front_coded(entries: list[tuple[bytes, bytes, int]], twice: list[bool]) ->
     return C.pack(u(shared), u([len(x) for x in rests], np.uint32), u([len(x) for x in before]), u([x[2] for x in entries]), u(twice, np.uint8), *texts)
 
 
-def _decoded(body: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
-    shared, n_rest, n_before, back, twice, rests, before = C.unpack(body)
-    rests, before = rests.tobytes(), before.tobytes()
-    suffixes, lefts, last, at, from_ = [], [], b"", 0, 0
-    for k, n, m in zip(shared.tolist(), n_rest.tolist(), n_before.tolist(), strict=True):
-        last = last[:k] + rests[at : at + n]
-        suffixes.append(last)
-        lefts.append(before[from_ : from_ + m])
-        at, from_ = at + n, from_ + m
-    return suffixes, shared.tolist(), lefts, back.astype(np.int64), twice
+class Suffixes:
+    """A sorted run as it came: front-coded. Only the suffix at hand is spelled out, and it moves on."""
+
+    def __init__(self, shared: np.ndarray, n_rest: np.ndarray, rests: np.ndarray):
+        self.n, self.place, self.at = len(shared), 0, 0
+        self.shared, self.n_rest, self.rests = shared, n_rest, rests
+        self.suffix = b""
+        self._spell()
+
+    def _spell(self) -> None:
+        if self.place < self.n:
+            stop = self.at + int(self.n_rest[self.place])
+            self.suffix = self.suffix[: int(self.shared[self.place])] + self.rests[self.at : stop].tobytes()
+            self.at = stop
+
+    def move(self) -> None:
+        self.place += 1
+        self._spell()
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
+def merge_runs(runs: list[Suffixes]) -> Iterator[tuple[int, int, int]]:
     """Merges sorted runs with a loser tree; yields (run, place, bytes shared with the suffix before) in order.
 
     Each run comes with the lengths that its suffixes share with the one before in the run. The tree keeps for every contender the
@@ -173,8 +187,8 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
     n = 1
     while n < len(runs):
         n *= 2
-    place, known = [0] * n, [0] * n
-    ended = [k >= len(runs) or not runs[k][0] for k in range(n)]
+    known = [0] * n
+    ended = [k >= len(runs) or not runs[k].n for k in range(n)]
     loser = [0] * n
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -186,7 +200,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
         x, y = known[a], known[b]
         if x != y:
             return (a, b) if x > y else (b, a)
-        s, t = runs[a][0][place[a]], runs[b][0][place[b]]
+        s, t = runs[a].suffix, runs[b].suffix
         k = _shared_prefix(s, t, x)
         if k == len(s) or (k < len(t) and s[k] < t[k]):
             known[b] = k
@@ -202,13 +216,13 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
     winner = build(1) if n > 1 else 0
     while not ended[winner]:
-        yield winner, place[winner], known[winner]
-        place[winner] += 1
-        suffixes, shared = runs[winner]
-        if place[winner] == len(suffixes):
+        run = runs[winner]
+        yield winner, run.place, known[winner]
+        run.move()
+        if run.place == run.n:
             ended[winner] = True
         else:
-            known[winner] = shared[place[winner]]
+            known[winner] = int(run.shared[run.place])
         node = (winner + n) >> 1
         while node:
             winner, loser[node] = play(winner, loser[node])
@@ -217,41 +231,36 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
 def _merge_runs(bodies: list[bytes], length: int) -> list[bytes]:
     """Tells each chunk which strings filed under its suffixes occur elsewhere: for each suffix, ranges of the bytes before its anchor."""
-    runs = [_decoded(b) for b in bodies]
-    base = np.cumsum([0] + [len(r[0]) for r in runs])
-    order, shared = [], []
-    for k, i, s in merge_runs([(r[0], r[1]) for r in runs]):
-        order.append(base[k] + i)
-        shared.append(s)
-    n = len(order)
-    order, shared = np.array(order, np.int64), np.array(shared, np.int64)
-    lefts = [x for r in runs for x in r[2]]
-    left_len = np.array([len(x) for x in lefts], np.int64)[order] if n else np.zeros(0, np.int64)
-    back = np.concatenate([r[3] for r in runs])[order]
-    twice = np.concatenate([r[4] for r in runs])[order].astype(bool)
-    # hashes of the last j bytes before the anchors, from the right, j at a time
-    joined = np.frombuffer(b"".join(lefts[i] for i in order), np.uint8)
-    end = np.cumsum(left_len)
-    hash_, hits = np.zeros(n, np.uint64), []
-    base_, table = np.uint64(T._powers(11).base), T._powers(11).table
+    packed = [C.unpack(b) for b in bodies]
+    base = np.cumsum([0] + [len(x[0]) for x in packed])
+    n = int(base[-1])
+    order, shared = np.empty(n, np.int64), np.empty(n, np.int64)
+    for at, (k, i, s) in enumerate(merge_runs([Suffixes(x[0], x[1], x[5]) for x in packed])):
+        order[at], shared[at] = base[k] + i, s
+    flat = lambda k, kind: np.concatenate([np.zeros(0, kind), *[x[k] for x in packed]])
+    before, size = flat(6, np.uint8), flat(2, np.int64).astype(np.int64)
+    end, left_len = np.cumsum(size)[order], size[order]
+    back, twice = flat(3, np.int64).astype(np.int64)[order], flat(4, np.uint8)[order].astype(bool)
+    del packed
+    # classes of the last j bytes before the anchors, from the right, j at a time: a class and one byte more give the next
+    same_left, hits = np.zeros(n, np.int64), []
     for j in range(int(left_len.max(initial=0)) + 1):
         if j:
-            some = left_len >= j
-            hash_[some] = T.mix(hash_[some] * base_ + table[joined[end[some] - j]])
+            some = np.flatnonzero(left_len >= j)
+            same_left[some] = np.unique(same_left[some] << 8 | before[end[some] - j], return_inverse=True)[1]
         own = np.flatnonzero((back <= j) & (left_len >= j))
         if not len(own):
             continue
         # suffixes that share the other length - j bytes stand in one stretch
-        stretch = np.cumsum(shared < length - j)[own].astype(np.uint64)
-        key = T.mix(hash_[own] ^ stretch * np.uint64(0x9E3779B97F4A7C15))
+        key = np.cumsum(shared < length - j)[own] * n + same_left[own]
         sort = np.argsort(key, kind="stable")
         same = key[sort][1:] == key[sort][:-1]
         hit = twice[own]
         hit[sort[1:][same]] = True
         hit[sort[:-1][same]] = True
-        hits.append(np.stack([own[hit], np.full(int(hit.sum()), j)]))
-    flat = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
-    entry, j = order[flat[0]], flat[1]
+        hits.append(np.stack([own[hit], np.full(int(hit.sum()), j)]).astype(np.int32))
+    flat_hits = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int32)
+    entry, j = order[flat_hits[0]], flat_hits[1]
     sort = np.lexsort((j, entry))
     entry, j = entry[sort], j[sort]
     new = np.ones(len(entry), bool)
@@ -263,10 +272,11 @@ def _merge_runs(bodies: list[bytes], length: int) -> list[bytes]:
     for a, b in zip(base[:-1], base[1:], strict=True):
         x, y = np.searchsorted(entry, [a, b])
         out.append(C.pack((entry[x:y] - a).astype(np.uint32), from_[x:y], to[x:y]))
+    T.trim()
     return out
 
 
-def drop_repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes covers it that also starts at another place of the corpus,
@@ -274,32 +284,35 @@ def drop_repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     removed runs. Null and empty texts have no bytes; texts shorter than ``length`` lose none; rows alike in every column are as many
     documents. Other columns of ``docs`` are not looked at. ``length`` is at least twice SEED.
 
-    First look: chunks exchange the hashes of their anchors, and hear which the corpus has twice. Second look: suffixes at those go
-    out as sorted, front-coded runs, one a chunk and bucket, equal ones once; each bucket merges its runs and answers with the
-    strings that repeat. Third look: the bytes are removed. The text itself is exchanged once.
+    First look: chunks exchange the hashes of their anchors, and hear which the corpus has twice and which more than ``hot`` times. Second
+    look: suffixes at those go out as sorted, front-coded runs, one a chunk and bucket, equal ones once; each bucket merges its runs
+    and answers with the strings that repeat. Runs stay front-coded in the merge, and what stands before the anchors is compared
+    byte by byte too. Third look: the bytes are removed. The text itself is exchanged once.
     """
     parts, total = C.chunked(docs, doc_id, text, chunk_bytes)
     seen_buckets = max(1, total // 180 // SEEN_BUCKET)
     run_buckets = max(8, total // RUN_BUCKET_BYTES)
-    seen = C.answer(C.ask(parts, lambda t: _seen_question(t, length, seen_buckets)), _merge_seen)
+    seen = C.answer(C.ask(parts, lambda t: _seen_question(t, length, seen_buckets, hot)), lambda bodies: _merge_seen(bodies, hot))
 
-    def wanted(parts_: list[_Anchors], a: pa.Table) -> list[np.ndarray]:
-        """Which anchors of each slice are repeated."""
+    def wanted(parts_: list[_Anchors], a: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Which anchors of each slice are repeated, and which of them are hot."""
         h = np.unique(np.concatenate([x.hash for x in parts_]))
-        got, hot = C.replies(a, SEEN), np.zeros(len(h), bool)
+        got, again, often = C.replies(a, SEEN), np.zeros(len(h), bool), np.zeros(len(h), bool)
         for bucket, part in C.split(_bucket(h, seen_buckets)):
-            hot[part] = np.unpackbits(C.unpack(got[bucket])[0], count=part.stop - part.start).view(bool)
-        return [hot[np.searchsorted(h, x.hash)] for x in parts_]
+            again[part], often[part] = (np.unpackbits(x, count=part.stop - part.start).view(bool) for x in C.unpack(got[bucket]))
+        at = [np.searchsorted(h, x.hash) for x in parts_]
+        return [(again[x], often[x]) for x in at]
 
     def runs(t: pa.Table, a: pa.Table) -> Iterable[tuple[int, int, int, bytes]]:
         chunk, t = t["chunk"][0].as_py(), _ordered(t)
         own = _slices(t, length)
         want = wanted(own, a)
-        yield from _Run(t, own, want, length, run_buckets).question(chunk)
-        yield chunk, chunk, NOTE, C.pack(np.packbits(np.concatenate([*want, np.zeros(0, bool)])))
+        yield from _Run(own, want, length, run_buckets).question(chunk)
+        yield chunk, chunk, NOTE, C.pack(*[np.packbits(np.concatenate([*[x[k] for x in want], np.zeros(0, bool)])) for k in (0, 1)])
+        T.trim()
 
     def merge(bodies: list[bytes]) -> list[bytes]:
-        return bodies if len(C.unpack(bodies[0])) == 1 else _merge_runs(bodies, length)
+        return bodies if len(C.unpack(bodies[0])) == 2 else _merge_runs(bodies, length)
 
     merged = C.answer(C.ask(parts, runs, seen), merge)
 
@@ -309,14 +322,15 @@ def drop_repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         gone = [np.zeros(len(x.slice.data) + 1, np.int64) for x in own]
         if own:
             sizes = np.cumsum([len(x.at) for x in own])
-            want = np.split(np.unpackbits(C.unpack(C.replies(a, NOTE)[chunk])[0], count=int(sizes[-1])).view(bool), sizes[:-1])
+            want = zip(*[np.split(np.unpackbits(x, count=int(sizes[-1])).view(bool), sizes[:-1]) for x in C.unpack(C.replies(a, NOTE)[chunk])], strict=True)
             got = C.replies(a, RUN)
-            for bucket, entries in _Run(t, own, want, length, run_buckets).buckets.items():
+            for bucket, entries in _Run(own, list(want), length, run_buckets).buckets.items():
                 which, from_, to = (x.tolist() for x in C.unpack(got[bucket]))
                 for e, i, j in zip(which, from_, to, strict=True):
                     for k, p in entries[e][1]:
                         gone[k][p - j] += 1
                         gone[k][p - i + length] -= 1
+        T.trim()
         return _result(t, own, [np.cumsum(g[:-1]) > 0 for g in gone])
 
     return parts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(finish, RESULT)

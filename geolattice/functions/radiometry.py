@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised differences by name, as (a, b) of (a - b) / (a + b), and those that hold over water only.
@@ -18,6 +18,16 @@ def reflectance(dn: Column, scale: float = 1.0, offset: float = 0.0, nodata: flo
     return value if nodata is None else F.when(dn != nodata, value)
 
 
+def reflectance_without_shift(dn: Column, scale: float, offset: float, unshifted: Column) -> Column:
+    """As ``reflectance``, where rows of a collection that was delivered ``unshifted`` take no offset."""
+    return F.when(dn != 0, dn.cast("double") * scale + F.when(unshifted, 0.0).otherwise(offset))
+
+
+def unflagged(dn: Column, most: int, scale: float) -> Column:
+    """Numbers over ``most`` are flags, not values."""
+    return F.when(dn <= most, dn * scale)
+
+
 def normalized_difference(a: Column, b: Column) -> Column:
     """Null where either is, or where the sum is 0."""
     return (a - b) / F.nullif(a + b, F.lit(0.0))
@@ -37,6 +47,24 @@ def is_water(columns: list[str]) -> Column:
     return F.coalesce(index("MNDWI" if "swir1" in columns else "NDWI") > 0, F.lit(False))
 
 
+def is_bare(before: Column, after: Column, water: Column, cls: Column, built: int, limit: float = 0.2) -> Column:
+    """NDVI under the limit on both dates, not water (unknown counts as land) and not of the built class; never null."""
+    return F.coalesce((before < limit) & (after < limit) & ~F.coalesce(water > 0, F.lit(False)) & (cls != built), F.lit(False))
+
+
+def is_urbanized(ndvi: Column, mndwi: Column) -> Column:
+    return F.coalesce((ndvi <= 0.3) & (mndwi < 0), F.lit(False))
+
+
+def reliable_pair(first: Column, second: Column) -> Column:
+    """Both dates from July to October, when green tells built from dry."""
+    return F.month(first).between(7, 10) & F.month(second).between(7, 10)
+
+
+def occurrence_class(percent: Column) -> Column:
+    return F.when(percent >= 90, "permanent").when(percent >= 50, "frequent").when(percent > 0, "seldom").otherwise("never")
+
+
 def scene_class_state(cls: Column) -> Column:
     return F.when(cls.isNull(), NO_DATA).when(cls.isin(*CLOUD_CLASSES), CLOUD).otherwise(CLEAR)
 
@@ -85,6 +113,39 @@ def mixed_curve_number(curve_number: Column, new_ha: Column, area_km2: Column, b
     return curve_number + (F.lit(built) - curve_number) * F.least(F.lit(1.0), new_ha / (area_km2 * 100))
 
 
+def usable_basins(basins: DataFrame) -> DataFrame:
+    """Basins with a curve number and some measured area; the others are discarded, see ``discarded_basins``."""
+    return basins.filter("cn is not null and km2 > 0")
+
+
+def discarded_basins(basins: DataFrame) -> DataFrame:
+    return basins.filter("cn is null or coalesce(km2, 0) <= 0")
+
+
+def runoff_by_basin(basins: DataFrame, zones: DataFrame, rain_mm: Column) -> tuple[DataFrame, DataFrame]:
+    """From basins (poly, cn, km2) and built zones (id, poly: the basin that holds it or null, ha): the basins with ha, cn_new and the volumes
+    v0 and v1 in cubic metres, and one row with the number of zones outside all basins. A basin without measured area is an error."""
+    new = zones.filter("poly is not null").groupBy("poly").agg(F.sum("ha").alias("ha"))
+    area = F.coalesce(F.col("km2"), F.raise_error(F.lit("a basin declares no measured area")).cast("double"))
+    rows = basins.withColumn("km2", area).join(new, "poly", "left").withColumn("ha", F.coalesce("ha", F.lit(0.0)))
+    rows = rows.withColumn("cn_new", mixed_curve_number(F.col("cn"), F.col("ha"), F.col("km2")))
+    volume = lambda cn: runoff_depth(rain_mm, F.col(cn)) * F.col("km2") * 1000
+    return rows.withColumns({"v0": volume("cn"), "v1": volume("cn_new")}), zones.agg(F.count_if(F.col("poly").isNull()).alias("outside"))
+
+
+def tag_class(tags: Column) -> Column:
+    """The class of a map feature: the first rule that its tags meet."""
+    has = lambda k, *vs: F.coalesce(F.try_element_at(tags, F.lit(k)).isin(*vs), F.lit(False))
+    rules = [
+        (has("access", "private", "no"), "private"), (has("natural", "water"), "public_blue"), (has("leisure", "park", "garden"), "public_green"),
+        (has("leisure", "pitch"), "pitch"), (has("leisure", "wood") | has("natural", "wood"), "natural_area"),
+    ]
+    out = F.lit("context")
+    for test, name in reversed(rules):
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
 def annual_rate(first: Column, last: Column, years: Column) -> Column:
     return F.pow(last / first, F.lit(1.0) / years) - 1
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolattice.functions import radiometry as R
+from geolattice.functions.order_stats import rank_percentiles
+from geolattice.operators import polygons as G
 
 CELL = ["r", "c"]
 
@@ -78,3 +80,49 @@ def built_since(cells: DataFrame, year: str, flag: str) -> DataFrame:
     """First year from which on a cell is built in every later year; cells not built at the end are left out."""
     later = Window.partitionBy(*CELL).orderBy(F.desc(year)).rowsBetween(Window.unboundedPreceding, 0)
     return cells.withColumn("__on", F.min(F.col(flag).cast("int")).over(later)).filter("__on = 1").groupBy(*CELL).agg(F.min(year).alias("since"))
+
+
+def drop_clouds(pixels: DataFrame, state: Column, bands: list[str]) -> DataFrame:
+    """Bands are null where the state isn't clear."""
+    return pixels.withColumns({b: F.when(state == R.CLEAR, F.col(b)) for b in bands})
+
+
+def full_coverage(footprints: DataFrame, width: float, height: float, side: int = 7, least: float = 0.9) -> DataFrame:
+    """(day, share): days whose footprints (day, poly, points) cover ``least`` of a lattice of side by side probes; every day if none does.
+
+    Footprints of equal outline are tested once.
+    """
+    probes = footprints.sparkSession.range(side * side).select("id", ((F.col("id") % side + 0.5) * width / side).alias("x"), ((F.floor(F.col("id") / side) + 0.5) * height / side).alias("y"))
+    inside = G.points_in_polygons(probes, G.edges(footprints.select("poly", "points").dropDuplicates(["poly"])))
+    hits = footprints.select("day", "poly").join(inside, "poly").groupBy("day").agg(F.count_distinct("id").alias("n"))
+    shares = footprints.select("day").distinct().join(hits, "day", "left").select("day", (F.coalesce("n", F.lit(0)) / (side * side)).alias("share"))
+    best = shares.agg(F.max("share").alias("__best"))
+    return shares.join(F.broadcast(best)).filter((F.col("share") >= least) | (F.col("__best") < least)).drop("__best")
+
+
+def change_report(deltas: DataFrame, value: str, threshold: float, hectares: float, moved: float) -> DataFrame:
+    """One row: limit_ (twice the threshold, or the larger of the 2nd and 98th percentile by size), hectares down, stable and up, mean,
+    upper median and whether that moved by ``moved`` (then the change is one of season)."""
+    p = rank_percentiles(deltas, [], value, {"lo": 0.02, "hi": 0.98, "mid": 0.5})
+    d = F.col(value)
+    sums = deltas.agg((F.count_if(d <= -threshold) * hectares).alias("down_ha"), (F.count_if((d > -threshold) & (d < threshold)) * hectares).alias("stable_ha"), (F.count_if(d >= threshold) * hectares).alias("up_ha"), F.round(F.avg(d), 6).alias("mean"))
+    limit = F.round(F.greatest(F.lit(2 * threshold), F.abs("lo"), F.abs("hi")), 9)
+    return sums.join(F.broadcast(p)).select(limit.alias("limit_"), "down_ha", "stable_ha", "up_ha", "mean", F.round("mid", 9).alias("upper_median"), (F.abs("mid") >= moved).alias("greening"))
+
+
+def true_colour(scene: DataFrame, bands: list[str], shares: tuple[float, float], gamma: float) -> DataFrame:
+    """Bytes of bands stretched each between two of its percentiles and raised to ``gamma``; cells with every band valid."""
+    out = scene.filter(" and ".join(f"{b} is not null" for b in bands))
+    for b in bands:
+        p = rank_percentiles(scene, [], b, {"lo": shares[0], "hi": shares[1]}).select(F.round("lo", 9).alias(f"__lo_{b}"), F.round("hi", 9).alias(f"__hi_{b}"))
+        out = out.join(F.broadcast(p))
+    span = lambda b: F.when(F.col(f"__hi_{b}") == F.col(f"__lo_{b}"), F.lit(1.0)).otherwise(F.col(f"__hi_{b}") - F.col(f"__lo_{b}"))
+    scaled = lambda b: F.least(F.greatest((F.col(b) - F.col(f"__lo_{b}")) / span(b), F.lit(0.0)), F.lit(1.0))
+    return out.withColumns({b: F.floor(F.pow(scaled(b), F.lit(gamma)) * 255 + 0.5).cast("long") for b in bands}).drop(*[f"__{k}_{b}" for k in ("lo", "hi") for b in bands])
+
+
+def square(r: Column, c: Column, side: int = 1) -> Column:
+    """A cell, or a square of cells, as a closed ring of five points in JSON."""
+    corners = ((0, 0), (side, 0), (side, side), (0, side), (0, 0))
+    points = [F.concat(F.lit("["), (c + a).cast("string"), F.lit(","), (r + b).cast("string"), F.lit("]")) for a, b in corners]
+    return F.concat(F.lit("["), F.concat_ws(",", *points), F.lit("]"))

@@ -1,6 +1,6 @@
 """The queries of the library: importing it registers them all."""
 
-from geolattice.plans import iterative, raster, territory  # noqa: F401
+from geolattice.plans import chain, iterative, raster, territory, units  # noqa: F401
 from geolattice.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

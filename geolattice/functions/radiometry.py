@@ -146,6 +146,11 @@ def tag_class(tags: Column) -> Column:
     return out
 
 
+def placemark_attribute(description: Column, name: str) -> Column:
+    """The cell behind the one called ``name`` in a placemark's table."""
+    return F.regexp_extract(description, rf"<td>{name}</td>\s*<td>(\w+)</td>", 1)
+
+
 def annual_rate(first: Column, last: Column, years: Column) -> Column:
     return F.pow(last / first, F.lit(1.0) / years) - 1
 

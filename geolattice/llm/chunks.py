@@ -83,7 +83,8 @@ def answer(asked: DataFrame, merge: Callable[[list[bytes]], list[bytes]]) -> Dat
         replies = merge(t["body"].to_pylist())
         return messages(zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), t["kind"].to_pylist(), replies, strict=True))
 
-    return asked.groupBy("kind", "bucket").applyInArrow(run, MESSAGE)
+    # messages are small when packed and large at work, so all partitions are wanted
+    return asked.repartition(partitions(asked.sparkSession), "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, MESSAGE)
 
 
 def replies(answers: pa.Table, kind: int) -> dict[int, bytes]:

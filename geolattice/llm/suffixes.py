@@ -229,6 +229,19 @@ def merge_runs(runs: list[Suffixes]) -> Iterator[tuple[int, int, int]]:
             node >>= 1
 
 
+def _backward(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings, given one behind the other, in order when read from the right: their places, and the bytes that each shares with the one before."""
+    raw, stop = data[::-1].tobytes(), len(data) - np.cumsum(size)
+    texts = [raw[a : a + n] for a, n in zip(stop.tolist(), size.tolist(), strict=True)]
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    shared, last = np.full(len(texts), -1, np.int64), b""
+    for k, i in enumerate(order):
+        if k:
+            shared[k] = _shared_prefix(last, texts[i])
+        last = texts[i]
+    return np.array(order, np.int64), shared
+
+
 def _merge_runs(bodies: list[bytes], length: int) -> list[bytes]:
     """Tells each chunk which strings filed under its suffixes occur elsewhere: for each suffix, ranges of the bytes before its anchor."""
     packed = [C.unpack(b) for b in bodies]
@@ -238,36 +251,37 @@ def _merge_runs(bodies: list[bytes], length: int) -> list[bytes]:
     for at, (k, i, s) in enumerate(merge_runs([Suffixes(x[0], x[1], x[5]) for x in packed])):
         order[at], shared[at] = base[k] + i, s
     flat = lambda k, kind: np.concatenate([np.zeros(0, kind), *[x[k] for x in packed]])
-    before, size = flat(6, np.uint8), flat(2, np.int64).astype(np.int64)
-    end, left_len = np.cumsum(size)[order], size[order]
-    back, twice = flat(3, np.int64).astype(np.int64)[order], flat(4, np.uint8)[order].astype(bool)
+    left_len = flat(2, np.int64).astype(np.int64)
+    lefts, backward = _backward(flat(6, np.uint8), left_len)
+    left_len, back, twice = left_len[order], flat(3, np.int64).astype(np.int64)[order], flat(4, np.uint8)[order].astype(bool)
     del packed
-    # classes of the last j bytes before the anchors, from the right, j at a time: a class and one byte more give the next
-    same_left, hits = np.zeros(n, np.int64), []
+    # what stands before the anchors, in order from the right: stretches that share j bytes there
+    at = np.empty(n, np.int64)
+    at[lefts] = np.arange(n)
+    at = at[order]
+    alone = lambda same: ~(same | np.append(same[1:], False))
+    since, closed = np.full(n, -1, np.int32), []
     for j in range(int(left_len.max(initial=0)) + 1):
-        if j:
-            some = np.flatnonzero(left_len >= j)
-            same_left[some] = np.unique(same_left[some] << 8 | before[end[some] - j], return_inverse=True)[1]
-        own = np.flatnonzero((back <= j) & (left_len >= j))
-        if not len(own):
-            continue
-        # suffixes that share the other length - j bytes stand in one stretch
-        key = np.cumsum(shared < length - j)[own] * n + same_left[own]
-        sort = np.argsort(key, kind="stable")
-        same = key[sort][1:] == key[sort][:-1]
-        hit = twice[own]
-        hit[sort[1:][same]] = True
-        hit[sort[:-1][same]] = True
-        hits.append(np.stack([own[hit], np.full(int(hit.sum()), j)]).astype(np.int32))
-    flat_hits = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int32)
-    entry, j = order[flat_hits[0]], flat_hits[1]
-    sort = np.lexsort((j, entry))
-    entry, j = entry[sort], j[sort]
-    new = np.ones(len(entry), bool)
-    new[1:] = (entry[1:] != entry[:-1]) | (j[1:] != j[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(entry)) - 1 if len(first) else first
-    entry, from_, to = entry[first], j[first].astype(np.uint16), j[last].astype(np.uint16)
+        same_right, same_left = shared >= length - j, backward >= j
+        own = (back <= j) & (left_len >= j)
+        hit = own & twice
+        some = np.flatnonzero(own & ~alone(same_right) & ~alone(same_left)[at])
+        if len(some) > 1:
+            key = np.cumsum(~same_right)[some] * n + np.cumsum(~same_left)[at[some]]
+            sort = np.argsort(key, kind="stable")
+            same = key[sort][1:] == key[sort][:-1]
+            hit[some[sort[1:][same]]] = True
+            hit[some[sort[:-1][same]]] = True
+        ended = np.flatnonzero(~hit & (since >= 0))
+        if len(ended):
+            closed.append((order[ended], since[ended].astype(np.int64), np.full(len(ended), j - 1)))
+            since[ended] = -1
+        since[hit & (since < 0)] = j
+    rest = np.flatnonzero(since >= 0)
+    closed.append((order[rest], since[rest].astype(np.int64), left_len[rest]))
+    entry, from_, to = (np.concatenate(x) for x in zip(*closed, strict=True))
+    sort = np.lexsort((from_, entry))
+    entry, from_, to = entry[sort], from_[sort].astype(np.uint16), to[sort].astype(np.uint16)
     out = []
     for a, b in zip(base[:-1], base[1:], strict=True):
         x, y = np.searchsorted(entry, [a, b])

@@ -90,6 +90,22 @@ def test_line_rules(spark):
     assert by[9]["n_bad_lines"] == 0 and by[9]["kept"] and not by[10]["kept"]
 
 
+def test_lines_of_the_corpus(spark):
+    # a line that stands between ever different lines goes; lines of many copies and of near copies stay; so do long passages
+    own = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(9)) + "."
+    page = lambda i, *more: "\n".join([own(i, 0), own(i, 1), own(i, 2), *more, own(i, 3), own(i, 4), own(i, 5)])
+    passage = " ".join(f"passage{k}" for k in range(40)) + "."
+    texts = [page(i, "Alle Rechte vorbehalten, mit Quelle.") for i in range(40)] + [page(100, "copied")] * 50 + [page(200) + f"\nedit {i}." for i in range(50)] + [page(300 + i, passage) for i in range(40)]
+    menu = "Start\nTopics\n\nOur team\nContact us\n" + page(900)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, menu, "", None])], "doc_id long, text string").repartition(7)
+    by = {r["doc_id"]: r for r in rows(quality.clean_lines(docs))}
+    assert all(by[i]["n_bad_lines"] == 1 and "Rechte" not in by[i]["cleaned_text"] and by[i]["kept"] for i in range(40))
+    assert all(by[i]["n_bad_lines"] == 0 and by[i]["kept"] for i in range(40, 180))
+    assert by[180]["n_bad_lines"] == 4 and by[180]["kept"] and by[180]["cleaned_text"].strip() == page(900)
+    assert not by[181]["kept"] and not by[182]["kept"]
+    assert len(quality.boilerplate(docs.limit(0))) == 0
+
+
 def normal(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

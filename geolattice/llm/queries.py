@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geolattice.llm.decontamination import find_benchmark
 from geolattice.llm.jaccard import near_duplicates
+from geolattice.llm.oracles import DECONTAMINATION, NEAR_DUPLICATES, PASSAGES
 from geolattice.llm.pieces import encode_pieces
 from geolattice.llm.pii import find_personal_data, listed
 from geolattice.llm.quality import clean_lines
@@ -73,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash, sort bytes, draw or learn; tests hold them against plain versions."""
+    return {"op5_decontamination": DECONTAMINATION, "op7_substrings": PASSAGES, "op9_jaccard": NEAR_DUPLICATES}

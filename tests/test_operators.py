@@ -167,15 +167,25 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     q = monitor.daily(stream, late="1 day").writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("days").collect()) == sorted(monitor.daily(events).collect())
-    q = monitor.keep_months(monitor.daily(events.limit(0)).sparkSession.readStream.schema("day date, n long").parquet(_days(spark, tmp_path)), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def _days(spark, tmp_path):
-    path = str(tmp_path / "days")
-    spark.createDataFrame([(date(2024, 1, 5), 1), (date(2024, 2, 5), 2)], "day date, n long").write.parquet(path)
-    return path
+def test_months_are_merged_and_closed(spark, tmp_path):
+    schema = "day date, n long"
+    given, out, checkpoint = (str(tmp_path / x) for x in ("days", "out", "cp"))
+
+    def batch(*rows):
+        spark.createDataFrame([(date(2024, m, d), n) for m, d, n in rows], schema).coalesce(1).write.mode("append").parquet(given)
+        monitor.keep_months(spark.readStream.schema(schema).parquet(given), out, checkpoint).awaitTermination(120)
+        kept = monitor.kept_months(spark, out, spark.createDataFrame([], schema).schema).collect()
+        return sorted(((r.month, r.day and r.day.day, r.n) for r in kept), key=str)
+
+    assert batch((1, 5, 1)) == [("2024-01", 5, 1)]
+    # January is still open and takes more; the next batch closes it, and February brings nothing
+    assert batch((1, 20, 2)) == [("2024-01", 20, 2), ("2024-01", 5, 1)]
+    closed = [("2024-01", 20, 2), ("2024-01", 5, 1), ("2024-02", None, None), ("2024-03", 3, 3)]
+    assert batch((3, 3, 3)) == closed
+    assert batch((1, 25, 9), (2, 1, 9)) == closed
+    assert batch((3, 30, 4)) == sorted([*closed, ("2024-03", 30, 4)], key=str)
 
 
 def test_entry(spark):

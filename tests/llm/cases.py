@@ -15,7 +15,7 @@ TEXTS = [
 
 
 def frame(spark, extra=True):
-    """The texts with ids, some rows twice, null ids, and columns with clashing names."""
+    """The texts with ids, each twice under different ids, and columns with clashing names. ``awkward`` has null and repeated ids."""
     rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(TEXTS)]
     rows += [(100 + i, t, "de", "src1", len(t or "")) for i, t in enumerate(TEXTS)] if extra else []
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,3 +31,20 @@ def hot(spark, n=400):
 
 def words(t):
     return WORD.findall(t or "")
+
+
+#: Two texts without a word in common, and one longer than any slice.
+FIRST = " ".join(f"alpha{i % 9}x{i}" for i in range(140))
+SECOND = " ".join(f"omega{i % 9}y{i}" for i in range(140))
+HUGE = " ".join(f"huge{i * i % 100003}" for i in range(90_000))
+AWKWARD = [
+    (None, None), (None, FIRST), (None, FIRST), (1, FIRST), (1, SECOND), (2, FIRST), (3, SECOND), (3, SECOND), (4, ""), (4, ""), (5, HUGE), (6, HUGE + " tail"), (7, "short"), (7, None),
+    (8, FIRST + " and more words here"), (-9, SECOND + " mail a@b.example.org, phone +1 (212) 555-0199"),
+]
+
+
+def awkward(spark):
+    """Null ids, ids with several texts, rows alike in every column, a very long text, and columns with clashing names."""
+    rows = [(i, t, "en", "src0", len(t or ""), "x", 1, [1], "k", True, 2, "h") for i, t in AWKWARD]
+    names = "doc_id long, text string, lang string, source string, n_chars long, shard string, n_words int, bands array<int>, chunk string, kept boolean, size int, hash string"
+    return spark.createDataFrame(rows, names).repartition(5)

@@ -34,6 +34,8 @@ FILE_BYTES = 8 << 20
 FILES = "part int, file int, before long, n_ids long, n_docs long, payload binary"
 #: Parts up to which the table of their first ids is broadcast (16 bytes each).
 MAX_PARTS = 200_000
+#: Stretches of text whose ids a worker keeps.
+STRETCHES = 1_000_000
 #: Bytes of text encoded at a time.
 ENCODED = 1 << 20
 _HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("n_out", "<u2")])
@@ -169,7 +171,7 @@ class ByteBpe:
 
         self.tokenizer: Tokenizer = Tokenizer.from_file(path)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache = WordCache()
+        self.cache = WordCache(STRETCHES)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []

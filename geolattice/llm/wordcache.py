@@ -52,9 +52,8 @@ class WordCache:
             self._grow(len(where), len(ids))
             new = np.arange(self.n, self.n + len(where))
             # a key whose second hash differs gets a newer entry, which comes first among equals
-            keys, entry = np.concatenate([own[where], self.keys]), np.concatenate([new, self.entry])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.entry = keys[order], entry[order]
+            place = np.searchsorted(self.keys, own[where])
+            self.keys, self.entry = np.insert(self.keys, place, own[where]), np.insert(self.entry, place, new)
             self.check[new] = check[first[where]]
             self.start[new + 1] = self.used + np.cumsum(counts)
             self.start[self.n] = self.used

@@ -42,7 +42,8 @@ class _Anchors:
         first = np.flatnonzero(new)
         self.at, self.low = anchor[first], start[first]
         self.high = start[np.append(first[1:], len(anchor)) - 1] if len(first) else self.low
-        self.hash = T.span_hashes(s.data, self.at, self.at + SEED, 3)
+        # anchors have low hashes; mixed once more they spread evenly over the buckets
+        self.hash = T.mix(T.span_hashes(s.data, self.at, self.at + SEED, 3))
 
 
 def _least(s: T.Slice, begin: int, stop: int, length: int) -> tuple[np.ndarray, np.ndarray]:

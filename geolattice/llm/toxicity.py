@@ -1,8 +1,9 @@
 """Toxicity by two Kneser-Ney models of words, one for each class, over back-off counts that both share.
 
-A word is generated in two steps, its first PREFIX bytes and then the whole of it, each with absolute discounting: what a class
-discounts goes to the shared distribution of the same step, whose counts come from the whole corpus. Counts are of different
-texts: of rows with equal texts one counts. So an expression that a class has seen in DISCOUNT texts or less says nothing of its own.
+A word follows the word before it, with absolute discounting: what a class discounts goes to its model of the word alone. That one makes a
+word in two steps, its first PREFIX bytes and then the whole of it, each discounted likewise; what a class discounts there goes
+to the shared distribution of the same step, whose counts come from the whole corpus. Counts are of different texts: of rows with equal
+texts one counts. So an expression that a class has seen in DISCOUNT texts or less says nothing of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ HELD = 1 << 20
 WIDTHS = (1, 3, 12, 0)
 #: Words whose ratio exceeds this are strong evidence; its sum for the root of the length is one more feature.
 STRONG, FEATURES = 1.4, len(WIDTHS) + 1
-ROOT = np.uint64(0x51A9D3F7C2B48E61)
+#: Parents of steps are even, words as contexts of the next are odd.
+ROOT = np.uint64(0x51A9D3F7C2B48E60)
+EVEN, CONTEXT = ~np.uint64(1), np.uint64(0x9D2C5680CA4F1B37)
 COUNTS = "cls int, parent long, child long, n long"
 #: Repeated texts up to which a bitmap of their hashes (16 bits each, 8 MB at most) is broadcast.
 BITMAP_TEXTS = 4_000_000
@@ -38,7 +41,13 @@ SEVERAL = 5
 def _expressions(s: T.Slice) -> tuple[T.Words, np.ndarray, np.ndarray]:
     """Words of a slice with the hashes of their prefixes and of the whole words."""
     w = T.words(s, T.ALNUM)
-    return w, T.span_hashes(s.data, w.start, np.minimum(w.start + PREFIX, w.end), 5), T.span_hashes(s.data, w.start, w.end, 6)
+    return w, T.span_hashes(s.data, w.start, np.minimum(w.start + PREFIX, w.end), 5) & EVEN, T.span_hashes(s.data, w.start, w.end, 6)
+
+
+def _contexts(w: T.Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have one before them in their document, and what that one is as a context."""
+    at = np.flatnonzero(w.doc[1:] == w.doc[:-1]) + 1
+    return at, T.mix(whole[at - 1] ^ CONTEXT) | np.uint64(1)
 
 
 def _lower(column: pa.Array) -> pa.Array:
@@ -53,13 +62,18 @@ def _first(values: list[np.ndarray]) -> np.ndarray:
     return order[np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in values], axis=0)])]
 
 
-def _document_counts(s: T.Slice) -> tuple[np.ndarray, ...]:
-    """(document, parent, child) of each expression of each document, once."""
+def _document_counts(s: T.Slice, pairs: bool) -> tuple[np.ndarray, ...]:
+    """(document, parent, child) of each expression of each document, once; with ``pairs`` also of words behind the word before them."""
     w, prefix, whole = _expressions(s)
     own = _first([w.doc, whole])
     doc, pre, word = w.doc[own], prefix[own], whole[own]
     first = _first([doc, pre])
-    return np.concatenate([doc, doc[first]]), np.concatenate([pre, np.full(len(first), ROOT)]), np.concatenate([word, pre[first]])
+    parts = [(doc, pre, word), (doc[first], np.full(len(first), ROOT), pre[first])]
+    if pairs:
+        at, before = _contexts(w, whole)
+        one = _first([w.doc[at], before, whole[at]])
+        parts.append((w.doc[at][one], before[one], whole[at][one]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _summed(cls: np.ndarray, parent: np.ndarray, child: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -72,7 +86,7 @@ def _summed(cls: np.ndarray, parent: np.ndarray, child: np.ndarray, n: np.ndarra
     return cls[at], parent[at], child[at], np.add.reduceat(n[order], first)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[pa.RecordBatch]:
     """Documents by class and expression, summed within a task."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -84,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls = batch.column("cls").to_numpy(zero_copy_only=False)
         for s in T.slices(_lower(batch.column("text"))):
-            doc, parent, child = _document_counts(s)
+            doc, parent, child = _document_counts(s, pairs)
             held.append(_summed(cls[s.first + doc], parent, child, np.ones(len(doc), np.int64)))
         if sum(len(h[0]) for h in held) > 2 * HELD:
             yield out()
@@ -92,8 +106,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _count(batches, True)
+
+
 class Model:
-    """Log-likelihood ratios of expressions: those with evidence by key, all others by parent."""
+    """Log-likelihood ratios of expressions: those with evidence by key, all others by parent. Those of words behind a word are of the whole
+    word, those of contexts are added to the word's own."""
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray, parents: np.ndarray, defaults: np.ndarray):
         a, b = np.argsort(keys), np.argsort(parents)
@@ -106,30 +125,38 @@ class Model:
         at = np.minimum(np.searchsorted(sorted_, want), len(sorted_) - 1)
         return np.where(sorted_[at] == want, values[at], default)
 
-    def step(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    def step(self, parent: np.ndarray, child: np.ndarray, own: np.ndarray | float = 0.0) -> np.ndarray:
         default = self._at(self.parents, self.defaults, parent, np.float32(0))
-        return self._at(self.keys, self.ratios, T.mix(child ^ T.mix(parent)), default)
+        return self._at(self.keys, self.ratios, T.mix(child ^ T.mix(parent)), default + own)
 
-    def words(self, prefix: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    def words(self, w: T.Words, prefix: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each word alone, and behind the one before it (which a document's first word doesn't have)."""
         _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
         pre = prefix[first]
-        return (self.step(np.full(len(pre), ROOT), pre) + self.step(pre, whole[first]))[inverse]
+        alone = (self.step(np.full(len(pre), ROOT), pre) + self.step(pre, whole[first]))[inverse].astype(np.float64)
+        at, before = _contexts(w, whole)
+        behind = alone.copy()
+        behind[at] = self.step(before, whole[at], alone[at])
+        return alone, behind
 
     def features(self, s: T.Slice) -> np.ndarray:
-        """For each document the greatest length-normalised log-likelihood ratio of its stretches of each width."""
+        """For each document the greatest length-normalised log-likelihood ratio of its stretches of each width; single words count alone."""
         w, prefix, whole = _expressions(s)
-        ratio = self.words(prefix, whole).astype(np.float64)
+        alone, ratio = self.words(w, prefix, whole)
         total = np.concatenate([[0.0], np.cumsum(ratio)])
         out = np.zeros((s.n, FEATURES))
         n = w.per_doc
         some = np.flatnonzero(n)
-        out[:, -1] = np.bincount(w.doc, weights=np.maximum(ratio - STRONG, 0), minlength=s.n) / np.sqrt(n + 1)
+        out[:, -1] = np.bincount(w.doc, weights=np.maximum(alone - STRONG, 0), minlength=s.n) / np.sqrt(n + 1)
         for k, width in enumerate(WIDTHS):
             if not len(some):
                 break
             if width == 0:
                 out[some, k] = (total[w.begin[1:]] - total[w.begin[:-1]])[some] / n[some]
                 continue
+            if width == 1:
+                out[some, k] = np.maximum.reduceat(alone, w.begin[:-1][some])
+                continue
             # stretches end with their document, and are divided by their width even where that cuts them short
             stop = np.minimum(np.arange(len(ratio)) + width, w.begin[1:][w.doc])
             out[some, k] = np.maximum.reduceat((total[stop] - total[:-1]) / width, w.begin[:-1][some])
@@ -162,27 +189,47 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     part = F.when(F.min("part") == F.max("part"), F.min("part")).otherwise(SEVERAL)
     cells = labelled.groupBy("text", "cls").agg(part.alias("part")).select("text", (F.col("cls") + 2 * F.col("part")).cast("int").alias("cls"))
     n = {(y, k): F.sum(F.when((F.col("cls") % 2 == y) & (F.col("cls") != y + 2 * k), F.col("n")).otherwise(0)) for y in (0, 1) for k in FOLDS}
-    per_class = staged(cells.mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()]), "class-counts")
+    per_class = staged(cells.mapInArrow(_count_pairs, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()]), "class-counts")
     shared = staged(_texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(F.sum("n").alias("n")), "shared-counts")
     parents = per_class.groupBy("parent").agg(*[x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))])
+    pair = F.col("parent").bitwiseAND(1) == 1
     evident = per_class.filter(F.greatest("n0_0", "n1_0") > discount)
-    totals = shared.join(evident.select("parent").distinct(), "parent", "left_semi").groupBy("parent").agg(F.sum("n").alias("below"))
-    rows = evident.join(shared, ["parent", "child"]).join(totals, "parent").join(parents, "parent").toArrow()
+    steps = evident.filter(~pair)
+    totals = _below(shared.join(steps.select("parent").distinct(), "parent", "left_semi"))
+    rows = steps.join(shared, ["parent", "child"]).join(totals, "parent").join(parents, "parent").toArrow()
+    behind = evident.filter(pair).join(parents, "parent").toArrow()
     both = parents.filter("all0_0 > 0 and all1_0 > 0 and (left0_0 < all0_0 or left1_0 < all1_0)").toArrow()
     u = lambda t, x: t[x].to_numpy().astype(np.int64).view(np.uint64)
     base = rows["n"].to_numpy() / rows["below"].to_numpy()
+    parent, child = u(rows, "parent"), u(rows, "child")
+    # a word that is evident behind another is evident alone, and so is its prefix: their rows, for each pair
+    by_child = np.argsort(child, kind="stable")
+    find = lambda want: by_child[np.minimum(np.searchsorted(child[by_child], want), len(child) - 1)]
+    word = find(u(behind, "child")) if len(child) else np.zeros(0, np.int64)
+    prefix = find(parent[word]) if len(child) else word
     models = []
     for k in FOLDS:
-        logs, share = [], []
+        logs, pairs, share = [], [], []
         for y in (0, 1):
             own, total, left = (rows[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
-            logs.append(np.log(np.where(total > 0, (np.maximum(own - discount, 0) + left * base) / np.maximum(total, 1), base)))
+            p = np.where(total > 0, (np.maximum(own - discount, 0) + left * base) / np.maximum(total, 1), base)
+            logs.append(np.log(p))
+            own, total, left = (behind[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
+            alone = p[word] * p[prefix]
+            pairs.append(np.log(np.where(total > 0, (np.maximum(own - discount, 0) + left * alone) / np.maximum(total, 1), alone)))
             total, left = (both[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("all", "left"))
             share.append(np.log(np.where(total > 0, left, 1) / np.maximum(total, 1)))
-        models.append(Model(T.mix(u(rows, "child") ^ T.mix(u(rows, "parent"))), logs[1] - logs[0], u(both, "parent"), share[1] - share[0]))
+        keys = np.concatenate([T.mix(child ^ T.mix(parent)), T.mix(u(behind, "child") ^ T.mix(u(behind, "parent")))])
+        models.append(Model(keys, np.concatenate([logs[1] - logs[0], pairs[1] - pairs[0]]), u(both, "parent"), share[1] - share[0]))
     return models
 
 
+def _below(children: DataFrame) -> DataFrame:
+    """(parent, below): the sum of each parent's children, which are many for the root: they are summed by parts first."""
+    parts = children.groupBy("parent", F.pmod("child", F.lit(64)).alias("part")).agg(F.sum("n").alias("n"))
+    return parts.groupBy("parent").agg(F.sum("n").alias("below"))
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression with a small ridge, by Newton's method: (centre, scale, weights with the intercept last)."""
     if not len(y) or y.min() == y.max():

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on odd texts, a hot group and an empty table."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -218,6 +219,71 @@ def test_toxicity(spark):
     assert ((held.predicted == held.toxic).mean() > 0.95) and (held[held.toxic == 1].score.mean() > 0.4 > held[held.toxic == 0].score.mean())
 
 
+def test_toxicity_finds_most_and_flags_no_others(spark):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+    done = toxicity.score_toxicity(*tables).join(tables[1].select("doc_id", "toxic"), "doc_id").toPandas()
+    held = done[done.held_out]
+    found = held[held.predicted == 1]
+    assert held.toxic.sum() > 80 and found.toxic.sum() >= 0.9 * held.toxic.sum() and found.toxic.mean() >= 0.97
+
+
+def plain_log_ratio(docs, labels, discount=toxicity.DISCOUNT):
+    """The whole-text log-likelihood ratio for each word, counted and smoothed with dictionaries."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    cut = lambda w: w.encode()[: toxicity.PREFIX]
+    expressions = lambda ws: {("", cut(w)) for w in ws} | {(cut(w), w) for w in ws}
+    shared = Counter(e for t in {t for _, t in docs if t is not None} for e in expressions(split(t)))
+    below = Counter()
+    for (p, _), n in shared.items():
+        below[p] += n
+    own, total, left = (defaultdict(Counter) for _ in range(3))
+    for t, y in {(t, labels[d]) for d, t in docs if labels.get(d) is not None and zlib.crc32(str(d).encode()) % 5}:
+        ws = split(t)
+        own[y].update(expressions(ws) | {(("after", a), b) for a, b in zip(ws[:-1], ws[1:], strict=True)})
+    for y in (0, 1):
+        for (p, _), n in own[y].items():
+            total[y][p] += n
+            left[y][p] += min(n, discount)
+
+    def smoothed(y, p, c, back):
+        if total[y][p] == 0:
+            return back
+        return (max(own[y][p, c] - discount, 0) + left[y][p] * back) / total[y][p]
+
+    def ratio(p, c, backs, both):
+        # without evidence it is what the classes leave for unseen ones, if both know the parent
+        if max(own[0][p, c], own[1][p, c]) > discount:
+            return math.log(smoothed(1, p, c, backs[1]) / smoothed(0, p, c, backs[0]))
+        known = total[0][p] and total[1][p]
+        return both + (math.log(left[1][p] / total[1][p]) - math.log(left[0][p] / total[0][p]) if known else 0.0)
+
+    def alone(y, w):
+        step = lambda p, c: smoothed(y, p, c, shared[p, c] / below[p])
+        return step("", cut(w)) * step(cut(w), w)
+
+    out = {}
+    for d, t in docs:
+        ws, sum_ = split(t), 0.0
+        for k, w in enumerate(ws):
+            base = lambda p, c: [shared[p, c] / below[p]] * 2
+            r = ratio("", cut(w), base("", cut(w)), 0.0) + ratio(cut(w), w, base(cut(w), w), 0.0)
+            sum_ += ratio(("after", ws[k - 1]), w, [alone(0, w), alone(1, w)], r) if k else r
+        out[d] = sum_ / len(ws) if ws else 0.0
+    return out
+
+
+def test_toxicity_against_plain_models(spark):
+    # words that are ordinary one by one and toxic one behind the other
+    kind = lambda i: "you total fool go away" if i % 2 else "the total went to a fool you know"
+    docs = [(i, f"{kind(i)} w{i % 5} w{i % 7} word{i % 3} {'Über alles' if i % 4 else 'total'} x{i}") for i in range(120)] + [(200, ""), (201, None), (202, "fool total")]
+    labels = {i: i % 2 for i in range(120)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["log_ratio"] for r in toxicity.score_toxicity(frame, known).collect()}
+    want = plain_log_ratio(docs, labels)
+    assert got == pytest.approx(want, abs=1e-4) and max(got.values()) > 0.5 > -0.2 > min(got.values())
+
+
 def test_toxicity_of_odd_texts(docs, spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
     out = rows(toxicity.score_toxicity(docs, labels))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LCG = (1664525, 1013904223, 20260820)
 
 
+#: Ranges of keys whose weights a look sums.
+RANGES = 256
+
+
 class _Uniform:
     def __init__(self):
         self.state = LCG[2]
@@ -23,19 +27,25 @@ def _squared(bands: list[str], centre: list[float]) -> Column:
 
 
 def _at_weight(df: DataFrame, weight: Column, key: str, bands: list[str], share: float) -> list[float]:
-    """The row, in key order, at which the running sum of weights reaches a share of the total; one count by key range and one look into a range."""
+    """The row, in key order, at which the running sum of weights reaches a share of the total.
+
+    A look sums the weights of at most RANGES ranges of keys and goes on inside the one that holds it, so the driver gets so many rows.
+    """
     weighed = df.select(key, *bands, weight.alias("__w"))
-    ranges = weighed.groupBy(F.floor(F.col(key) / 4096).alias("g")).agg(F.sum("__w").alias("w")).orderBy("g").collect()
-    target = share * sum(r["w"] for r in ranges)
-    for r in ranges:
-        if target < r["w"] or r is ranges[-1]:
-            break
-        target -= r["w"]
-    for row in weighed.filter(F.floor(F.col(key) / 4096) == r["g"]).orderBy(key).toLocalIterator():
-        target -= row["__w"]
-        if target < 0:
-            break
-    return [float(row[b]) for b in bands]
+    first, last = weighed.agg(F.min(key), F.max(key)).first()
+    target = None
+    while True:
+        step = -(-(last - first + 1) // RANGES)
+        inside = weighed.filter(F.col(key).between(first, last))
+        sums = inside.groupBy(F.floor((F.col(key) - first) / step).alias("g")).agg(F.sum("__w").alias("w"), F.max(F.struct(key, *bands)).alias("row")).orderBy("g").collect()
+        target = share * sum(r["w"] for r in sums) if target is None else target
+        for r in sums:
+            if target < r["w"] or r is sums[-1]:
+                break
+            target -= r["w"]
+        if step == 1:
+            return [float(r["row"][b]) for b in bands]
+        first, last = first + r["g"] * step, min(last, first + (r["g"] + 1) * step - 1)
 
 
 def kmeans(pixels: DataFrame, key: str, bands: list[str], k: int, max_rounds: int = 40, tolerance: float = 0.001) -> tuple[DataFrame, list[dict]]:

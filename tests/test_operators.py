@@ -2,12 +2,13 @@
 
 import heapq
 import json
+import math
 import random
 from datetime import date, datetime
 
 import pytest
 from geolattice.functions import order_stats, radiometry
-from geolattice.operators import dates, kmeans, network, pixels, polygons, territory, zones
+from geolattice.operators import dates, grid, kmeans, network, pixels, polygons, territory, zones
 from geolattice.session import saved
 from geolattice.sources import catalog, reports
 from geolattice.streaming import monitor
@@ -72,6 +73,61 @@ def test_zones_against_flood_fill(spark):
     assert sorted(got) == sorted(sizes)
 
 
+def _components(cells, steps):
+    left, out = set(cells), []
+    while left:
+        stack, own = [left.pop()], []
+        while stack:
+            r, c = stack.pop()
+            own.append((r, c))
+            for x in [(r + a, c + b) for a, b in steps]:
+                if x in left:
+                    left.remove(x)
+                    stack.append(x)
+        out.append(own)
+    return out
+
+
+def test_clean_mask_against_a_plain_version(spark):
+    rng = random.Random(9)
+    n = 24
+    cells = {(r, c) for r in range(n) for c in range(n) if rng.random() < (0.75 if 4 <= r < 20 and 3 <= c < 18 else 0.12)}
+    eight, four = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    kept = {x for own in _components(cells, eight) if len(own) >= 3 for x in own}
+    gaps = _components({(r, c) for r in range(n) for c in range(n)} - kept, four)
+    kept |= {x for own in gaps if len(own) < 6 and all(0 < r < n - 1 and 0 < c < n - 1 for r, c in own) for x in own}
+    weight = [math.exp(-(k * k) / 2) for k in range(-4, 5)]
+    blurred = lambda r, c: sum(weight[a + 4] * weight[b + 4] for a in range(-4, 5) for b in range(-4, 5) if (r + a, c + b) in kept) / sum(weight) ** 2
+    want = {(r, c) for r in range(n) for c in range(n) if blurred(r, c) >= 0.5}
+    got = zones.clean_mask(spark.createDataFrame(sorted(cells), "r int, c int"), n, n, saved, least=3, hole=6)
+    assert {(r.r, r.c) for r in got.collect()} == want and len(want) > 50
+
+
+def test_outlines_and_fused_zones(spark):
+    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (5, 5, 2)], "r int, c int, zone int")
+    sides = zones.outlines(cells).collect()
+    assert sum(s.zone == 1 for s in sides) == 6 and sum(s.zone == 2 for s in sides) == 4
+    named = spark.createDataFrame([(0, 0, "b"), (0, 3, "a"), (0, 9, "c")], "r int, c int, name string")
+    assert {(r.name, r.fused) for r in zones.fused(named, "name", saved).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_grid_and_projections(spark):
+    g = grid.Grid(-100.0, 20.0, -99.0, 21.0, 4, 2)
+    point = spark.createDataFrame([(0, 0), (1, 3)], "r int, c int")
+    assert [tuple(r) for r in point.select(*g.centre(F.col("r"), F.col("c"))).collect()] == [(-99.875, 20.75), (-99.125, 20.25)]
+    place = spark.createDataFrame([(-99.9, 20.9), (-99.0, 20.5), (-99.01, 20.01)], "x double, y double").select(*g.place(F.col("x"), F.col("y")))
+    assert [tuple(r) for r in place.collect()] == [(0, 0), (-1, -1), (1, 3)]
+    # on the central meridian the easting is 500 km and the northing the scaled length of the meridian
+    lat, steps = 20.0, 20_000
+    e2, step = grid.FLATTENING * (2 - grid.FLATTENING), math.radians(20.0) / 20_000
+    arc = sum(grid.AXIS * (1 - e2) / (1 - e2 * math.sin((k + 0.5) * step) ** 2) ** 1.5 * step for k in range(steps))
+    east, north = spark.createDataFrame([(-99.0, lat)], "x double, y double").select(*grid.utm(F.col("x"), F.col("y"), 14)).first()
+    assert east == pytest.approx(500000) and north == pytest.approx(0.9996 * arc, abs=0.01)
+    west, east = (spark.range(1).select(*grid.utm(F.lit(-99.0 + d), F.lit(-20.0), 14, True)).first() for d in (-1.5, 1.5))
+    assert west[0] + east[0] == pytest.approx(1e6) and west[1] == pytest.approx(east[1]) and east[0] > 650000 and east[1] < 1e7
+    assert grid.Grid(-0.05, -0.05, 0.05, 0.05, 1, 1).hectares() == pytest.approx(11132 * 11057 / 10000, rel=1e-3)
+
+
 def test_polygon_with_a_hole_and_outside(spark):
     rings = [("a", 0, [(1.2, 0.3), (7.1, 1.0), (6.4, 7.6), (0.6, 6.1)]), ("a", 1, [(3.0, 3.0), (5.0, 3.0), (5.0, 5.0), (3.0, 5.0)]), ("far", 0, [(90.0, 90.0), (95.0, 90.0), (95.0, 95.0)])]
     edges = polygons.edges(spark.createDataFrame(rings, "poly string, ring int, points array<struct<x: double, y: double>>"))

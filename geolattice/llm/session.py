@@ -1,41 +1,18 @@
-"""What the operators take from the session: the shared folder, and tables written there."""
+"""What the operators take from the session: tables in the shared folder, bounded batches, and the public vocabularies."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from geolattice.session import saved as staged
+from geolattice.session import table
 
+__all__ = ["bounded_batches", "partitions", "staged", "table", "vocabulary"]
 
 #: Bytes of a batch that Spark hands to a Python task.
 BATCH_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Unset, and in local mode only, a temporary one."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="geolattice-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/geolattice/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Lets Spark hand Python tasks batches of at most about ``size`` bytes (or one row); a bound that the session has set lower stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -28,8 +28,8 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 #: The generators: numbers of seven digits or more in any grouping, addresses in words, and long strings with digits.
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+(?![0-9A-Za-z])",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[({](?i:at)[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[({](?i:dot)[\])}])\x20?[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![0-9A-Za-z+/_=\-])(?=[A-Za-z+/_=\-]{0,200}[0-9])[0-9A-Za-z+/_=\-]{20,}+",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({](?i:at)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({](?i:dot)[\])}])\x20?[A-Za-z0-9-]++)++",
+    "secret": r"(?<![0-9A-Za-z+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])[0-9A-Za-z+/_=\-]{20,}+",
 }
 KINDS = [*PATTERNS, *GENERATORS]
 TRIGGERS = {
@@ -38,6 +38,8 @@ TRIGGERS = {
     "key": r"(?i)(?:token|secret|passwd|password|pwd|api_?key|apikey|access_?key|auth|bearer)[\"']?\s*(?:[:=]|is)?\s*[\"']?$",
     "other": r"(?i)\b(?:isbn|order|invoice|page|pages|version|ref|id|item|sku|commit|sha|build|ticket|year|years|since|total|patent)\b[^0-9A-Za-z]{0,4}$",
 }
+#: Matches of a text that are placed one behind the other.
+PLACED = 128
 CONTEXT, FEATURES = 28, ["n", "digits", "letters", "capitals", "seps", "groups", "plus", "paren", "kinds", "hex", "luhn", "dated", *TRIGGERS, *[f"is_{g}" for g in GENERATORS]]
 #: Rows of each recipe in the table of formats; precision that the calibrated thresholds reach on the rows kept apart.
 ROWS, TREES, DEPTH, PRECISION = 60, 16, 4, 0.995
@@ -49,7 +51,6 @@ def _matches(text: Column, pattern: str, hint: str, kind: str) -> Column:
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["g"])
@@ -57,7 +58,17 @@ def _matches(text: Column, pattern: str, hint: str, kind: str) -> Column:
         one = F.struct(a.alias("start"), F.lit(k).alias("kind"), z.alias("end"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT)).alias("before"))
         return F.struct(z.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(hint), F.aggregate(pairs, start, step)["out"]).otherwise(none)
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    # a list grows by being copied, so the matches of a text with many are placed in blocks, each from its own start
+    count = F.size(found)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / PLACED).cast("int")), lambda b: F.slice(pairs, b * PLACED + 1, F.lit(PLACED)))
+    length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["m"]))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    many = F.flatten(F.zip_with(blocks, starts, placed))
+    return F.when(text.rlike(hint), F.when(count <= PLACED, placed(pairs, F.lit(0))).otherwise(many)).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:

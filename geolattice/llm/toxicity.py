@@ -34,6 +34,8 @@ EVEN, CONTEXT = ~np.uint64(1), np.uint64(0x9D2C5680CA4F1B37)
 COUNTS = "cls int, parent long, child long, n long"
 #: Repeated texts up to which a bitmap of their hashes (16 bits each, 8 MB at most) is broadcast.
 BITMAP_TEXTS = 4_000_000
+#: Rows of a table of parents up to which it is broadcast.
+FEW = 200_000
 #: Stands for the parts of a text that rows of several parts have: no model leaves all of these out.
 SEVERAL = 5
 
@@ -193,11 +195,12 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     shared = staged(_texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(F.sum("n").alias("n")), "shared-counts")
     parents = per_class.groupBy("parent").agg(*[x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))])
     pair = F.col("parent").bitwiseAND(1) == 1
-    evident = per_class.filter(F.greatest("n0_0", "n1_0") > discount)
-    steps = evident.filter(~pair)
-    totals = _below(shared.join(steps.select("parent").distinct(), "parent", "left_semi"))
-    rows = steps.join(shared, ["parent", "child"]).join(totals, "parent").join(parents, "parent").toArrow()
-    behind = evident.filter(pair).join(parents, "parent").toArrow()
+    evident = staged(per_class.filter(F.greatest("n0_0", "n1_0") > discount), "evident")
+    known = staged(evident.select("parent").distinct(), "evident-parents")
+    own = _few(staged(parents.join(_few(known), "parent", "left_semi"), "parents-of-evident"))
+    totals = _few(staged(_below(shared.join(_few(known), "parent", "left_semi")), "below-parents"))
+    rows = evident.filter(~pair).join(shared, ["parent", "child"]).join(totals, "parent").join(own, "parent").toArrow()
+    behind = evident.filter(pair).join(own, "parent").toArrow()
     both = parents.filter("all0_0 > 0 and all1_0 > 0 and (left0_0 < all0_0 or left1_0 < all1_0)").toArrow()
     u = lambda t, x: t[x].to_numpy().astype(np.int64).view(np.uint64)
     base = rows["n"].to_numpy() / rows["below"].to_numpy()
@@ -224,6 +227,12 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     return models
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table of parents that labelled documents give evidence for, broadcast where it has FEW rows at most: the root and the common
+    prefixes, which have many children, then need no exchange of these."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _below(children: DataFrame) -> DataFrame:
     """(parent, below): the sum of each parent's children, which are many for the root: they are summed by parts first."""
     parts = children.groupBy("parent", F.pmod("child", F.lit(64)).alias("part")).agg(F.sum("n").alias("n"))

@@ -19,22 +19,27 @@ from geolattice.llm.session import staged, table, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their bad lines; those that fail the rules go. Null and empty texts fail; rows alike fare alike."""
     return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id. Null ids and texts without words are in no group and stay."""
     return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; those mostly made of such go. Null and empty texts stay as they are."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by their kind. Null and empty texts stay as they are."""
     return redacted(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids of each document. Null and empty texts have no ids."""
     return encode_pieces(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"), keep_text=False)
 
 

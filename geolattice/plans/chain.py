@@ -109,7 +109,7 @@ def full_coverage_dates(spark: SparkSession, folder: str) -> DataFrame:
 _RAW = "raw as (select year(l_shipdate)::bigint as scene, l_partkey % 32 as r, l_suppkey % 32 as c, (sum(l_partkey * 37) % 4000)::int as dn from lineitem group by 1, 2, 3)"
 
 
-@query(f"with {_RAW}, v as (select scene, dn * 0.1 as v from raw where dn <= 3000), n as (select scene, count(*) * {HA} as ha, round(avg(v), 6) as mean from v group by 1) select scene, ha, mean, p2, p98 from n join " + _ranks("v", "v", "scene", {"p2": 0.02, "p98": 0.98}) + " using (scene)")
+@query(f"with {_RAW}, v as (select scene, dn * 0.1::double as v from raw where dn <= 3000), n as (select scene, count(*) * {HA} as ha, round(avg(v), 6) as mean from v group by 1) select scene, ha, mean, p2, p98 from n join " + _ranks("v", "v", "scene", {"p2": 0.02, "p98": 0.98}) + " using (scene)")
 def evapotranspiration(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged numbers dropped; mean, 2nd and 98th percentile and the hectares measured."""
     cells = table(spark, folder, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("scene"), (F.col("l_partkey") % 32).alias("r"), (F.col("l_suppkey") % 32).alias("c"))

@@ -117,8 +117,8 @@ class Model:
     word, those of contexts are added to the word's own."""
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray, parents: np.ndarray, defaults: np.ndarray):
-        a, b = np.argsort(keys), np.argsort(parents)
-        self.keys, self.ratios, self.parents, self.defaults = keys[a], ratios[a].astype(np.float32), parents[b], defaults[b].astype(np.float32)
+        """Keys and parents are in order; models share them."""
+        self.keys, self.ratios, self.parents, self.defaults = keys, ratios.astype(np.float32), parents, defaults.astype(np.float32)
 
     @staticmethod
     def _at(sorted_: np.ndarray, values: np.ndarray, want: np.ndarray, default: np.ndarray | np.float32) -> np.ndarray:
@@ -199,31 +199,32 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     known = staged(evident.select("parent").distinct(), "evident-parents")
     own = _few(staged(parents.join(_few(known), "parent", "left_semi"), "parents-of-evident"))
     totals = _few(staged(_below(shared.join(_few(known), "parent", "left_semi")), "below-parents"))
-    rows = evident.filter(~pair).join(shared, ["parent", "child"]).join(totals, "parent").join(own, "parent").toArrow()
-    behind = evident.filter(pair).join(own, "parent").toArrow()
-    both = parents.filter("all0_0 > 0 and all1_0 > 0 and (left0_0 < all0_0 or left1_0 < all1_0)").toArrow()
+    counts = [F.col(f"{x}{y}_{k}").cast("int").alias(f"{x}{y}_{k}") for x in ("n", "all", "left") for y, k in n]
+    rows = evident.filter(~pair).join(shared, ["parent", "child"]).join(totals, "parent").join(own, "parent").select("parent", "child", (F.col("n") / F.col("below")).alias("base"), *counts).toArrow()
+    behind = evident.filter(pair).join(own, "parent").select("parent", "child", *counts).toArrow()
+    # what the classes leave for children without evidence, of parents that both know and that leave less than all
+    left_of = lambda y, k: F.when(F.col(f"all{y}_{k}") > 0, F.log(F.col(f"left{y}_{k}") / F.col(f"all{y}_{k}"))).otherwise(0.0)
+    both = parents.filter("all0_0 > 0 and all1_0 > 0 and (left0_0 < all0_0 or left1_0 < all1_0)").select("parent", *[(left_of(1, k) - left_of(0, k)).cast("float").alias(f"s{k}") for k in FOLDS]).toArrow()
     u = lambda t, x: t[x].to_numpy().astype(np.int64).view(np.uint64)
-    base = rows["n"].to_numpy() / rows["below"].to_numpy()
-    parent, child = u(rows, "parent"), u(rows, "child")
+    base, parent, child = rows["base"].to_numpy(), u(rows, "parent"), u(rows, "child")
     # a word that is evident behind another is evident alone, and so is its prefix: their rows, for each pair
     by_child = np.argsort(child, kind="stable")
     find = lambda want: by_child[np.minimum(np.searchsorted(child[by_child], want), len(child) - 1)]
     word = find(u(behind, "child")) if len(child) else np.zeros(0, np.int64)
     prefix = find(parent[word]) if len(child) else word
-    models = []
+    keys = np.concatenate([T.mix(child ^ T.mix(parent)), T.mix(u(behind, "child") ^ T.mix(u(behind, "parent")))])
+    a, b = np.argsort(keys), np.argsort(u(both, "parent"))
+    keys, known_parents, models = keys[a], u(both, "parent")[b], []
     for k in FOLDS:
-        logs, pairs, share = [], [], []
+        logs, pairs = [], []
         for y in (0, 1):
-            own, total, left = (rows[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
-            p = np.where(total > 0, (np.maximum(own - discount, 0) + left * base) / np.maximum(total, 1), base)
+            own_, total, left = (rows[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
+            p = np.where(total > 0, (np.maximum(own_ - discount, 0) + left * base) / np.maximum(total, 1), base)
             logs.append(np.log(p))
-            own, total, left = (behind[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
+            own_, total, left = (behind[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("n", "all", "left"))
             alone = p[word] * p[prefix]
-            pairs.append(np.log(np.where(total > 0, (np.maximum(own - discount, 0) + left * alone) / np.maximum(total, 1), alone)))
-            total, left = (both[f"{x}{y}_{k}"].to_numpy().astype(float) for x in ("all", "left"))
-            share.append(np.log(np.where(total > 0, left, 1) / np.maximum(total, 1)))
-        keys = np.concatenate([T.mix(child ^ T.mix(parent)), T.mix(u(behind, "child") ^ T.mix(u(behind, "parent")))])
-        models.append(Model(keys, np.concatenate([logs[1] - logs[0], pairs[1] - pairs[0]]), u(both, "parent"), share[1] - share[0]))
+            pairs.append(np.log(np.where(total > 0, (np.maximum(own_ - discount, 0) + left * alone) / np.maximum(total, 1), alone)))
+        models.append(Model(keys, np.concatenate([logs[1] - logs[0], pairs[1] - pairs[0]])[a], known_parents, both[f"s{k}"].to_numpy()[b]))
     return models
 
 

@@ -17,6 +17,8 @@ SKETCH_ROWS, COUNTERS_PER_WINDOW, BLOCK = 2, 4, 1 << 22
 BYTES_PER_WINDOW = 6
 #: Windows found repeated that one bucket of the second pass expects.
 GROUP_WINDOWS = 1 << 18
+#: Bytes of text in a chunk: the larger, the fewer counters go out twice.
+CHUNK_BYTES = 4 << 20
 #: Kind of a message that comes back as it is.
 NOTE = SKETCH_ROWS + 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -190,7 +192,7 @@ def _result(c: _Chunk, removed: np.ndarray, width: int) -> pa.Table:
     })
 
 
-def drop_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256 and kept_text.
 
     Words are runs of anything but ASCII white space, compared as they are. A word goes if a window of ``width`` words of its

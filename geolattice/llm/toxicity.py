@@ -191,11 +191,15 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     part = F.when(F.min("part") == F.max("part"), F.min("part")).otherwise(SEVERAL)
     cells = labelled.groupBy("text", "cls").agg(part.alias("part")).select("text", (F.col("cls") + 2 * F.col("part")).cast("int").alias("cls"))
     n = {(y, k): F.sum(F.when((F.col("cls") % 2 == y) & (F.col("cls") != y + 2 * k), F.col("n")).otherwise(0)) for y in (0, 1) for k in FOLDS}
-    per_class = staged(cells.mapInArrow(_count_pairs, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()]), "class-counts")
+    per_class = cells.mapInArrow(_count_pairs, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()])
+    sums = [x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))]
+    # of a parent's children only those with evidence are kept, which are few; the sums have the others
+    child = F.when(F.greatest("n0_0", "n1_0") > discount, F.struct("child", *[f"n{y}_{k}" for y, k in n]))
+    per_class = staged(per_class.groupBy("parent").agg(*sums, F.collect_list(child).alias("evident")), "class-counts")
     shared = staged(_texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(F.sum("n").alias("n")), "shared-counts")
-    parents = per_class.groupBy("parent").agg(*[x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))])
+    parents = per_class.drop("evident")
     pair = F.col("parent").bitwiseAND(1) == 1
-    evident = staged(per_class.filter(F.greatest("n0_0", "n1_0") > discount), "evident")
+    evident = staged(per_class.select("parent", F.explode("evident").alias("e")).select("parent", "e.*"), "evident")
     known = staged(evident.select("parent").distinct(), "evident-parents")
     own = _few(staged(parents.join(_few(known), "parent", "left_semi"), "parents-of-evident"))
     totals = _few(staged(_below(shared.join(_few(known), "parent", "left_semi")), "below-parents"))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolattice.llm.audit import audit_filters
+from geolattice.llm.codes import compress_vectors
 from geolattice.llm.decontamination import find_benchmark
 from geolattice.llm.jaccard import near_duplicates
-from geolattice.llm.oracles import DECONTAMINATION, NEAR_DUPLICATES, PASSAGES
+from geolattice.llm.minhash import minhash_classes
+from geolattice.llm.oracles import AUDIT, CODES, COMPONENTS, DECONTAMINATION, NEAR_DUPLICATES, PASSAGES
 from geolattice.llm.pieces import encode_pieces
 from geolattice.llm.pii import find_personal_data, listed
 from geolattice.llm.quality import clean_lines
@@ -68,11 +71,23 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_sharding, op3_quality, op4_pii, op5_decontamination, op6_pieces, op7_substrings, op8_suffixes, op9_jaccard, op10_tokenfiles)
+    own = (op1_toxicity, op2_sharding, op3_quality, op4_pii, op5_decontamination, op6_pieces, op7_substrings, op8_suffixes, op9_jaccard, op10_tokenfiles, op11_audit, op12_codes, op13_minhash)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hash, sort bytes, draw or learn; tests hold them against plain versions."""
-    return {"op5_decontamination": DECONTAMINATION, "op7_substrings": PASSAGES, "op9_jaccard": NEAR_DUPLICATES}
+    return {"op5_decontamination": DECONTAMINATION, "op7_substrings": PASSAGES, "op9_jaccard": NEAR_DUPLICATES, "op11_audit": AUDIT, "op12_codes": CODES, "op13_minhash": COMPONENTS}

@@ -122,11 +122,35 @@ def _by_sets(percent: int) -> Judge:
     return judge
 
 
-def _joining(judge: Judge):
+def _stars(u: np.ndarray, v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as edges from one document of each, its least pivot if there is one."""
+    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    # pivots come first, so the least place of a component is its root
+    order = np.lexsort((ids, ~np.isin(ids, pivots)))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    parent = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(place[flat[: len(u)]].tolist(), place[flat[len(u) :]].tolist(), strict=True):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    root = np.array([find(x) for x in range(len(ids))], np.int64)
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[order[root[other]]], ids[order[other]]
+
+
+def _joining(judge: Judge, key: str):
     """Edges of a cell: as many as join what the judge links, between its two sides or, without a second side, among all."""
 
     def run(t: pa.Table) -> pa.Table:
         node, side = t["node"].to_numpy(), t["side"].to_numpy()
+        pivots = node[t["pivot"].to_numpy()]
         _, first = np.unique(node * 2 + side, return_index=True)  # rows alike give one document
         node, side, payload = node[first], side[first], t["payload"].take(pa.array(first)).to_pylist()
         cross = side.any()
@@ -135,8 +159,10 @@ def _joining(judge: Judge):
         if len(a) and len(b) and len(node) > 1:
             linked = judge(payload, a, b)
             u, v = _tree(node[a], node[b], linked if cross else np.triu(linked, 1))
+            if not cross and len(u):
+                u, v = _stars(u, v, pivots)
         T.trim()
-        return pa.table({"src": pa.array(u, pa.int64()), "dst": pa.array(v, pa.int64())})
+        return pa.table({"group": t[key].slice(0, 1).take(pa.array(np.zeros(len(u), np.int64))), "src": pa.array(u, pa.int64()), "dst": pa.array(v, pa.int64())})
 
     return run
 
@@ -163,10 +189,10 @@ def _within(members: DataFrame, key: str) -> DataFrame:
 def _across(members: DataFrame, key: str, classes: DataFrame) -> DataFrame:
     """(key, node, cells) that bring together all members of a group of several blocks which ``classes`` doesn't join yet.
 
-    Most of an alike group is one class by now: its members meet those outside it, and these meet each other.
+    Classes are (key, node, component). Most of an alike group is one class by now: its members meet those outside it, and these meet each other.
     """
     rows = members.join(_blocks_of(members, key).filter("__blocks > 1").select(key), key, "left_semi")
-    rows = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.join(classes, [key, "node"], "left").withColumn("component", F.coalesce("component", "node"))
     parts = rows.groupBy(key, "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("w"))
     blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK_DOCS, w / BLOCK_BYTES))).cast("int")
     whole = parts.groupBy(key).agg(F.max(F.struct("n", "w", F.col("component").alias("most"))).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > m.n")
@@ -184,19 +210,22 @@ def joining_edges(members: DataFrame, key: str, with_payload: Callable[[DataFram
     """(src, dst) edges whose components are those of all pairs that share a group of ``members`` (key, node, bytes) and that ``judge`` links.
 
     ``with_payload`` adds to rows of nodes what they are judged by. A group within BLOCK_DOCS and BLOCK_BYTES is one cell; larger ones
-    are dealt to cells, first with pivots in each, then across what these leave apart. ``members`` should be a written table.
+    are dealt to cells, first with pivots in each, then across what these leave apart. Blocks know their parts by the pivots that they
+    share, so no components are computed in between. ``members`` should be a written table.
     """
     spark = members.sparkSession
 
     def judged(cells: DataFrame, k: int) -> DataFrame:
-        rows = with_payload(cells).withColumn("__cell", F.explode("cells")).select(key, "__cell.*", "node", "payload")
+        rows = with_payload(cells).select(key, "node", "payload", (F.size("cells") > 1).alias("pivot"), F.explode("cells").alias("__cell")).select("*", "__cell.*").drop("__cell")
         rows = rows.repartition(partitions(spark), key, "kind", "lo", "hi")
-        return staged(rows.groupBy(key, "kind", "lo", "hi").applyInArrow(_joining(judge), "src long, dst long"), f"{name}-{k}")
+        return staged(rows.groupBy(key, "kind", "lo", "hi").applyInArrow(_joining(judge, key), "group long, src long, dst long"), f"{name}-{k}")
 
     edges = judged(_within(members, key), 0)
     if _blocks_of(members, key).filter("__blocks > 1").isEmpty():
         return edges
-    return edges.unionByName(judged(_across(members, key, connected_components(edges, staged)), 1))
+    # each star's root is its part's name; a pivot that is in several stars takes the least
+    classes = edges.groupBy(F.col("group").alias(key), F.col("dst").alias("node")).agg(F.min("src").alias("component"))
+    return edges.unionByName(judged(_across(members, key, classes), 1))
 
 
 def _with_sets(own: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -231,7 +231,7 @@ def test_cells_of_an_alike_group_grow_with_it(spark):
     # all of a group but a few in one class: rows of cells follow the group's size, not its square
     def cells(n):
         members = spark.range(n).selectExpr("1L as g", "id as node", "1 as bytes")
-        classes = spark.range(n).filter(f"id < {n} - 50").selectExpr("id as node", "0L as component")
+        classes = spark.range(n).filter(f"id < {n} - 50").selectExpr("1L as g", "id as node", "0L as component")
         return sum(len(r["cells"]) for r in minhash._within(members, "g").collect()), sum(len(r["cells"]) for r in minhash._across(members, "g", classes).collect())
 
     small, large = cells(20_000), cells(80_000)
@@ -241,7 +241,7 @@ def test_cells_of_an_alike_group_grow_with_it(spark):
 def test_cells_bring_all_unjoined_pairs_together(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
     members = spark.range(60).selectExpr("1L as g", "id as node", "1 as bytes")
-    classes = spark.range(60).selectExpr("id as node", "case when id < 25 then 0 when id < 40 then 25 else id end as component")
+    classes = spark.range(60).selectExpr("1L as g", "id as node", "case when id < 25 then 0 when id < 40 then 25 else id end as component")
     of = {r["node"]: r["component"] for r in classes.collect()}
     side = defaultdict(lambda: ([], []))
     for r in minhash._across(members, "g", classes).collect():

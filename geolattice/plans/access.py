@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.operators import network as N
 from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
+from geolattice.operators import quadtree as Q
 from geolattice.operators import territory as T
 from geolattice.operators import units as U
 from geolattice.operators.zones import clean_mask, fused, label, outlines
 from geolattice.plans.fixtures import EDGES, INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes
-from geolattice.plans.iterative import street_grid
+from geolattice.plans.iterative import STREETS, network_distance, street_grid, street_side
 from geolattice.plans.raster import HA, _zones_sql
 from geolattice.plans.registry import query
 from geolattice.plans.units import _PLACES, _points
@@ -27,46 +26,74 @@ def _changed(spark: SparkSession, folder: str) -> DataFrame:
     return P.construction(pixels(spark, folder), 1995, 1996).filter("state <> 'none'")
 
 
-@query(f"with {EDGES}, p as (select i * 8 + j as id, i * 2 + 1.0 as y, j * 2 + 1.25 as x from range(16) a(i), range(16) b(j)), hit as (select i.id, poly from (select row_number() over (order by y, x) as id, x, y from p) i, edges where (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by 1, 2 having count(*) % 2 = 1) select poly, count(*) as points from hit group by 1")
-def square_lattice(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of a square lattice inside each polygon."""
-    points = spark.range(256).selectExpr("id", "cast(id % 16 as double) * 2 + 1.25D as x", "cast(floor(id / 16) as double) * 2 + 1.0D as y")
-    return G.points_in_polygons(points, G.edges(polygon_rings(spark))).groupBy("poly").agg(F.count("*").alias("points"))
+_NETWORK = f"""{STREETS}, walk(node, d) using key (node) as (select s_suppkey * 4, min(0.0::double) from supplier group by 1 union select e.dst, min(walk.d + e.w) from walk join e on e.src = walk.node left join recurring.walk as known on known.node = e.dst where known.d is null or walk.d + e.w < known.d group by 1),
+ nodes as (select i as node, i % n * 40.0 as nx, i // n * 40.0 as ny from side, range(side.n * side.n) t(i)), o as (select c_custkey as id, (c_custkey * 7919 % 10007) / 10.0 as x, (c_custkey * 104729 % 10009) / 10.0 as y, c_custkey % 9 as pop from customer),
+ near as (select id, node, d from (select id, node, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) as d, row_number() over (partition by id order by round(sqrt(pow(x - nx, 2) + pow(y - ny, 2)), 9), node) as k from o, nodes) where k = 1),
+ access as (select o.id, o.pop, case when o.id % 10 = 0 then 0 else near.d + walk.d end as d from o left join near using (id) left join walk using (node))"""
 
 
-_NETWORK = """side as (select greatest(24, floor(sqrt(4 * max(s_suppkey)))::int + 1) as n from supplier), g as (select i as src, i + 1 as dst from side, range(side.n * side.n) t(i) where i % n < n - 1 union all select i, i + n from side, range(side.n * (side.n - 1)) t(i)),
- w as (select src, dst, 20.0 + (src * 37 + dst * 11) % 41 as w from g), e as (select * from w union all select dst, src, w from w), walk as (select s_suppkey * 4 as node, 0.0::double as d from supplier union select e.dst, walk.d + e.w from walk join e on e.src = walk.node where walk.d + e.w <= 200),
- reached as (select node, min(d) as d from walk group by 1), nodes as (select i as node, i % n * 40.0 as nx, i // n * 40.0 as ny from side, range(side.n * side.n) t(i)),
- o as (select c_custkey as id, (c_custkey * 7919 % 10007) / 10.0 as x, (c_custkey * 104729 % 10009) / 10.0 as y, c_custkey % 9 as pop from customer), near as (select id, arg_min(node, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) * 1000000 + node / 1000.0) as node, min(sqrt(pow(x - nx, 2) + pow(y - ny, 2))) as d from o join nodes on abs(x - nx) <= 30 and abs(y - ny) <= 30 where sqrt(pow(x - nx, 2) + pow(y - ny, 2)) <= 30 group by 1),
- access as (select o.id, o.pop, case when o.id % 10 = 0 then 0 else near.d + reached.d end as d from o left join near using (id) left join reached using (node))"""
+def street_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    side = street_side(spark, folder)
+    return spark.range(side * side).select(F.col("id").alias("node"), (F.col("id") % side * 40.0).alias("x"), (F.floor(F.col("id") / side) * 40.0).alias("y"))
 
 
 def _access(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = table(spark, folder, "supplier").select("s_suppkey")
-    side = max(24, math.isqrt(4 * (keyed.agg(F.max("s_suppkey")).first()[0] or 0)) + 1)
-    reached = N.distances(street_grid(spark, side), keyed.select((F.col("s_suppkey") * 4).alias("node"), F.lit(0.0).alias("d")), saved, 200.0)
-    nodes = spark.range(side * side).select(F.col("id").alias("node"), (F.col("id") % side * 40.0).alias("x"), (F.floor(F.col("id") / side) * 40.0).alias("y"))
-    return N.access(_points(spark, folder).withColumn("inside", F.col("id") % 10 == 0), nodes, reached, 30.0)
+    return N.access(_points(spark, folder).withColumn("inside", F.col("id") % 10 == 0), street_nodes(spark, folder), network_distance(spark, folder), saved)
 
 
 @query(f"with recursive {_NETWORK} select id, round(d, 6) as d from access")
 def network_access(spark: SparkSession, folder: str) -> DataFrame:
-    """From each origin the straight way to its nearest node and on over the network; 0 for origins inside a place."""
+    """From each origin the straight way to its nearest node, however far, and on over the network; 0 for origins inside a place."""
     return _access(spark, folder).select("id", F.round("d", 6).alias("d"))
 
 
-@query(f"with recursive {_NETWORK} select cut::bigint as cut, round(sum(case when d <= cut then pop else 0 end) / sum(pop), 6) as share from access, (values (50), (100), (150), (200)) t(cut) group by 1")
+@query(f"with recursive {_NETWORK} select cut::bigint as cut, round(sum(case when d <= cut then pop else 0 end) / sum(pop), 6) as share from access, (values (50), (100), (150), (200), (400), (800)) t(cut) group by 1")
 def access_share(spark: SparkSession, folder: str) -> DataFrame:
     """The share of people within each network distance."""
     people = _access(spark, folder).join(_points(spark, folder).select("id", "pop"), "id")
-    return T.access_curve(people, "d", "pop", [50, 100, 150, 200]).withColumn("share", F.round("share", 6))
+    return T.access_curve(people, "d", "pop", [50, 100, 150, 200, 400, 800]).withColumn("share", F.round("share", 6))
+
+
+#: Parks are squares of 5 to 34 m half width over the streets.
+_PARKS = """pks as (select s_suppkey as place, s_suppkey * 7907 % 10007 / 10007.0::double * n * 40 as px, s_suppkey * 6101 % 10009 / 10009.0::double * n * 40 as py, 5.0::double + s_suppkey % 30 as h from supplier, side),
+ dist as (select place, node, greatest(abs(nx - px) - h, 0) as ox, greatest(abs(ny - py) - h, 0) as oy, abs(nx - px) <= h and abs(ny - py) <= h as inside from pks, nodes where abs(nx - px) <= h + 150 and abs(ny - py) <= h + 150),
+ ent as (select place, node, d from (select *, row_number() over (partition by place order by d, node) as k from (select place, node, case when inside then 0 else sqrt(ox * ox + oy * oy) end as d from dist)) where d <= 20 or k = 1 and d <= 150)"""
+_STREET_NODES = f"{STREETS}, nodes as (select i as node, i % n * 40.0::double as nx, i // n * 40.0::double as ny from side, range(side.n * side.n) t(i)), {_PARKS}"
+
+
+def parks(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges (place, x0, y0, x1, y1) of a square park for each supplier."""
+    m = street_side(spark, folder) * 40
+    own = table(spark, folder, "supplier").selectExpr("s_suppkey as place", f"s_suppkey * 7907 % 10007 / 10007D * {m} as px", f"s_suppkey * 6101 % 10009 / 10009D * {m} as py", "5D + s_suppkey % 30 as h")
+    at = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    sides = F.array(*[F.struct(*[(F.col(v) + F.col("h") * k).alias(n) for v, k, n in (("px", a[0], "x0"), ("py", a[1], "y0"), ("px", b[0], "x1"), ("py", b[1], "y1"))]) for a, b in zip(at, at[1:] + at[:1], strict=True)])
+    return own.select("place", F.explode(sides).alias("e")).select("place", "e.*")
+
+
+@query(f"with {_STREET_NODES} select place, node, round(d, 6) as d from ent")
+def park_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Street nodes from which each park is entered: all within 20 m, or else the nearest up to 150 m."""
+    return N.entries(street_nodes(spark, folder), parks(spark, folder)).select("place", "node", F.round("d", 6).alias("d"))
+
+
+@query(f"""with recursive {_STREET_NODES}, walk(place, node, d) using key (place, node) as (select place, node, d from ent union select walk.place, e.dst, min(walk.d + e.w) from walk join e on e.src = walk.node left join recurring.walk as known on known.place = walk.place and known.node = e.dst where known.d is null or walk.d + e.w < known.d group by 1, 2),
+ o as (select c_custkey as id, c_custkey * 7919 % 10007 / 10007.0::double * n * 40 as x, c_custkey * 104729 % 10009 / 10009.0::double * n * 40 as y from customer, side),
+ near as (select id, node, d from (select id, node, sqrt(pow(x - nx, 2) + pow(y - ny, 2)) as d, row_number() over (partition by id order by round(sqrt(pow(x - nx, 2) + pow(y - ny, 2)), 9), node) as k from o, nodes) where k = 1),
+ m as (select id, place, case when abs(x - px) < h and abs(y - py) < h then 0 else near.d + walk.d end as d from near join walk using (node) join o using (id) join pks using (place))
+ select id, count(*) as reached, round(min(d), 4) as nearest, count(*) filter (where d <= 400)::bigint as within_400, round(sum(d), 2) as total from m group by 1""")
+def park_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix of origins and parks, summed up for each origin: parks reached, the nearest, those within 400 m, and all distances."""
+    m = street_side(spark, folder) * 40
+    origins = table(spark, folder, "customer").selectExpr("c_custkey as id", f"c_custkey * 7919 % 10007 / 10007D * {m} as x", f"c_custkey * 104729 % 10009 / 10009D * {m} as y")
+    d = N.matrix(street_grid(spark, street_side(spark, folder)), street_nodes(spark, folder), parks(spark, folder), origins, saved)
+    return d.groupBy("id").agg(F.count("*").alias("reached"), F.round(F.min("d"), 4).alias("nearest"), F.count_if(F.col("d") <= 400).alias("within_400"), F.round(F.sum("d"), 2).alias("total"))
 
 
 @query(f"with {_PLACES}, n as (select id, place, sqrt((x - px) * (x - px) + (y - py) * (y - py)) as d from p, q), k as (select *, row_number() over (partition by id order by d, place) as k from n) select id, place, round(d, 6) as d from k where k = 1")
 def nearest_anywhere(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest place of every point, however far."""
     places = table(spark, folder, "supplier").selectExpr("s_suppkey as place", "(s_suppkey * 7907 % 10007) / 10.0D as px", "(s_suppkey * 6101 % 10009) / 10.0D as py")
-    return T.nearest_any(_points(spark, folder), places, 50.0, saved).withColumn("d", F.round("d", 6))
+    return Q.nearest_place(_points(spark, folder), places, saved).withColumn("d", F.round("d", 6))
 
 
 @query(f"with {PIXELS}, u as (select s_suppkey as id, (s_suppkey * 37 % 300) / 10.0 + 0.6 as x, (s_suppkey * 91 % 300) / 10.0 + 0.6 as y, s_suppkey % 4 * 0.55 as h from supplier), v as (select r, c, red from px where scene = 1996 and red > 0), m as (select id, median(red) as m, count(*) as n from u join v on c + 0.5 >= x - h and c + 0.5 < x + h and r + 0.5 >= y - h and r + 0.5 < y + h group by 1) select u.id, round(coalesce(m, red), 6) as value, coalesce(n, 0) as n from u left join m using (id) left join v on v.r = floor(u.y) and v.c = floor(u.x)")
@@ -136,14 +163,3 @@ def history_audit(spark: SparkSession, folder: str) -> DataFrame:
     stored = s.filter("tile = 0").groupBy(month).agg(F.min("cloud").alias("stored"))
     found = s.groupBy(month).agg(F.min("cloud").alias("found"))
     return found.join(stored, "month", "left").filter(~F.col("stored").eqNullSafe(F.col("found"))).select("month", "stored", "found")
-
-
-@query(f"with {INSIDE}, k as (select poly, count(*) as cells, count(*) * {HA} as ha from inside group by 1), t as (select sum(cells) as all_ from k) select poly, ha, cells = (select count(*) from inside i where i.poly = k.poly) as whole, round(cells / all_, 6) as share from k, t")
-def totals_check(spark: SparkSession, folder: str) -> DataFrame:
-    """The parts of each zone by sector add up to the zone."""
-    m = G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32)
-    sector = (F.floor(F.col("r") / 8) * 4 + F.floor(F.col("c") / 8)).alias("sector")
-    parts = m.groupBy("poly", sector).agg(F.count("*").alias("n")).groupBy("poly").agg(F.sum("n").alias("n"))
-    own = m.groupBy("poly").agg(F.count("*").alias("cells"))
-    both = own.join(parts, "poly").join(F.broadcast(own.agg(F.sum("cells").alias("all"))))
-    return both.select("poly", (F.col("cells") * HA).alias("ha"), (F.col("n") == F.col("cells")).alias("whole"), F.round(F.col("cells") / F.col("all"), 6).alias("share"))

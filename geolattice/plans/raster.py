@@ -151,11 +151,6 @@ def grey_stretch(spark: SparkSession, folder: str) -> DataFrame:
     return p.join(F.broadcast(q), "scene").select("r", "c", R.byte_stretch(F.col("red"), F.col("p2"), F.col("p98")).alias("grey"))
 
 
-@query(f"with {INSIDE} select poly, r::bigint as r, c::bigint as c from inside")
-def polygon_mask(spark: SparkSession, folder: str) -> DataFrame:
-    return G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32).select("poly", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-
-
 @query(f"with {INSIDE}, {PIXELS} select poly, scene::bigint as scene, count({NDVI}) as n, round(avg({NDVI}), 6) as mean, round(median({NDVI}), 6) as median, round(stddev_samp({NDVI}), 6) as std, round(avg(({NDVI} >= 0.2)::int), 6) as share from px join inside using (r, c) group by 1, 2 having count({NDVI}) >= 5")
 def zonal_statistics(spark: SparkSession, folder: str) -> DataFrame:
     mask = G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32)
@@ -163,12 +158,6 @@ def zonal_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return v.groupBy("poly", "scene").agg(F.count("v").alias("n"), *[F.round(f, 6).alias(n) for n, f in (("mean", F.avg("v")), ("median", F.median("v")), ("std", F.stddev_samp("v")), ("share", F.avg((F.col("v") >= 0.2).cast("int"))))]).filter("n >= 5")
 
 
-@query(f"with {EDGES}, pt as (select s_suppkey as id, (s_suppkey * 37 % 320) / 10.0 + 0.013 as x, (s_suppkey * 91 % 320) / 10.0 + 0.017 as y from supplier), hit as (select id, poly from pt, edges where (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by 1, 2 having count(*) % 2 = 1) select id, min(poly) as poly from pt left join hit using (id) group by 1")
-def point_in_polygon(spark: SparkSession, folder: str) -> DataFrame:
-    points = spark.read.parquet(f"{folder}/supplier.parquet").selectExpr("s_suppkey as id", "(s_suppkey * 37 % 320) / 10.0D + 0.013D as x", "(s_suppkey * 91 % 320) / 10.0D + 0.017D as y")
-    return G.first_containing(points, G.edges(polygon_rings(spark)))
-
-
 @query(f"with {RULE}, s as (select r, c from ruled where state <> 'none') select r, c from s where (select count(*) from s t where abs(t.r - s.r) + abs(t.c - s.c) = 1) < 4")
 def boundary_cells(spark: SparkSession, folder: str) -> DataFrame:
     return P.boundary(P.construction(pixels(spark, folder), 1995, 1996).filter("state <> 'none'"))

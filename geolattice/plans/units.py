@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from geolattice.functions import radiometry as R
 from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
+from geolattice.operators import quadtree as Q
 from geolattice.operators import units as U
 from geolattice.plans.fixtures import EDGES, INSIDE, SCENES, pixels, polygon_rings, scenes
 from geolattice.plans.raster import HA, RULE
 from geolattice.plans.registry import query
-from geolattice.session import table
+from geolattice.session import saved, table
 
 #: Sectors are blocks of 8 by 8 cells, numbered in rows of four.
 SECTOR = "cast(floor(r / 8) * 4 + floor(c / 8) as bigint)"
@@ -27,37 +28,6 @@ def _sectors(spark: SparkSession) -> DataFrame:
     return spark.range(1024).selectExpr("cast(floor(id / 32) as int) as r", "cast(id % 32 as int) as c").withColumn("sector", F.expr(SECTOR))
 
 
-@query(f"with {BLOCKS} select poly, sector, cells, round(cells / sum(cells) over (partition by poly), 6) as share from met")
-def overlay_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return U.overlaps(_mask(spark), _sectors(spark), "poly", "sector").withColumn("share", F.round("share", 6))
-
-
-@query(f"with {BLOCKS} select poly, arg_min(sector, -cells * 1000 + sector) as sector, max(cells) as cells from met group by 1")
-def largest_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return U.largest_overlap(U.overlaps(_mask(spark), _sectors(spark), "poly", "sector"), "poly", "sector")
-
-
-@query(f"with {INSIDE}, own as (select r, c from inside where poly = 'b') select {SECTOR} as sector, count(*) as cells, count(*) * {HA} as ha from range(32) a(r), range(32) b(c) where (r, c) not in (select (r, c) from own) group by 1")
-def overlay_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of the sectors outside a polygon."""
-    left = _sectors(spark).join(_mask(spark).filter("poly = 'b'"), ["r", "c"], "left_anti")
-    return left.groupBy("sector").agg(F.count("*").alias("cells"), (F.count("*") * HA).alias("ha"))
-
-
-@query(f"with {INSIDE}, h as (select r, c, case poly when 'a' then 2000 when 'b' then 2010 else 2020 end as year from inside union all select r, c, 2010 from inside where poly = 'c' and r < 25), f as (select r, c, min(year) as year from h group by 1, 2) select year::bigint as year, count(*) as cells from f group by 1")
-def exclusive_horizons(spark: SparkSession, folder: str) -> DataFrame:
-    m = _mask(spark)
-    h = m.select("r", "c", F.when(F.col("poly") == "a", 2000).when(F.col("poly") == "b", 2010).otherwise(2020).alias("year"))
-    h = h.unionByName(m.filter("poly = 'c' and r < 25").select("r", "c", F.lit(2010).alias("year")))
-    return U.exclusive(h, "year").groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("cells"))
-
-
-@query(f"with {INSIDE} select count(*) as cells from (select distinct r, c from inside)")
-def mask_union(spark: SparkSession, folder: str) -> DataFrame:
-    """The area of several polygons as one set of cells, which counts no cell twice."""
-    return _mask(spark).select("r", "c").distinct().agg(F.count("*").alias("cells"))
-
-
 @query("with s as (select s_suppkey as id, s_nationkey from supplier), n as (select n_nationkey, n_name from nation where n_nationkey % 4 <> 1) select id, coalesce(n_name, 'not reviewed') as name from s left join n on s_nationkey = n_nationkey")
 def lookup_with_default(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n_nationkey"))
@@ -148,11 +118,11 @@ def people_in_reach(spark: SparkSession, folder: str) -> DataFrame:
     return U.within_radius(_points(spark, folder), places, 60.0, "pop")
 
 
-@query(f"""with {_PLACES}, l as (select place as line, px as x0, py as y0, px + place % 11 * 5.0 - 25 as x1, py + place % 7 * 6.0 - 18 as y1 from q), t as (select id, line, x, y, x0, y0, x1, y1, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as n from p, l where x between least(x0, x1) - 100 and greatest(x0, x1) + 100 and y between least(y0, y1) - 100 and greatest(y0, y1) + 100),
- u as (select *, case when n = 0 then 0 else least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n, 0), 1) end as f from t), d as (select id, line, sqrt(pow(x - (x0 + f * (x1 - x0)), 2) + pow(y - (y0 + f * (y1 - y0)), 2)) as d from u), k as (select *, row_number() over (partition by id order by d, line) as k from d where d <= 100) select id, line, round(d, 6) as d from k where k = 1""")
+@query(f"""with {_PLACES}, l as (select place as line, px as x0, py as y0, px + place % 11 * 5.0 - 25 as x1, py + place % 7 * 6.0 - 18 as y1 from q), t as (select id, line, x, y, x0, y0, x1, y1, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as n from p, l),
+ u as (select *, case when n = 0 then 0 else least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n, 0), 1) end as f from t), d as (select id, line, sqrt(pow(x - (x0 + f * (x1 - x0)), 2) + pow(y - (y0 + f * (y1 - y0)), 2)) as d from u), k as (select *, row_number() over (partition by id order by round(d, 9), line) as k from d) select id, line, round(d, 6) as d from k where k = 1""")
 def nearest_line(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "supplier").selectExpr("s_suppkey as line", "(s_suppkey * 7907 % 10007) / 10.0D as x0", "(s_suppkey * 6101 % 10009) / 10.0D as y0").selectExpr("line", "x0", "y0", "x0 + line % 11 * 5.0D - 25 as x1", "y0 + line % 7 * 6.0D - 18 as y1")
-    return U.nearest_segment(_points(spark, folder), lines, 100.0).withColumn("d", F.round("d", 6))
+    return Q.nearest_line(_points(spark, folder), lines, saved).withColumn("d", F.round("d", 6))
 
 
 _BUILT = "g as (select l_partkey % 40 as r, l_suppkey % 40 as c, year(l_shipdate) as y, sum(l_quantity)::double * 40 as gain from lineitem group by 1, 2, 3), b as (select r, c, sum(case when y <= 1996 then gain else 0 end) as b0, sum(gain) as b1 from g group by 1, 2)"
@@ -248,13 +218,6 @@ def value_counts(spark: SparkSession, folder: str) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("value", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
-@query(f"with {INSIDE}, g as (select case when poly in ('a', 'b') then 'north' else 'south' end as name, r, c from inside) select name, count(*) as cells, min(r)::bigint as top, max(r)::bigint as bottom from (select distinct name, r, c from g) group by 1")
-def dissolved(spark: SparkSession, folder: str) -> DataFrame:
-    """Zones of one name as one set of cells."""
-    g = _mask(spark).select(F.when(F.col("poly").isin("a", "b"), "north").otherwise("south").alias("name"), "r", "c").distinct()
-    return g.groupBy("name").agg(F.count("*").alias("cells"), F.min("r").cast("long").alias("top"), F.max("r").cast("long").alias("bottom"))
-
-
 @query("with s as (select s_suppkey as pitch, s_nationkey as n, (s_suppkey * 37 % 100) / 10.0 as d from supplier) select pitch, case when min(d) over (partition by n) <= 0.3 and d <= 3 then 'public' else 'to_confirm' end as class from s")
 def attached_pitches(spark: SparkSession, folder: str) -> DataFrame:
     """Loose pitches near a park that has one close by are public, others to be confirmed."""

@@ -12,9 +12,9 @@ from geolattice.operators import quadtree as Q
 from geolattice.operators import territory as T
 from geolattice.operators import units as U
 from geolattice.operators.zones import clean_mask, fused, label, outlines
-from geolattice.plans.fixtures import EDGES, INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes
+from geolattice.plans.fixtures import INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes, side
 from geolattice.plans.iterative import STREETS, network_distance, street_grid, street_side
-from geolattice.plans.raster import HA, _zones_sql
+from geolattice.plans.raster import _zones_sql
 from geolattice.plans.registry import query
 from geolattice.plans.units import _PLACES, _points
 from geolattice.session import saved, table
@@ -118,14 +118,14 @@ def zone_outlines(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with recursive {INSIDE.replace('edges(', 'edges(', 1)}, pair as (select distinct a.poly as a, b.poly as b from inside a join inside b on abs(a.r - b.r) <= 3 and abs(a.c - b.c) <= 3), walk as (select a as x, b as y from pair union select walk.x, pair.b from walk join pair on walk.y = pair.a) select x as poly, min(y) as fused from walk group by 1")
 def fused_zones(spark: SparkSession, folder: str) -> DataFrame:
     """Zones that touch when each grows by a cell are one."""
-    return fused(G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32), "poly", saved).select("poly", "fused")
+    return fused(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), "poly", saved).select("poly", "fused")
 
 
 @query()
 def cleaned_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Small zones dropped, small holes filled, the edge smoothed."""
     cells = pixels(spark, folder).filter("scene = 1996 and nir > red").select("r", "c")
-    return clean_mask(cells, 32, 32, saved, least=4, hole=12).select("r", "c")
+    return clean_mask(cells, side(spark, folder), side(spark, folder), saved, least=4, hole=12).select("r", "c")
 
 
 @query(f"{_EIGHT}, s as (select zone, count(*) as cells from z group by 1), k as (select *, row_number() over (order by cells desc, zone) as k from s) select '{{\"zones\":' || (select count(*) from s) || ',\"cells\":' || (select sum(cells) from s) || ',\"largest\":[' || string_agg('{{\"zone\":' || zone || ',\"cells\":' || cells || '}}', ',' order by k) || ']}}' as json from k where k <= 5")

@@ -11,7 +11,7 @@ from geolattice.operators import grid as GR
 from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
 from geolattice.operators.zones import zones
-from geolattice.plans.fixtures import INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes
+from geolattice.plans.fixtures import INSIDE, PIXELS, SCENES, SIDE, pixels, polygon_rings, scenes, side
 from geolattice.plans.raster import HA, MNDWI, NDBI, NDVI, RULE, _ranks, _zones_sql
 from geolattice.plans.registry import query
 from geolattice.session import saved, table
@@ -61,7 +61,7 @@ def reflectance_by_collection(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {INSIDE}, {PIXELS} select scene::bigint as scene, count(*) as cells, round(sum(red), 6) as red from px join inside i on i.r = px.r and i.c = px.c and i.poly = chr(97 + px.scene % 3) group by 1")
 def footprint_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels inside the footprint of their own scene."""
-    prints = G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32)
+    prints = G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder))
     p = pixels(spark, folder).withColumn("poly", F.chr(97 + F.col("scene") % 3)).join(prints, ["poly", "r", "c"], "left_semi")
     return p.groupBy(*_long("scene")).agg(F.count("*").alias("cells"), F.round(F.sum("red"), 6).alias("red"))
 
@@ -106,13 +106,13 @@ def full_coverage_dates(spark: SparkSession, folder: str) -> DataFrame:
     return P.full_coverage(shapes, 32.0, 32.0).withColumn("share", F.round("share", 6))
 
 
-_RAW = "raw as (select year(l_shipdate)::bigint as scene, l_partkey % 32 as r, l_suppkey % 32 as c, (sum(l_partkey * 37) % 4000)::int as dn from lineitem group by 1, 2, 3)"
+_RAW = f"raw as (select year(l_shipdate)::bigint as scene, l_partkey % {SIDE} as r, l_suppkey % {SIDE} as c, (sum(l_partkey * 37) % 4000)::int as dn from lineitem group by 1, 2, 3)"
 
 
 @query(f"with {_RAW}, v as (select scene, dn * 0.1::double as v from raw where dn <= 3000), n as (select scene, count(*) * {HA} as ha, round(avg(v), 6) as mean from v group by 1) select scene, ha, mean, p2, p98 from n join " + _ranks("v", "v", "scene", {"p2": 0.02, "p98": 0.98}) + " using (scene)")
 def evapotranspiration(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged numbers dropped; mean, 2nd and 98th percentile and the hectares measured."""
-    cells = table(spark, folder, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("scene"), (F.col("l_partkey") % 32).alias("r"), (F.col("l_suppkey") % 32).alias("c"))
+    cells = table(spark, folder, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("scene"), (F.col("l_partkey") % side(spark, folder)).alias("r"), (F.col("l_suppkey") % side(spark, folder)).alias("c"))
     raw = cells.agg((F.sum(F.col("l_partkey") * 37) % 4000).cast("int").alias("dn"))
     v = raw.select("scene", R.unflagged(F.col("dn"), 3000, 0.1).alias("v")).filter("v is not null")
     p = rank_percentiles(v, ["scene"], "v", {"p2": 0.02, "p98": 0.98})
@@ -173,7 +173,7 @@ _MEASURED = f"{INSIDE}, {PIXELS}, k as (select i.poly, px.* from px join inside
 @query(f"with {_MEASURED}, s as (select poly, cls::bigint as class, count(*) as n from k where scene = 1996 group by 1, 2) select poly, class, n * {HA} as ha, round(100.0 * n / sum(n) over (partition by poly), 6) as pct from s")
 def measure_cover(spark: SparkSession, folder: str) -> DataFrame:
     """Mode cover of the measuring job: hectares and share of each class in each polygon."""
-    k = pixels(spark, folder).filter("scene = 1996").join(G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32), ["r", "c"])
+    k = pixels(spark, folder).filter("scene = 1996").join(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), ["r", "c"])
     s = k.groupBy("poly", F.col("cls").cast("long").alias("class")).agg(F.count("*").alias("n"))
     return s.select("poly", "class", (F.col("n") * HA).alias("ha"), F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("poly")), 6).alias("pct"))
 
@@ -184,7 +184,7 @@ def measure_cover(spark: SparkSession, folder: str) -> DataFrame:
 def measure_bare(spark: SparkSession, folder: str) -> DataFrame:
     """Mode bare soil of the measuring job; the share rests on the cells with data."""
     both = P.two_dates(pixels(spark, folder), 1995, 1996, {"ndvi": R.index("NDVI"), "mndwi": R.index("MNDWI"), "cls": F.col("cls")})
-    k = both.join(G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32), ["r", "c"])
+    k = both.join(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), ["r", "c"])
     bare = F.count_if(R.is_bare(F.col("ndvi_0"), F.col("ndvi_1"), F.col("mndwi_1"), F.col("cls_1"), 5))
     unknown = F.count_if(F.col("ndvi_0").isNull() | F.col("ndvi_1").isNull())
     return k.groupBy("poly").agg((F.count("*") * HA).alias("area_ha"), (unknown * HA).alias("without_ha"), (bare * HA).alias("bare_ha"), F.round(100.0 * bare / F.nullif(F.count("*") - unknown, F.lit(0)), 6).alias("pct"))
@@ -193,14 +193,14 @@ def measure_bare(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {INSIDE}, {RULE} select poly, count(*) as comparable, count(*) filter (where state = 'construction') * {HA} as built_ha, count(*) filter (where state = 'vegetation_loss') * {HA} as lost_ha from ruled join inside using (r, c) group by 1")
 def measure_construction(spark: SparkSession, folder: str) -> DataFrame:
     """Mode construction of the measuring job."""
-    k = P.construction(pixels(spark, folder), 1995, 1996).join(G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32), ["r", "c"])
+    k = P.construction(pixels(spark, folder), 1995, 1996).join(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), ["r", "c"])
     return k.groupBy("poly").agg(F.count("*").alias("comparable"), (F.count_if(F.col("state") == "construction") * HA).alias("built_ha"), (F.count_if(F.col("state") == "vegetation_loss") * HA).alias("lost_ha"))
 
 
 @query(f"with {_MEASURED} select poly, count(red) as n, round(avg(red * 100 - 5 - 273.15), 6) as celsius, round(avg({NDVI}), 6) as ndvi from k where scene = 1996 group by 1")
 def measure_heat_and_index(spark: SparkSession, folder: str) -> DataFrame:
     """Modes heat and index of the measuring job: means of the valid cells of each polygon."""
-    k = pixels(spark, folder).filter("scene = 1996").join(G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32), ["r", "c"])
+    k = pixels(spark, folder).filter("scene = 1996").join(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), ["r", "c"])
     return k.groupBy("poly").agg(F.count("red").alias("n"), F.round(F.avg(R.celsius(F.col("red") * 100 - 5)), 6).alias("celsius"), F.round(F.avg(R.index("NDVI")), 6).alias("ndvi"))
 
 

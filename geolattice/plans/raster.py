@@ -10,7 +10,7 @@ from geolattice.functions.order_stats import rank_percentiles
 from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
 from geolattice.operators.zones import FOUR, zones
-from geolattice.plans.fixtures import EDGES, INSIDE, PIXELS, pixels, polygon_rings
+from geolattice.plans.fixtures import INSIDE, PIXELS, SIDE, pixels, polygon_rings, side
 from geolattice.plans.registry import query
 from geolattice.session import saved
 
@@ -116,11 +116,11 @@ def temporal_composite(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("r", "c", F.round("value", 6).alias("value"), "n_obs")
 
 
-@query(f"with {PIXELS}, v as (select scene, {NDVI} as v from px), n as (select scene::bigint as scene, v, row_number() over (partition by scene order by v) - 1 as k, count(*) over (partition by scene) as n, count(*) over (partition by scene) / 1024.0 as fraction from v where v is not null) select scene, round(avg(v), 6) as mean, round(median(v), 6) as median, round(max(case when k = n // 2 then v end), 9) as upper_median, round(max(fraction), 6) as valid from n group by 1")
+@query(f"with {PIXELS}, v as (select scene, {NDVI} as v from px), n as (select scene::bigint as scene, v, row_number() over (partition by scene order by v) - 1 as k, count(*) over (partition by scene) as n, count(*) over (partition by scene) / pow({SIDE}, 2) as fraction from v where v is not null) select scene, round(avg(v), 6) as mean, round(median(v), 6) as median, round(max(case when k = n // 2 then v end), 9) as upper_median, round(max(fraction), 6) as valid from n group by 1")
 def series(spark: SparkSession, folder: str) -> DataFrame:
     v = pixels(spark, folder).select(F.col("scene").cast("long").alias("scene"), R.index("NDVI").alias("v"))
     upper = rank_percentiles(v, ["scene"], "v", {"upper_median": 0.5})
-    return v.groupBy("scene").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.count("v") / 1024.0, 6).alias("valid")).join(upper, "scene").withColumn("upper_median", F.round("upper_median", 9))
+    return v.groupBy("scene").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.count("v") / float(side(spark, folder) ** 2), 6).alias("valid")).join(upper, "scene").withColumn("upper_median", F.round("upper_median", 9))
 
 
 @query(f"with {PIXELS}, k as (select r, c, max(case when scene = 1995 then {NDVI} end) as a, max(case when scene = 2000 then {NDVI} end) as b from px group by 1, 2), d as (select " + ", ".join(f"case when {x} is null then 0 when {x} < 0.2 then 1 when {x} < 0.4 then 2 when {x} < 0.6 then 3 else 4 end as c{x}" for x in "ab") + " from k) select ca::bigint as before, " + ", ".join(f"count(*) filter (where cb = {k}) as to_{k}" for k in range(5)) + " from d group by 1")
@@ -153,7 +153,7 @@ def grey_stretch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {INSIDE}, {PIXELS} select poly, scene::bigint as scene, count({NDVI}) as n, round(avg({NDVI}), 6) as mean, round(median({NDVI}), 6) as median, round(stddev_samp({NDVI}), 6) as std, round(avg(({NDVI} >= 0.2)::int), 6) as share from px join inside using (r, c) group by 1, 2 having count({NDVI}) >= 5")
 def zonal_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    mask = G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32)
+    mask = G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder))
     v = pixels(spark, folder).join(mask, ["r", "c"]).select("poly", F.col("scene").cast("long").alias("scene"), R.index("NDVI").alias("v"))
     return v.groupBy("poly", "scene").agg(F.count("v").alias("n"), *[F.round(f, 6).alias(n) for n, f in (("mean", F.avg("v")), ("median", F.median("v")), ("std", F.stddev_samp("v")), ("share", F.avg((F.col("v") >= 0.2).cast("int"))))]).filter("n >= 5")
 

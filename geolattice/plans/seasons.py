@@ -12,7 +12,7 @@ from geolattice.operators import pixels as P
 from geolattice.operators import seasons as S
 from geolattice.operators import territory as T
 from geolattice.operators.zones import label
-from geolattice.plans.fixtures import PIXELS, SCENES, pixels, scenes
+from geolattice.plans.fixtures import PIXELS, SCENES, SIDE, pixels, scenes, side
 from geolattice.plans.raster import HA, NDVI, _zones_sql
 from geolattice.plans.registry import query
 from geolattice.plans.units import SECTOR
@@ -219,10 +219,10 @@ def growth_zones(spark: SparkSession, folder: str) -> DataFrame:
     return z.agg(F.count("*").alias("cells"), (F.count("*") * HA).alias("ha"), F.round(F.avg(F.col("r").between(8, 23).cast("double")), 6).alias("urban"))
 
 
-@query(f"with {PIXELS}, v as (select scene::bigint as scene, avg({NDVI}) as mean, median({NDVI}) as median, count({NDVI}) / 1024.0::double as valid from px group by 1) select printf('%d,%.4f,%.4f,%.3f', scene, mean, median, valid) as line from v")
+@query(f"with {PIXELS}, v as (select scene::bigint as scene, avg({NDVI}) as mean, median({NDVI}) as median, count({NDVI}) / pow({SIDE}, 2) as valid from px group by 1) select printf('%d,%.4f,%.4f,%.3f', scene, mean, median, valid) as line from v")
 def series_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The series as lines with fixed decimals."""
-    v = pixels(spark, folder).groupBy("scene").agg(F.avg(R.index("NDVI")).alias("mean"), F.median(R.index("NDVI")).alias("median"), (F.count(R.index("NDVI")) / 1024.0).alias("valid"))
+    v = pixels(spark, folder).groupBy("scene").agg(F.avg(R.index("NDVI")).alias("mean"), F.median(R.index("NDVI")).alias("median"), (F.count(R.index("NDVI")) / float(side(spark, folder) ** 2)).alias("valid"))
     return v.select(F.format_string("%d,%.4f,%.4f,%.3f", "scene", "mean", "median", "valid").alias("line"))
 
 

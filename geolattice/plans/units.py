@@ -10,22 +10,19 @@ from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
 from geolattice.operators import quadtree as Q
 from geolattice.operators import units as U
-from geolattice.plans.fixtures import EDGES, INSIDE, SCENES, pixels, polygon_rings, scenes
-from geolattice.plans.raster import HA, RULE
+from geolattice.plans.fixtures import EDGES, INSIDE, SCENES, pixels, polygon_rings, scenes, side
+from geolattice.plans.raster import RULE
 from geolattice.plans.registry import query
 from geolattice.session import saved, table
 
-#: Sectors are blocks of 8 by 8 cells, numbered in rows of four.
-SECTOR = "cast(floor(r / 8) * 4 + floor(c / 8) as bigint)"
-BLOCKS = f"{INSIDE}, cells as (select r, c, {SECTOR} as sector from range(32) a(r), range(32) b(c)), met as (select i.poly, k.sector, count(*) as cells from inside i join cells k using (r, c) group by 1, 2)"
 
 
-def _mask(spark: SparkSession) -> DataFrame:
-    return G.scanline_mask(G.edges(polygon_rings(spark)), 32, 32)
+#: Sectors are blocks of 8 by 8 cells.
+SECTOR = "cast(floor(r / 8) * 1000 + floor(c / 8) as bigint)"
 
 
-def _sectors(spark: SparkSession) -> DataFrame:
-    return spark.range(1024).selectExpr("cast(floor(id / 32) as int) as r", "cast(id % 32 as int) as c").withColumn("sector", F.expr(SECTOR))
+def _mask(spark: SparkSession, folder: str) -> DataFrame:
+    return G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder))
 
 
 @query("with s as (select s_suppkey as id, s_nationkey from supplier), n as (select n_nationkey, n_name from nation where n_nationkey % 4 <> 1) select id, coalesce(n_name, 'not reviewed') as name from s left join n on s_nationkey = n_nationkey")
@@ -72,7 +69,7 @@ def _basins(spark: SparkSession) -> DataFrame:
 def _runoff(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     found = table(spark, folder, "supplier").selectExpr("s_suppkey as id", "(s_suppkey * 37 % 320) / 10.0D + 0.013D as x", "(s_suppkey * 91 % 320) / 10.0D + 0.017D as y", "1.0D + s_suppkey % 7 as ha")
     kept = R.usable_basins(_basins(spark))
-    return R.runoff_by_basin(kept, G.first_containing(found, G.edges(polygon_rings(spark).join(kept.select("poly"), "poly", "left_semi"))).join(found.select("id", "ha"), "id"), F.lit(60.0))
+    return R.runoff_by_basin(kept, G.first_containing(found, G.edges(polygon_rings(spark, folder).join(kept.select("poly"), "poly", "left_semi"))).join(found.select("id", "ha"), "id"), F.lit(60.0))
 
 
 @query(f"with {_BASIN} select poly, round(ha, 6) as ha, round(cn2, 9) as cn_new, round(v0, 4) as before_m3, round(v1, 4) as after_m3, km2 / declared < 0.9 as partial from depth order by v1 desc limit 15")
@@ -158,7 +155,7 @@ def concordance(spark: SparkSession, folder: str) -> DataFrame:
     """The share of each zone that changed, beside the share of all comparable cells."""
     ruled = P.construction(pixels(spark, folder), 1995, 1996)
     base = ruled.agg(F.round(F.avg((F.col("state") != "none").cast("double")), 6).alias("base"))
-    hit = _mask(spark).join(ruled.select("r", "c", "state"), ["r", "c"], "left").groupBy("poly").agg(F.count("*").alias("area"), F.count_if(F.coalesce(F.col("state") != "none", F.lit(False))).alias("hit"))
+    hit = _mask(spark, folder).join(ruled.select("r", "c", "state"), ["r", "c"], "left").groupBy("poly").agg(F.count("*").alias("area"), F.count_if(F.coalesce(F.col("state") != "none", F.lit(False))).alias("hit"))
     return hit.join(F.broadcast(base)).withColumn("share", F.round(F.col("hit") / F.col("area"), 6))
 
 

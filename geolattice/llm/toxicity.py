@@ -196,13 +196,17 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     # of a parent's children only those with evidence are kept, which are few; the sums have the others
     child = F.when(F.greatest("n0_0", "n1_0") > discount, F.struct("child", *[f"n{y}_{k}" for y, k in n]))
     per_class = staged(per_class.groupBy("parent").agg(*sums, F.collect_list(child).alias("evident")), "class-counts")
-    shared = staged(_texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).groupBy("parent", "child").agg(F.sum("n").alias("n")), "shared-counts")
     parents = per_class.drop("evident")
     pair = F.col("parent").bitwiseAND(1) == 1
     evident = staged(per_class.select("parent", F.explode("evident").alias("e")).select("parent", "e.*"), "evident")
     known = staged(evident.select("parent").distinct(), "evident-parents")
     own = _few(staged(parents.join(_few(known), "parent", "left_semi"), "parents-of-evident"))
-    totals = _few(staged(_below(shared.join(_few(known), "parent", "left_semi")), "below-parents"))
+    # of the corpus, evident children are counted one by one and the others of their parents together, before anything is exchanged
+    named = staged(evident.filter(~pair).select("parent", F.col("child").alias("evident_child")), "evident-children")
+    corpus = _texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).join(_few(known), "parent", "left_semi").withColumn("evident_child", F.col("child"))
+    found = corpus.select("parent", "evident_child", "n").join(_few(named.withColumn("is_evident", F.lit(True))), ["parent", "evident_child"], "left")
+    shared = staged(found.groupBy("parent", F.when(F.col("is_evident"), F.col("evident_child")).alias("child")).agg(F.sum("n").alias("n")), "shared-counts")
+    totals = _few(staged(shared.groupBy("parent").agg(F.sum("n").alias("below")), "below-parents"))
     counts = [F.col(f"{x}{y}_{k}").cast("int").alias(f"{x}{y}_{k}") for x in ("n", "all", "left") for y, k in n]
     rows = evident.filter(~pair).join(shared, ["parent", "child"]).join(totals, "parent").join(own, "parent").select("parent", "child", (F.col("n") / F.col("below")).alias("base"), *counts).toArrow()
     behind = evident.filter(pair).join(own, "parent").select("parent", "child", *counts).toArrow()
@@ -238,12 +242,6 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def _below(children: DataFrame) -> DataFrame:
-    """(parent, below): the sum of each parent's children, which are many for the root: they are summed by parts first."""
-    parts = children.groupBy("parent", F.pmod("child", F.lit(64)).alias("part")).agg(F.sum("n").alias("n"))
-    return parts.groupBy("parent").agg(F.sum("n").alias("below"))
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression with a small ridge, by Newton's method: (centre, scale, weights with the intercept last)."""
     if not len(y) or y.min() == y.max():

@@ -5,11 +5,14 @@ Sets are united, cut and subtracted by merging the ends of runs along each row;
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolattice.operators.components import connected_components
+
 
 def of_cells(cells: DataFrame, *keys: str) -> DataFrame:
     """Runs of distinct cells (keys, r, c)."""
@@ -124,3 +127,58 @@ def shared(keyed: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     # one run ends where the next begins, so the last key to begin is the open one
     now = sums.select("r", "c", (F.lead("c").over(along) - 1).alias("c1"), F.last("k", ignorenulls=True).over(upto).alias(key), (F.sum("m").over(upto) > 0).alias("__m"), (F.sum("o").over(upto) > 0).alias("__o"))
     return now.filter("__m and __o").select(key, "r", F.col("c").alias("c0"), "c1")
+
+
+def _covered(spans: DataFrame, least: int, *keys: str) -> DataFrame:
+    """Runs (keys, r, c0, c1) of cells that ``least`` runs or more cover."""
+    ends = _ends(spans, "__n", ["__n"], keys).groupBy(*keys, "__r", "__c").agg(F.sum("__n").alias("__n"))
+    along = Window.partitionBy(*keys, "__r").orderBy("__c")
+    inside = ends.select(*keys, "__r", "__c", (F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, 0)) >= least).alias("__in"))
+    turns = inside.withColumn("__was", F.coalesce(F.lag("__in").over(along), F.lit(False))).filter("__in <> __was").withColumn("__end", F.lead("__c").over(along)).filter("__in")
+    return turns.select(*keys, F.col("__r").alias("r"), F.col("__c").alias("c0"), (F.col("__end") - 1).alias("c1"))
+
+
+def _disc(spans: DataFrame, reach: int, sign: int) -> DataFrame:
+    """Each run once for each row of a disc of cells around its own, longer (or with sign -1 shorter) by the disc's half width there."""
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.isqrt(reach * reach - k * k) * sign).alias("w")) for k in range(-reach, reach + 1)])
+    rest = [c for c in spans.columns if c not in ("r", "c0", "c1")]
+    return spans.withColumn("__d", F.explode(rows)).select(*rest, (F.col("r") + F.col("__d.k")).alias("r"), (F.col("c0") - F.col("__d.w")).alias("c0"), (F.col("c1") + F.col("__d.w")).alias("c1")).filter("c0 <= c1")
+
+
+def grown(spans: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """All cells within ``reach`` of a cell of the runs, by straight distance."""
+    return _covered(_disc(spans, reach, 1), 1, *keys)
+
+
+def shrunk(spans: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """The cells whose whole disc of ``reach`` lies in the runs, which mustn't overlap or touch (as ``union`` gives them).
+
+    A run that is shortened by the disc's width in each of its rows has the cells that it leaves there; a cell that all rows leave stays.
+    """
+    return _covered(_disc(spans, reach, -1), 2 * reach + 1, *keys)
+
+
+def closed(spans: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """Runs grown by ``reach`` and shrunk again: gaps and inlets up to twice that wide are filled, the outline elsewhere stays."""
+    return shrunk(grown(spans, reach, *keys), reach, *keys)
+
+
+def zoned(spans: DataFrame, save, bucket: int = 256) -> DataFrame:
+    """(r, c0, c1, zone) of runs that don't overlap or touch: zones join runs of adjacent rows that share a column; the least run's number names one."""
+    own = save(spans.select("r", "c0", "c1").withColumn("node", F.monotonically_increasing_id()), "runs")
+    spread = own.withColumn("b", F.explode(F.sequence(F.floor(F.col("c0") / bucket), F.floor(F.col("c1") / bucket))))
+    above = spread.select((F.col("r") + 1).alias("r"), "b", F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("dst"))
+    edges = spread.join(above, ["r", "b"]).filter("c0 <= d1 and d0 <= c1").select(F.col("node").alias("src"), "dst")
+    return own.join(connected_components(edges, save), "node", "left").select("r", "c0", "c1", F.coalesce("component", "node").alias("zone"))
+
+
+def fused(parts: DataFrame, part: str, reach: int, save) -> tuple[DataFrame, DataFrame]:
+    """((part, zone, cells), (zone, name, parts, cells)): parts (part, r, c0, c1) that become one when closed by ``reach``, and the zones, named by
+    their largest part (the least of equals). Parts may overlap; each lies in one zone."""
+    own = save(union(parts, part), "parts")
+    zones = save(zoned(closed(union(own), reach), save), "zones")
+    # a part is in one zone, so one of its cells tells which
+    at = own.groupBy(part).agg(F.min(F.struct("r", "c0")).alias("m"), F.sum(F.col("c1") - F.col("c0") + 1).alias("cells")).select(part, "cells", F.col("m.r").alias("r"), F.col("m.c0").alias("c"))
+    of = save(located(at, zones, "zone").select(part, "zone", "cells"), "zones-of-parts")
+    named = of.groupBy("zone").agg(F.min_by(part, F.struct(-F.col("cells"), part)).alias("name"), F.count("*").alias("parts"))
+    return of, cells_of(zones, "zone").join(named, "zone").select("zone", "name", "parts", "cells")

@@ -9,9 +9,10 @@ from geolattice.operators import network as N
 from geolattice.operators import pixels as P
 from geolattice.operators import polygons as G
 from geolattice.operators import quadtree as Q
+from geolattice.operators import spans as M
 from geolattice.operators import territory as T
 from geolattice.operators import units as U
-from geolattice.operators.zones import clean_mask, fused, label, outlines
+from geolattice.operators.zones import clean_mask, label, outlines
 from geolattice.plans.fixtures import INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes, side
 from geolattice.plans.iterative import STREETS, network_distance, street_grid, street_side
 from geolattice.plans.raster import _zones_sql
@@ -115,10 +116,22 @@ def zone_outlines(spark: SparkSession, folder: str) -> DataFrame:
     return outlines(label(_changed(spark, folder), saved)).groupBy("zone").agg(F.count("*").alias("sides"))
 
 
-@query(f"with recursive {INSIDE.replace('edges(', 'edges(', 1)}, pair as (select distinct a.poly as a, b.poly as b from inside a join inside b on abs(a.r - b.r) <= 3 and abs(a.c - b.c) <= 3), walk as (select a as x, b as y from pair union select walk.x, pair.b from walk join pair on walk.y = pair.a) select x as poly, min(y) as fused from walk group by 1")
+_FUSED = f"""{_STREET_NODES}, pc as (select place, r, unnest(range(ceil(px - h - 0.5)::bigint, ceil(px + h - 0.5)::bigint)) as c from (select *, unnest(range(ceil(py - h - 0.5)::bigint, ceil(py + h - 0.5)::bigint)) as r from pks)),
+ disc as (select a as dr, b as dc from range(-3, 4) x(a), range(-3, 4) y(b) where a * a + b * b <= 9), gr as (select distinct r + dr as r, c + dc as c from (select distinct r, c from pc), disc),
+ sh as (select g.r, g.c from gr g join disc on true join gr o on o.r = g.r + dr and o.c = g.c + dc group by 1, 2 having count(*) = 29),
+ rn as (select row_number() over (order by r, min(c)) as run, r, min(c) as c0, max(c) as c1 from (select r, c, c - row_number() over (partition by r order by c) as k from sh) group by r, k),
+ ed as (select a.run as a, b.run as b from rn a join rn b on abs(a.r - b.r) = 1 and a.c0 <= b.c1 and b.c0 <= a.c1),
+ lab(run, z) using key (run) as (select run, min(run) from rn group by 1 union select ed.b, min(lab.z) from lab join ed on ed.a = lab.run join recurring.lab as known on known.run = ed.b where lab.z < known.z group by 1),
+ size as (select place, count(*) as cells, min((r, c)) as first from pc group by 1), zp as (select place, size.cells, z from size join rn on rn.r = first[1] and first[2] between c0 and c1 join lab using (run)),
+ zs as (select z, sum(c1 - c0 + 1)::bigint as area from rn join lab using (run) group by 1), zn as (select z, arg_max(place, cells * 1000000 - place) as name from zp group by 1)"""
+
+
+@query(f"with recursive {_FUSED} select place as part, name as fused, zp.cells, area from zp join zn using (z) join zs using (z)")
 def fused_zones(spark: SparkSession, folder: str) -> DataFrame:
-    """Zones that touch when each grows by a cell are one."""
-    return fused(G.scanline_mask(G.edges(polygon_rings(spark, folder)), side(spark, folder), side(spark, folder)), "poly", saved).select("poly", "fused")
+    """Parks that touch when each grows by 3 m are one, which shrinks back to its outline; the largest gives the name."""
+    edges = parks(spark, folder).withColumnRenamed("place", "poly")
+    of, zones = M.fused(M.of_polygons(edges).withColumnRenamed("poly", "part"), "part", 3, saved)
+    return of.join(zones.select("zone", F.col("name").alias("fused"), F.col("cells").alias("area")), "zone").select("part", "fused", "cells", "area")
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.operators import overlay as O
+from geolattice.operators import shapes as H
 from geolattice.plans.registry import query
 from geolattice.session import saved, table
 
@@ -155,3 +156,16 @@ def dissolved(spark: SparkSession, folder: str) -> DataFrame:
     done = O.dissolve(O.oriented(parcels(spark, folder)), F.floor(F.col("poly") % _side(spark, folder) / 6), 12.0, saved)
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     return done.groupBy(F.col("g").alias("name")).agg(F.round(F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2, 4).alias("area"), F.round(F.sum(length), 4).alias("outline"))
+
+
+_POINTS_SQL = " union all ".join(f"select k as poly, {n} as i, ({v.split(', ')[0]})::double as x, ({v.split(', ')[1]})::double as y from pk" for n, v in enumerate(_PARCEL))
+
+
+@query(f"""with {PLANE}, pp as ({_POINTS_SQL}), dir as (select a.poly, a.i, b.i as j, (b.x - a.x) / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) as ux, (b.y - a.y) / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) as uy, a.x, a.y from pp a join pp b on a.poly = b.poly and a.i <> b.i and (a.x <> b.x or a.y <> b.y)),
+ ext as (select dir.poly, dir.i, j, max(pp.x * ux + pp.y * uy) - min(pp.x * ux + pp.y * uy) as a, max(pp.y * ux - pp.x * uy) - min(pp.y * ux - pp.x * uy) as b, min((pp.x - dir.x) * -uy + (pp.y - dir.y) * ux) as side from dir join pp on pp.poly = dir.poly group by 1, 2, 3),
+ best as (select poly, least(a, b) as width, greatest(a, b) as length from ext where side >= -1e-9 qualify row_number() over (partition by poly order by round(a * b, 6), least(a, b)) = 1), whole as (select poly, sum(x0 * y1 - x1 * y0) / 2 as area, sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))) as outline from ({_edges_sql("pk", "k", [[(p, "true") for p in _PARCEL]])}) e(poly, x0, y0, x1, y1) group by 1)
+ select poly, round(width, 6) as width, round(length, 6) as length, round(length / greatest(width, 1), 5) as elongation, round(area, 6) as area, round(outline, 6) as outline, round(4 * pi() * area / (outline * outline), 6) as compactness from best join whole using (poly)""")
+def shape_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Width, length, elongation and compactness of each parcel, by the least rectangle around it."""
+    done = H.shape_features(parcels(spark, folder))
+    return done.select("poly", *[F.round(c, 5 if c == "elongation" else 6).alias(c) for c in done.columns if c != "poly"])

@@ -93,13 +93,13 @@ def prorated_flows(spark: SparkSession, folder: str) -> DataFrame:
     return m.groupBy("unit").agg(F.round(S.flows_after(m, "m", "n", F.lit("1997-03-10").cast("date")), 6).alias("after"))
 
 
-@query(f"with {SCENES}, d as (select scene_id % 97 as path, tile, day, min(scene_id) as scene_id from sc group by 1, 2, 3), s as (select path, tile, count(*) as days, arg_min(scene_id, day) as first_scene, arg_max(scene_id, day) as last_scene, date_diff('day', min(day), max(day)) as span from d group by 1, 2) select * from s where days >= 2 order by days desc, path, tile limit 20")
+@query(f"with {SCENES}, d as (select scene_id % 97 as path, tile, day, min(scene_id) as scene_id from sc group by 1, 2, 3), s as (select path, tile, count(*) as days, arg_min(scene_id, day) as first_scene, arg_max(scene_id, day) as last_scene, date_diff('day', min(day), max(day)) as span from d group by 1, 2) select * from s where days >= 2")
 def stacks(spark: SparkSession, folder: str) -> DataFrame:
-    """Stacks of granules, the first seen of a day, at least two days, with the pair of their first and last; the 20 largest."""
+    """Stacks of granules, the first seen of a day, at least two days, with the pair of their first and last."""
     s = scenes(spark, folder).select((F.col("scene_id") % 97).alias("path"), "tile", "day", "scene_id")
     d = S.first_seen(s, ["path", "tile", "day"], F.col("scene_id"))
     out = d.groupBy("path", "tile").agg(F.count("*").alias("days"), F.min_by("scene_id", "day").alias("first_scene"), F.max_by("scene_id", "day").alias("last_scene"), F.datediff(F.max("day"), F.min("day")).cast("long").alias("span"))
-    return out.filter("days >= 2").orderBy(F.desc("days"), "path", "tile").limit(20)
+    return out.filter("days >= 2").orderBy(F.desc("days"), "path", "tile")
 
 
 @query(f"with {SCENES}, p as (select distinct scene_id % 97 as path, tile, day from sc), q as (select path, tile, day as first, lead(day) over (partition by path, tile order by day) as second from p) select path, tile, first, second from q where month(first) between 7 and 10 and month(second) between 7 and 10")
@@ -108,16 +108,20 @@ def reliable_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter(R.reliable_pair(F.col("first"), F.col("second"))).select("path", "tile", "first", "second")
 
 
-@query(f"with {SCENES} select scene_id, day from sc order by day desc, scene_id limit 12")
+@query(f"with {SCENES} select day, count(*) as scenes, round(avg(cloud), 6) as cloud from sc group by 1")
 def newest_scenes(spark: SparkSession, folder: str) -> DataFrame:
-    return scenes(spark, folder).select("scene_id", "day").orderBy(F.desc("day"), "scene_id").limit(12)
+    """All days with scenes, newest first, with the mean of the clouds that are known."""
+    return scenes(spark, folder).groupBy("day").agg(F.count("*").alias("scenes"), F.round(F.avg("cloud"), 6).alias("cloud")).orderBy(F.desc("day"))
 
 
-@query(f"with {SCENES} select scene_id, day, cloud from sc where cloud is not null order by cloud, abs(date_diff('day', day, make_date(year(day), 9, 20))), scene_id limit 5")
+@query(f"with {SCENES}, d as (select day, avg(cloud) as cloud from sc group by 1), k as (select *, row_number() over (partition by year(day) order by coalesce(cloud, 100), abs(date_diff('day', day, make_date(year(day), 9, 20))), day) as k from d where day between make_date(year(day), 8, 15) and make_date(year(day), 10, 31)) select year(day)::bigint as year, day, round(cloud, 6) as cloud from k where k = 1")
 def cleanest_near_day(spark: SparkSession, folder: str) -> DataFrame:
-    """The cleanest scenes, of equals those nearest to 20 September; the report shows five."""
-    off = F.abs(F.datediff(F.make_date(F.year("day"), F.lit(9), F.lit(20)), "day"))
-    return scenes(spark, folder).filter("cloud is not null").orderBy("cloud", off, "scene_id").select("scene_id", "day", "cloud").limit(5)
+    """Each year's cleanest day from 15 August to 31 October, of equals the one nearest to 20 September, then the first; unknown clouds count as 100."""
+    at = lambda m, d: F.make_date(F.year("day"), F.lit(m), F.lit(d))
+    d = scenes(spark, folder).filter(F.col("day").between(at(8, 15), at(10, 31))).groupBy("day").agg(F.avg("cloud").alias("cloud"))
+    order = F.struct(F.coalesce("cloud", F.lit(100.0)), F.abs(F.datediff(at(9, 20), "day")), "day")
+    best = d.groupBy(F.year("day").cast("long").alias("year")).agg(F.min_by(F.struct("day", "cloud"), order).alias("x"))
+    return best.select("year", "x.day", F.round("x.cloud", 6).alias("cloud"))
 
 
 @query(f"with {SCENES}, d as (select day, min(cloud) as cloud from sc where day >= date '1998-01-01' group by 1), t as (select min(case when cloud <= 1 then 0 when cloud <= 5 then 1 when cloud <= 10 then 2 when cloud is not null then 3 end) as best from d) select day, cloud from d, t where cloud is null or case when cloud <= 1 then 0 when cloud <= 5 then 1 when cloud <= 10 then 2 else 3 end <= best")
@@ -231,11 +235,13 @@ def formatted_totals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").groupBy("c_mktsegment").agg(F.format_number(F.sum("c_custkey"), 0).alias("total"))
 
 
-@query("select string_agg(distinct band, ',' order by band) as bands from (select unnest(['nir', 'red', 'green', 'nir', 'green', 'swir1', 'swir1', 'nir']) as band)")
+@query(f"with {PIXELS}, k as (select scene::bigint as scene, count(red) as red, count(nir) as nir, count(swir1) as swir1, count(green) as green from px group by 1), n as (select scene, unnest(case when red > 0 and nir > 0 then ['nir', 'red'] else [] end || case when green > 0 and nir > 0 then ['green', 'nir'] else [] end || case when green > 0 and swir1 > 0 then ['green', 'swir1'] else [] end || case when swir1 > 0 and nir > 0 then ['swir1', 'nir'] else [] end) as band from k) select scene, string_agg(distinct band, ',' order by band) as bands from n group by 1")
 def needed_bands(spark: SparkSession, folder: str) -> DataFrame:
-    """The bands that several indices need, each once."""
-    bands = F.array(*[F.array(*[F.lit(b) for b in R.INDICES[n]]) for n in ("NDVI", "NDWI", "MNDWI", "NDBI")])
-    return spark.range(1).select(F.array_join(F.array_sort(F.array_distinct(F.flatten(bands))), ",").alias("bands"))
+    """The bands that the indices a scene can give need, each once."""
+    names = ("NDVI", "NDWI", "MNDWI", "NDBI")
+    have = pixels(spark, folder).groupBy(F.col("scene").cast("long").alias("scene")).agg(*[F.count(b).alias(b) for b in ("red", "nir", "swir1", "green")])
+    usable = [F.when(F.least(*[F.col(b) for b in R.INDICES[n]]) > 0, F.array(*[F.lit(b) for b in R.INDICES[n]])).otherwise(F.array().cast("array<string>")) for n in names]
+    return have.select("scene", F.array_distinct(F.concat(*usable)).alias("b")).filter("size(b) > 0").select("scene", F.array_join(F.array_sort("b"), ",").alias("bands"))
 
 
 @query("select s_suppkey, case s_suppkey % 3 when 0 then 'PARK' when 1 then 'SPORT' else 'WOOD' end as uses, 2000 + s_suppkey % 20 as year, s_name as name from supplier")

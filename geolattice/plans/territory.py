@@ -67,10 +67,12 @@ def as_of(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("scene_id", "tile", "day").join(days, ["tile", "day"]).select("scene_id", "tile", "day", "cloud")
 
 
-@query("select strftime(m, '%Y-%m') as month, last_day(m)::date as last from (select unnest(generate_series(timestamp '1995-11-01', timestamp '1998-02-01', interval 1 month)) as m)")
+@query("select n_nationkey::bigint as unit, strftime(m, '%Y-%m') as month, last_day(m)::date as last from (select n_nationkey, unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as m from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1)")
 def month_list(spark: SparkSession, folder: str) -> DataFrame:
-    months = spark.range(1).select(F.explode(D.months_between_inclusive(F.lit("1995-11-15").cast("date"), F.lit("1998-02-03").cast("date"))).alias("m"))
-    return months.select(F.date_format("m", "yyyy-MM").alias("month"), F.last_day("m").alias("last"))
+    """Each unit's months from its first to its last date, with none left out."""
+    own = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("unit")).agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    months = own.select("unit", F.explode(D.months_between_inclusive(F.col("a"), F.col("b"))).alias("m"))
+    return months.select("unit", F.date_format("m", "yyyy-MM").alias("month"), F.last_day("m").alias("last"))
 
 
 @query("""with g as (select n_nationkey, count(*) as n, sum(c_acctbal) as bal, min(c_acctbal) as low from customer join nation on c_nationkey = n_nationkey group by 1),

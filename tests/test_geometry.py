@@ -10,6 +10,7 @@ from geolattice.operators import network as N
 from geolattice.operators import overlay as O
 from geolattice.operators import quadtree as Q
 from geolattice.operators import rings as L
+from geolattice.operators import shapes as H
 from geolattice.operators import spans as S
 from geolattice.operators.zones import outlines
 from geolattice.session import saved
@@ -329,3 +330,52 @@ def test_distances_with_a_limit_and_without_sources(spark):
     assert {r.node: r.d for r in N.distances(edges, source, saved).collect()} == {i: float(i) for i in range(41)}
     assert {r.node for r in N.distances(edges, source, saved, 9.0).collect()} == set(range(10))
     assert N.distances(edges, source.limit(0), saved).count() == 0
+
+
+# shapes and closing
+
+
+def test_shape_features(spark):
+    rng = random.Random(12)
+    polygons = {k: [star(rng, 0, 0, 10)] for k in range(60)} | {100: [[(0, 0), (5, 0), (5, 0), (2, 0)]], 101: [[(1, 1)]], 102: [[(0, 0), (30, 0), (30, 2), (0, 2)]]}
+    rows = [(k, i, [(float(x), float(y)) for x, y in r]) for k, rs in polygons.items() for i, r in enumerate(rs)]
+    got = {r.poly: r for r in H.shape_features(spark.createDataFrame([*rows, (200, 0, []), (201, 0, None)], RINGS)).collect()}
+    assert set(got) == set(polygons)
+    for k, (ring,) in polygons.items():
+        best = (math.inf, 0, 0)
+        for a in ring:
+            for b in ring:
+                n = math.dist(a, b)
+                if n:
+                    u, v = ((b[0] - a[0]) / n, (b[1] - a[1]) / n), (-(b[1] - a[1]) / n, (b[0] - a[0]) / n)
+                    x, y = ([p[0] * w[0] + p[1] * w[1] for p in ring] for w in (u, v))
+                    w, h = max(x) - min(x), max(y) - min(y)
+                    best = min(best, (round(w * h, 6), min(w, h), max(w, h))) if min(p[0] * v[0] + p[1] * v[1] for p in ring) > a[0] * v[0] + a[1] * v[1] - 1e-9 else best
+        if k < 100:
+            assert (got[k].width * got[k].length, got[k].elongation) == pytest.approx((best[0], best[2] / max(best[1], 1)), rel=1e-6)
+    assert (got[100].width, got[100].length, got[101].length, got[101].compactness) == (0, 5, 0, 0)
+    assert (got[102].width, got[102].length, got[102].elongation, got[102].area, got[102].outline) == (2, 30, 15, 60, 64)
+
+
+@pytest.mark.parametrize("reach", [1, 3])
+def test_closing_of_runs(spark, reach):
+    rng = random.Random(13)
+    cells = {(rng.randint(0, 25), rng.randint(0, 40)) for _ in range(140)}
+    disc = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach]
+    wide = {(r + a, c + b) for r, c in cells for a, b in disc}
+    runs = S.of_cells(spark.createDataFrame(sorted(cells), "r int, c int"))
+    assert set(opened(S.grown(runs, reach))) == wide
+    shut = {p for p in wide if all((p[0] + a, p[1] + b) in wide for a, b in disc)}
+    done = S.closed(runs, reach)
+    assert set(opened(done)) == shut and cells <= shut
+    found = defaultdict(set)
+    for r in S.zoned(done, saved, bucket=4).collect():
+        found[r.zone] |= {(r.r, c) for c in range(r.c0, r.c1 + 1)}
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts(shut, False)))
+
+
+def test_fused_parts_take_the_name_of_the_largest(spark):
+    rows = [("b", 0, 0, 3), ("b", 1, 0, 3), ("a", 0, 6, 7), ("a", 0, 6, 7), ("c", 9, 0, 1), ("d", 9, 1, 2)]
+    of, zones = S.fused(spark.createDataFrame(rows, "part string, r long, c0 long, c1 long"), "part", 2, saved)
+    name = {r.zone: (r.name, r.parts) for r in zones.collect()}
+    assert {r.part: (name[r.zone], r.cells) for r in of.collect()} == {"a": (("b", 2), 2), "b": (("b", 2), 8), "c": (("c", 2), 2), "d": (("c", 2), 2)}

@@ -375,7 +375,7 @@ def test_closing_of_runs(spark, reach):
 
 
 def test_fused_parts_take_the_name_of_the_largest(spark):
-    rows = [("b", 0, 0, 3), ("b", 1, 0, 3), ("a", 0, 6, 7), ("a", 0, 6, 7), ("c", 9, 0, 1), ("d", 9, 1, 2)]
+    rows = [*[("b", r, 0, 3) for r in range(9)], *[("a", r, 6, 7) for r in range(9)], ("a", 0, 6, 7), ("c", 19, 0, 1), ("d", 19, 1, 2)]
     of, zones = S.fused(spark.createDataFrame(rows, "part string, r long, c0 long, c1 long"), "part", 2, saved)
     name = {r.zone: (r.name, r.parts) for r in zones.collect()}
-    assert {r.part: (name[r.zone], r.cells) for r in of.collect()} == {"a": (("b", 2), 2), "b": (("b", 2), 8), "c": (("c", 2), 2), "d": (("c", 2), 2)}
+    assert {r.part: (name[r.zone], r.cells) for r in of.collect()} == {"a": (("b", 2), 18), "b": (("b", 2), 36), "c": (("c", 2), 2), "d": (("c", 2), 2)}

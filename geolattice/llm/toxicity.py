@@ -36,6 +36,8 @@ COUNTS = "cls int, parent long, child long, n long"
 BITMAP_TEXTS = 4_000_000
 #: Rows of a table of parents up to which it is broadcast.
 FEW = 200_000
+#: Numbers of edges likewise, which are one long each; the labelled sample bounds them.
+EDGES = 2_000_000
 #: Stands for the parts of a text that rows of several parts have: no model leaves all of these out.
 SEVERAL = 5
 
@@ -202,10 +204,11 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     known = staged(evident.select("parent").distinct(), "evident-parents")
     own = _few(staged(parents.join(_few(known), "parent", "left_semi"), "parents-of-evident"))
     # of the corpus, evident children are counted one by one and the others of their parents together, before anything is exchanged
-    named = staged(evident.filter(~pair).select("parent", F.col("child").alias("evident_child")), "evident-children")
-    corpus = _texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).join(_few(known), "parent", "left_semi").withColumn("evident_child", F.col("child"))
-    found = corpus.select("parent", "evident_child", "n").join(_few(named.withColumn("is_evident", F.lit(True))), ["parent", "evident_child"], "left")
-    shared = staged(found.groupBy("parent", F.when(F.col("is_evident"), F.col("evident_child")).alias("child")).agg(F.sum("n").alias("n")), "shared-counts")
+    edge = F.xxhash64("parent", "child")
+    named = staged(evident.filter(~pair).select(edge.alias("edge"), F.lit(True).alias("is_evident")).dropDuplicates(["edge"]), "evident-edges")
+    corpus = _texts(docs).select("text", F.lit(0).alias("cls")).mapInArrow(_count, COUNTS).join(_few(known), "parent", "left_semi").withColumn("edge", edge)
+    found = corpus.join(_few(named, EDGES), "edge", "left")
+    shared = staged(found.groupBy("parent", F.when(F.col("is_evident"), F.col("child")).alias("child")).agg(F.sum("n").alias("n")), "shared-counts")
     totals = _few(staged(shared.groupBy("parent").agg(F.sum("n").alias("below")), "below-parents"))
     counts = [F.col(f"{x}{y}_{k}").cast("int").alias(f"{x}{y}_{k}") for x in ("n", "all", "left") for y, k in n]
     rows = evident.filter(~pair).join(shared, ["parent", "child"]).join(totals, "parent").join(own, "parent").select("parent", "child", (F.col("n") / F.col("below")).alias("base"), *counts).toArrow()
@@ -236,10 +239,10 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     return models
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """A written table of parents that labelled documents give evidence for, broadcast where it has FEW rows at most: the root and the common
-    prefixes, which have many children, then need no exchange of these."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def _few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of parents or edges that labelled documents give evidence for, broadcast where it has ``most`` rows at most: the root and
+    the common prefixes, which have many children, then need no exchange of these."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from geolattice.operators import overlay as O
 from geolattice.operators import shapes as H
 from geolattice.plans.registry import query
 from geolattice.session import saved, table
+from geolattice.sources.layers import relation_rings
 
 #: Parcels have five corners that overlap their neighbours', every third a hole; sectors tile a part of the plane.
 _PARCEL = ["x + k % 5, y + k * 3 % 4", "x + 10 + k % 4, y + k * 7 % 5", "x + 6 + k % 3, y + 5 + k % 2", "x + 11 + k * 5 % 3, y + 10 + k * 11 % 4", "x + k * 13 % 4, y + 9 + k % 6"]
@@ -169,3 +170,18 @@ def shape_features(spark: SparkSession, folder: str) -> DataFrame:
     """Width, length, elongation and compactness of each parcel, by the least rectangle around it."""
     done = H.shape_features(parcels(spark, folder))
     return done.select("poly", *[F.round(c, 5 if c == "elongation" else 6).alias(c) for c in done.columns if c != "poly"])
+
+
+@query(f"with {PLANE} select poly, 1 + (poly % 3 = 0)::int::bigint as rings, round(sum(x0 * y1 - x1 * y0) / 2, 6) as area from pe group by 1")
+def assembled_rings(spark: SparkSession, folder: str) -> DataFrame:
+    """Parcels as a map service gives them, each ring in two open ways that run alike or against each other, put together again."""
+    xy = lambda p: F.transform(p, lambda q: F.struct(q["y"].alias("lat"), q["x"].alias("lon")))
+    closed = F.concat("points", F.slice("points", 1, 1))
+    half = F.floor(F.size("points") / 2).cast("int") + 1
+    second = F.slice(closed, half, F.size(closed) - half + 1)
+    member = lambda p: F.struct(F.lit("way").alias("type"), F.when(F.col("ring") > 0, "inner").otherwise("outer").alias("role"), xy(p).alias("geometry"))
+    ways = F.array(member(F.slice(closed, 1, half)), member(F.when(F.col("poly") % 2 == 0, F.reverse(second)).otherwise(second)))
+    relations = parcels(spark, folder).groupBy("poly").agg(F.flatten(F.collect_list(ways)).alias("members")).select(F.to_json(F.struct(F.array(F.struct(F.lit("relation").alias("type"), F.col("poly").alias("id"), "members")).alias("elements"))).alias("value"))
+    found = relation_rings(relations, saved)
+    area = F.expr("aggregate(sequence(0, size(points) - 1), 0D, (s, i) -> s + points[i].x * points[(i + 1) % size(points)].y - points[(i + 1) % size(points)].x * points[i].y) / 2")
+    return found.groupBy(F.substring_index("poly", "/", -1).cast("long").alias("poly")).agg(F.count("*").alias("rings"), F.round(F.sum(F.when(F.col("hole"), -area).otherwise(area)), 6).alias("area"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geolattice.operators.rings import ranked
+
 _POINTS = "array<struct<lat: double, lon: double>>"
 _FEATURES = f"elements array<struct<type: string, id: bigint, tags: map<string, string>, lat: double, lon: double, geometry: {_POINTS}, members: array<struct<role: string, geometry: {_POINTS}>>>>"
 
@@ -53,3 +57,48 @@ def pivoted(spark: SparkSession, path: str, rows: str, columns: str, value: str,
     """A long CSV as a matrix of ``rows`` by the ``names`` in ``columns``, sums of ``value``, 0 where there is none."""
     long_ = spark.read.csv(path, header=True, inferSchema=False)
     return long_.groupBy(rows).pivot(columns, names).agg(F.sum(F.col(value).try_cast("double"))).fillna(0.0)
+
+
+_MEMBERS = f"elements array<struct<type: string, id: bigint, tags: map<string, string>, members: array<struct<type: string, role: string, geometry: {_POINTS}>>>>"
+
+
+def relation_rings(files: DataFrame, save: Callable[[DataFrame, str], DataFrame], json: str = "value") -> DataFrame:
+    """(poly, tags, hole, ring, points) of the relations of a map service's JSON, whose rings may be made of several open ways in any direction.
+
+    Ways of one role (inner, or any other: outer) join where their ends are one point. Each way is two half-edges; at a point, the one
+    that arrives goes on with the first to its right, so that half-edges run around faces, and pointer jumping puts each face in order.
+    Faces that run counter-clockwise are rings. Where more than two ways meet, their faces are rings of their own, which the even-odd
+    rule joins. Ways that end nowhere, and what only leads to such, are left out; so are ways of fewer than two points, and members
+    that aren't ways or have no geometry.
+    """
+    e = files.select(F.explode(F.from_json(json, _MEMBERS)["elements"]).alias("e")).select("e.*").filter("type = 'relation'")
+    poly = F.concat_ws("/", "type", F.col("id").cast("string"))
+    m = e.select(poly.alias("poly"), "tags", F.explode("members").alias("m")).filter("m.type = 'way' and size(m.geometry) >= 2")
+    hole = F.coalesce(F.col("m.role") == "inner", F.lit(False))
+    points = F.transform("m.geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    ways = save(m.select("poly", "tags", hole.alias("hole"), points.alias("points")).withColumn("way", F.monotonically_increasing_id()), "ways")
+    group = ["poly", "hole"]
+    ends = ways.select(*group, "way", F.explode(F.array(F.struct(F.element_at("points", 1).alias("at"), F.lit(0).alias("end")), F.struct(F.element_at("points", -1).alias("at"), F.lit(1).alias("end")))).alias("e")).select(*group, "way", "e.*")
+    ends = save(ends, "ends")
+    while True:  # a point that one end alone has leads nowhere
+        loose = ends.groupBy(*group, "at").agg(F.count("*").alias("n"), F.min("way").alias("way")).filter("n = 1").select("way").distinct()
+        left = save(ends.join(loose, "way", "left_anti"), "ends")
+        if left.count() == ends.count():
+            break
+        ends = left
+    kept = ways.join(left.select("way").distinct(), "way", "left_semi")
+    forth = kept.withColumn("side", F.col("way") * 2)
+    halves = save(forth.unionByName(forth.withColumns({"side": F.col("way") * 2 + 1, "points": F.reverse("points")})), "half-edges")
+    start, second = F.element_at("points", 1), F.element_at("points", 2)
+    out = halves.select(*group, "side", start.alias("at"), F.atan2(second["y"] - start["y"], second["x"] - start["x"]).alias("angle"))
+    around = Window.partitionBy(*group, "at").orderBy("angle", "side")
+    every = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the half-edge to the right of its twin, which leaves where it arrives
+    next_ = out.select((F.expr("side ^ 1L")).alias("side"), F.coalesce(F.lag("side").over(around), F.last("side").over(every)).alias("next"))
+    faces = save(halves.join(ranked(save(next_, "next"), save), "side"), "faces")
+    twice = F.expr("aggregate(sequence(1, size(points) - 1), 0D, (s, i) -> s + points[i - 1].x * points[i].y - points[i].x * points[i - 1].y)")
+    inner = faces.groupBy("ring").agg(F.sum(twice).alias("twice")).filter("twice > 0").select("ring")
+    parts = faces.join(inner, "ring", "left_semi").select("poly", "hole", "ring", F.struct("pos", F.expr("slice(points, 1, size(points) - 1)").alias("p")).alias("part"))
+    whole = parts.groupBy("poly", "hole", "ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["p"])).alias("points"))  # one ring's ways
+    tags = ways.groupBy("poly").agg(F.first("tags").alias("tags"))
+    return whole.join(tags, "poly").select("poly", "tags", "hole", "ring", "points")

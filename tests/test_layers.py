@@ -3,6 +3,7 @@
 import json
 
 from geolattice.operators import polygons
+from geolattice.session import saved
 from geolattice.sources import layers
 from pyspark.sql import functions as F
 
@@ -42,3 +43,25 @@ def test_census_and_pivot(spark, tmp_path):
     (tmp_path / "p.csv").write_text("sector,year,n\na,2001,3\na,2001,4\nb,2002,x\n")
     got = layers.pivoted(spark, str(tmp_path / "p.csv"), "sector", "year", "n", ["2001", "2002"])
     assert sorted(map(tuple, got.collect())) == [("a", 7.0, 0.0), ("b", 0.0, 0.0)]
+
+
+def test_rings_of_open_ways(spark):
+    way = lambda role, *xy: {"type": "way", "role": role, "geometry": [{"lat": float(y), "lon": float(x)} for x, y in xy]}
+    elements = [
+        # three outer ways in mixed directions, an inner ring of two, one that is closed, and a way that ends nowhere
+        {"type": "relation", "id": 1, "tags": {"leisure": "park"}, "members": [
+            way("outer", (0, 0), (10, 0), (10, 10)), way("outer", (0, 10), (5, 12), (10, 10)), way("", (0, 10), (0, 0)), way("outer", (10, 10), (20, 20), (30, 20)), way("outer", (30, 20), (31, 21)),
+            way("inner", (2, 2), (4, 2), (4, 4)), way("inner", (2, 2), (2, 4), (4, 4)), way("inner", (6, 6), (6, 7), (7, 7), (7, 6), (6, 6)), {"type": "node", "role": "label"}, way("outer", (50, 50)),
+        ]},
+        # two rings that touch at a point, and two that share a side
+        {"type": "relation", "id": 2, "members": [way("outer", (0, 0), (1, 0), (1, 1)), way("outer", (1, 1), (0, 1), (0, 0)), way("outer", (1, 1), (2, 1), (2, 2)), way("outer", (2, 2), (1, 2), (1, 1))]},
+        {"type": "relation", "id": 3, "members": [way("outer", (0, 0), (0, 3)), way("outer", (0, 3), (-3, 3), (-3, 0), (0, 0)), way("outer", (0, 0), (3, 0), (3, 3), (0, 3))]},
+        {"type": "relation", "id": 4, "members": [way("outer", (0, 0), (5, 5)), way("outer", (5, 5), (9, 0))]}, {"type": "relation", "id": 5}, {"type": "way", "id": 6},
+    ]
+    found = layers.relation_rings(spark.createDataFrame([(json.dumps({"elements": elements}),), ("{}",), (None,)], "value string"), saved).collect()
+    area = lambda p: sum(a.x * b.y - b.x * a.y for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2
+    got = sorted((r.poly, r.hole, area(r.points), len(r.points)) for r in found)
+    assert got == [
+        ("relation/1", False, 110.0, 5), ("relation/1", True, 1.0, 4), ("relation/1", True, 4.0, 4), ("relation/2", False, 1.0, 4), ("relation/2", False, 1.0, 4), ("relation/3", False, 9.0, 4), ("relation/3", False, 9.0, 4),
+    ]
+    assert {r.poly: r.tags for r in found}["relation/1"] == {"leisure": "park"}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,18 +78,6 @@ def nearest(points: DataFrame, places: DataFrame, cell: float, reach: int = 1) -
     return met.withColumn("d", d).filter(F.col("d") <= cell * reach).groupBy("id").agg(F.min_by(F.struct("place", "d"), F.struct("d", "place")).alias("n")).select("id", "n.*")
 
 
-def nearest_any(points: DataFrame, places: DataFrame, cell: float, save: Callable[[DataFrame, str], DataFrame], max_rounds: int = 40) -> DataFrame:
-    """As ``nearest``, however far: each round doubles the radius for the points that have no place yet, which are ever fewer."""
-    left, found = points.select("id", "x", "y"), []
-    for k in range(max_rounds):
-        near = save(nearest(left, places, cell * 2**k), f"nearest-{k}")
-        found.append(near)
-        left = save(left.join(near.select("id"), "id", "left_anti"), f"unmatched-{k}")
-        if left.isEmpty() or places.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
-
-
 def running_total(flows: DataFrame, keys: list[str], at: str, n: str) -> DataFrame:
     """Adds total: the sum up to each period."""
     return flows.withColumn("total", F.sum(n).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))

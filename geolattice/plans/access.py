@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from geolattice.operators import network as N
 from geolattice.operators import pixels as P
-from geolattice.operators import polygons as G
 from geolattice.operators import quadtree as Q
 from geolattice.operators import spans as M
 from geolattice.operators import territory as T
 from geolattice.operators import units as U
 from geolattice.operators.zones import clean_mask, label, outlines
-from geolattice.plans.fixtures import INSIDE, PIXELS, SCENES, pixels, polygon_rings, scenes, side
+from geolattice.plans.fixtures import PIXELS, SCENES, pixels, scenes, side
 from geolattice.plans.iterative import STREETS, network_distance, street_grid, street_side
 from geolattice.plans.raster import _zones_sql
 from geolattice.plans.registry import query

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.llm import text as T
-from geolattice.llm.session import bounded_batches
+from geolattice.llm.session import bounded_batches, staged
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -36,9 +36,9 @@ STUTTER = 0.5
 MENU_LINES, MENU_WORDS = 3, 4
 #: ... or is boilerplate: at most so many words, with so many different lines before it and behind it (where it has any), none of which makes up more than a share.
 LINE_WORDS, SURROUNDINGS, TOP_SHARE = 25, 20, 0.2
-#: Lines that can be boilerplate, at most: beyond this the surroundings asked for rise with the number of lines, so that the list stays short.
-MAX_BOILERPLATE = 500_000
-#: What closes a sentence, as the last bytes of a line.
+#: Up to so many boilerplate lines are broadcast (eight bytes each); a longer list stays a table and is joined.
+BROADCAST_LINES = 500_000
+#: What closes a sentence, as the last bytes of a line, whole characters.
 STOPS = (b".", b"!", b"?", b":", b";", b"\"", b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xc2\xbb", b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f")
 #: A document goes if the lines removed hold more than this share of its words, ...
 MAX_LOST = 0.3
@@ -49,8 +49,6 @@ _PHRASES = regex.compile("|".join(BOILERPLATE).encode())
 _SYMBOL, _SEPARATOR = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (SYMBOLS, b"|>"))
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 
-_ENDS = np.isin(np.arange(256), np.frombuffer(bytes(x[-1] for x in STOPS), np.uint8))
-
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_bad_lines long, n_lost_words long, base_failed boolean, kept boolean"
 
 
@@ -84,14 +82,17 @@ class _Lines:
         self.of_word = np.searchsorted(self.begin, w.start, "right") - 1
         self.words = np.bincount(self.of_word, minlength=len(self.begin))
         self.hash = T.span_hashes(data, self.begin, self.body)
-        # the last byte of the last word
-        self.end = np.zeros(len(self.begin), np.uint8)
-        self.end[self.of_word] = data[w.end - 1]
+        # whether the last word ends in a stop; a character of several bytes counts whole
+        last = np.zeros(len(self.begin), np.int64)
+        last[self.of_word] = w.end
+        self.closed = np.zeros(len(self.begin), bool)
+        for stop in STOPS:
+            self.closed |= np.logical_and.reduce([(last > k) & (data[np.maximum(last - 1 - k, 0)] == b) for k, b in enumerate(reversed(stop))])
 
     def menus(self) -> np.ndarray:
         """Lines in runs of MENU_LINES or more, blank ones between them aside, that are short and close with no stop."""
         some = np.flatnonzero(self.words > 0)
-        short = (self.words[some] <= MENU_WORDS) & ~_ENDS[self.end[some]]
+        short = (self.words[some] <= MENU_WORDS) & ~self.closed[some]
         edge = np.concatenate([[True], (self.doc[some][1:] != self.doc[some][:-1]) | (short[1:] != short[:-1])]) if len(some) else np.zeros(0, bool)
         run = np.cumsum(edge) - 1
         out = np.zeros(len(self.words), bool)
@@ -123,9 +124,11 @@ def _surroundings(text: str):
     return run
 
 
-def boilerplate(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Hashes of the lines of ``docs`` that are boilerplate, in order: MAX_BOILERPLATE at most, since each needs so many of all the
-    neighbours counted."""
+def boilerplate(docs: DataFrame, text: str = "text") -> np.ndarray | DataFrame:
+    """Hashes of the lines of ``docs`` that are boilerplate: in order where they are BROADCAST_LINES or fewer, else as a table (line).
+
+    What a line must show is the same at every size of the corpus, so the list may grow with it.
+    """
     pairs = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(_surroundings(text), "line long, side int, other long, n long")
     of = lambda k, f: f(F.when(F.col("side") == k, F.col("n")))
     sums = [x for k in (0, 1) for x in (of(k, F.count).alias(f"others{k}"), F.coalesce(of(k, F.sum), F.lit(0)).alias(f"all{k}"), of(k, F.max).alias(f"top{k}"))]
@@ -133,10 +136,34 @@ def boilerplate(docs: DataFrame, text: str = "text") -> np.ndarray:
     # a side that few occurrences have, such as what follows a last line, says nothing
     varied = lambda k: (F.col(f"others{k}") >= SURROUNDINGS) & (F.col(f"top{k}") <= TOP_SHARE * F.col(f"all{k}"))
     rare = lambda k: 2 * F.col(f"all{k}") < F.col(f"all{1 - k}")
-    diverse = lines.filter((varied(0) | rare(0)) & (varied(1) | rare(1))).select("line", F.greatest("others0", "others1").alias("others"))
-    least = max(SURROUNDINGS, -(-(diverse.agg(F.sum("others")).first()[0] or 0) // MAX_BOILERPLATE))
-    found = diverse.filter(F.col("others") >= least).select("line").distinct().toArrow()["line"].to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = staged(lines.filter((varied(0) | rare(0)) & (varied(1) | rare(1))).select("line"), "boilerplate")
+    if found.count() > BROADCAST_LINES:
+        return found
+    return np.sort(found.toArrow()["line"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _short_lines(text: str):
+    """(text_key, line): the lines of a text that may be boilerplate, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in T.slices(batch.column(text)):
+                x = _Lines(s, T.words(s))
+                some = np.flatnonzero((x.words > 0) & (x.words <= LINE_WORDS))
+                _, first = np.unique(T.mix(x.hash[some] ^ T.mix(x.doc[some].astype(np.uint64))), return_index=True)
+                keys = batch.column("text_key").slice(s.first, s.n).take(pa.array(x.doc[some][first]))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(x.hash[some][first].view(np.int64))], names=["text_key", "line"])
+
+    return run
+
+
+def _with_known(base: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``base`` plus __lines, for each text the boilerplate lines it has; equal texts are looked up once."""
+    key = F.sha2(F.col(text).cast("string").cast("binary"), 256)
+    texts = base.select(key.alias("text_key"), F.col(text).cast("string").alias(text)).groupBy("text_key").agg(F.first(text).alias(text))
+    lines = texts.mapInArrow(_short_lines(text), "text_key string, line long").join(known, "line", "left_semi")
+    each = lines.groupBy(F.col("text_key").alias("__key")).agg(F.collect_list("line").alias("__lines"))
+    return base.join(each, key == F.col("__key"), "left").drop("__key")
 
 
 def _judge(s: T.Slice, max_lost: float, known: np.ndarray) -> tuple[dict[str, np.ndarray], list[bytes]]:
@@ -175,7 +202,7 @@ def _judge(s: T.Slice, max_lost: float, known: np.ndarray) -> tuple[dict[str, np
     lower = T.LOWER[data].tobytes()
     for m in _PHRASES.finditer(lower):
         line = np.searchsorted(begin, m.start(), "right") - 1
-        if m.end() <= stop[line]:
+        if m.end() <= stop[line] and in_line[line] <= LINE_WORDS:
             bad[line] = True
     bad &= worded
     words_of = lambda lines: np.bincount(line_doc[lines], weights=in_line[lines], minlength=s.n).astype(np.int64)
@@ -210,11 +237,13 @@ def clean_lines(docs: DataFrame, *, text: str = "text", max_lost: float = MAX_LO
     every column are judged alike. Columns of ``docs`` that bear the new names are replaced.
 
     A first pass counts, over all documents, what stands before and behind short lines, and finds those that are boilerplate (see
-    ``boilerplate``); their hashes, bounded in number, are broadcast. The second pass judges, without exchange; memory is a few
-    times a batch of bounded bytes, or the longest text.
+    ``boilerplate``). Up to BROADCAST_LINES hashes are broadcast, and the second pass judges without an exchange; of a longer list
+    each text gets its own lines by a join, with the same result. Memory is a few times a batch of bounded bytes, or the longest
+    text. An empty table has no lines and stays empty.
     """
     bounded_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(boilerplate(docs, text))
+    found = boilerplate(docs, text)
+    known = None if isinstance(found, DataFrame) else docs.sparkSession.sparkContext.broadcast(found)
     added = [x.split()[0] for x in STATS.split(", ")] + ["cleaned_text"]
     base = docs.drop(*[c for c in added if c in docs.columns and c != text])
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema]) + f", {STATS}, cleaned_text string"
@@ -222,12 +251,17 @@ def clean_lines(docs: DataFrame, *, text: str = "text", max_lost: float = MAX_LO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in T.slices(batch.column(text)):
-                stats, cleaned = _judge(s, max_lost, known.value)
                 part = batch.slice(s.first, s.n)
+                if known is None:
+                    own = np.unique(part.column("__lines").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                    part = part.drop_columns(["__lines"])
+                else:
+                    own = known.value
+                stats, cleaned = _judge(s, max_lost, own)
                 arrays = [*part.columns, *[pa.array(v.astype(np.int64) if v.dtype != bool else v) for v in stats.values()], pa.array(cleaned, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *added])
 
-    return base.mapInArrow(run, schema)
+    return (base if known is not None else _with_known(base, text, found)).mapInArrow(run, schema)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

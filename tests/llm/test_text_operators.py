@@ -107,6 +107,25 @@ def test_lines_of_the_corpus(spark):
     assert len(quality.boilerplate(docs.limit(0))) == 0
 
 
+def test_a_long_list_of_boilerplate_is_joined_with_the_same_result(spark, monkeypatch):
+    own = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(9)) + "."
+    texts = ["\n".join([own(i, 0), own(i, 1), own(i, 2), f"Notice {i % 2}", own(i, 3), own(i, 4), own(i, 5)]) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[0], "", None])], "doc_id long, text string").repartition(5)
+    one = sorted(map(str, quality.clean_lines(docs).collect()))
+    assert sum("n_bad_lines=1" in r for r in one) == 62
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert sorted(map(str, quality.clean_lines(docs).collect())) == one
+
+
+def test_stops_are_whole_characters_and_phrases_make_short_lines_bad_only(spark):
+    body = "\n".join(" ".join(f"plain{i}x{k} word" for k in range(6)) + "." for i in range(9))
+    menu = lambda end: f"Eins {end}\nZwei {end}\nDrei {end}\n" + body
+    long = " ".join(f"said{i}" for i in range(30)) + " terms of use " + " ".join(f"more{i}" for i in range(30)) + "."
+    texts = [menu(x) for x in ("weiss", "weiß", "æ", "û", "Á", "Â")] + [menu(x) for x in ("aus.", "aus…", "»", "aus。")] + [long + "\n" + body]
+    by = {r["doc_id"]: r for r in rows(quality.clean_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [by[i]["n_bad_lines"] for i in range(11)] == [3] * 6 + [0] * 5
+
+
 def normal(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -40,16 +40,26 @@ TRIGGERS = {
 }
 #: Matches of a text that are placed one behind the other.
 PLACED = 128
+#: Stands for no value where the highest is sought; code points of a piece that a text is cut into before spans are cut from it.
+LOWEST, PIECE = -(2**31 - 1), 1024
 CONTEXT, FEATURES = 28, ["n", "digits", "letters", "capitals", "seps", "groups", "plus", "paren", "kinds", "hex", "luhn", "dated", *TRIGGERS, *[f"is_{g}" for g in GENERATORS]]
 #: Rows of each recipe in the table of formats; precision that the calibrated thresholds reach on the rows kept apart.
 ROWS, TREES, DEPTH, PRECISION = 60, 16, 4, 0.995
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression inside a lambda would be computed anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / PLACED).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * PLACED + 1, F.lit(PLACED)))
+
+
 def _matches(text: Column, pattern: str, hint: str, kind: str) -> Column:
     """Matches of a pattern, leftmost and not overlapping: array of (start, kind, end, match, before), in code points."""
     k = KINDS.index(kind)
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string,before:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -62,13 +72,54 @@ def _matches(text: Column, pattern: str, hint: str, kind: str) -> Column:
         return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
 
     # a list grows by being copied, so the matches of a text with many are placed in blocks, each from its own start
-    count = F.size(found)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / PLACED).cast("int")), lambda b: F.slice(pairs, b * PLACED + 1, F.lit(PLACED)))
     length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["m"]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-    many = F.flatten(F.zip_with(blocks, starts, placed))
-    return F.when(text.rlike(hint), F.when(count <= PLACED, placed(pairs, F.lit(0))).otherwise(many)).otherwise(none)
+
+    def starts(blocks: Column) -> Column:
+        return F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def paired(found: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+
+    def every(pairs: Column) -> Column:
+        many = _with(_blocks(pairs), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), placed)))
+        return F.when(F.size(pairs) <= PLACED, placed(pairs, F.lit(0))).otherwise(many)
+
+    return F.when(text.rlike(hint), _with(_with(F.regexp_extract_all(text, F.lit(pattern), 0), paired), every)).otherwise(none)
+
+
+def _highest_before(items: Column, value) -> Column:
+    """For each item the highest value of those in front of it, LOWEST for the first; in blocks, as above."""
+    ints = F.array().cast("array<int>")
+
+    def scan(block: Column, top: Column) -> Column:
+        first = F.struct(top.alias("top"), ints.alias("out"))
+        return F.aggregate(block, first, lambda acc, x: F.struct(F.greatest(acc["top"], value(x)).alias("top"), F.concat(acc["out"], F.array(acc["top"])).alias("out")))["out"]
+
+    def tops(blocks: Column) -> Column:
+        highest = lambda block: F.aggregate(block, F.lit(LOWEST), lambda top, x: F.greatest(top, value(x)))
+        first = F.struct(F.lit(LOWEST).alias("top"), ints.alias("out"))
+        return F.aggregate(blocks, first, lambda acc, b: F.struct(F.greatest(acc["top"], highest(b)).alias("top"), F.concat(acc["out"], F.array(acc["top"])).alias("out")))["out"]
+
+    return _with(_blocks(items), lambda blocks: F.flatten(F.zip_with(blocks, tops(blocks), scan)))
+
+
+def _free(base: Column, proposed: Column) -> Column:
+    """The proposals that overlap no base span. Few are compared one by one; many are put in one order with the base spans, where a
+    proposal overlaps one if some base span in front of it ends behind its start, or some behind it starts in front of its end."""
+    is_base = lambda x: x["kind"] < len(PATTERNS)
+    one_by_one = F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    wide = F.transform(base, lambda b: F.struct(b["start"], b["kind"], b["end"], F.lit("").alias("match"), F.lit("").alias("before")))
+
+    def merged(all_: Column) -> Column:
+        end_before = _highest_before(all_, lambda x: F.when(is_base(x), x["end"]).otherwise(F.lit(LOWEST)))
+        start_behind = F.reverse(_highest_before(F.reverse(all_), lambda x: F.when(is_base(x), -x["start"]).otherwise(F.lit(LOWEST))))
+        around = F.zip_with(end_before, start_behind, lambda e, s: F.struct(e.alias("e"), (-s).alias("s")))
+        both = F.zip_with(all_, around, lambda x, a: F.struct(x.alias("x"), a.alias("a")))
+        return F.transform(F.filter(both, lambda y: ~is_base(y["x"]) & (y["a"]["e"] <= y["x"]["start"]) & (y["a"]["s"] >= y["x"]["end"])), lambda y: y["x"])
+
+    few = F.size(base) * F.size(proposed).cast("long") <= PLACED * PLACED
+    return F.when(few, one_by_one).otherwise(_with(F.array_sort(F.concat(wide, proposed)), merged))
 
 
 def _luhn(digits: Column) -> Column:
@@ -185,7 +236,8 @@ def find_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
     base_spans are the matches of PATTERNS that pass their checks; each kind is matched on its own, leftmost first, and a match that
     fails is dropped. all_spans has besides, in KINDS order after these, what the boosted trees select from the generators'
     proposals and that overlaps no base span. Spans are structs (start, kind, end) with code points, end exclusive, kind by name,
-    in order of start, then kind. Null and empty texts have none. Columns of ``docs`` that bear the new names are replaced.
+    in order of start, then kind. Null and empty texts have none, rows alike fare alike, and an empty table stays empty. Columns of
+    ``docs`` that bear the new names are replaced. Time is in proportion to a text's length and, but for sorting, its matches.
     """
     fitted = booster(docs.sparkSession)
     added = ["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_spans", "all_spans"]
@@ -196,7 +248,7 @@ def find_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
     proposed = [_matches(whole, p, HINTS[k], k) for k, p in GENERATORS.items()]
     plain = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     out = out.withColumns({"__base": F.array_sort(F.transform(F.concat(*base), plain)), "__new": F.concat(*proposed)})
-    free = F.filter("__new", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = _with(F.col("__base"), lambda b: _with(F.col("__new"), lambda c: _free(b, c)))
     out = out.withColumn("__new", F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), _features(c["match"], c["before"], c["kind"]).alias("f"))))
     least = F.create_map(*[x for k, t in fitted.thresholds.items() for x in (F.lit(KINDS.index(k)), F.lit(t))])
     chosen = F.filter("__new", lambda c: fitted.probability(lambda i: c["f"][FEATURES[i]]) >= F.element_at(least, c["kind"]))
@@ -215,15 +267,26 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents in their own columns, each span of personal data replaced by its kind in angle brackets; overlapping spans are one, of the first one's kind."""
+    """The documents in their own columns, each span of personal data replaced by its kind in angle brackets; overlapping spans are one, of the first one's kind.
+
+    Null and empty texts stay as they are, rows alike fare alike, and an empty table stays empty. A text is cut into pieces once, and
+    what stands between spans is taken from these.
+    """
     found = find_personal_data(docs.withColumn("__text", F.col(text)), text="__text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = F.concat(acc["parts"], F.array(F.substring(F.col("__text"), acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], cut).otherwise(acc["parts"]).alias("parts"))
+    def cut(pieces: Column, a: Column, z: Column) -> Column:
+        """Code points from a to z, z exclusive."""
+        first = F.floor(a / PIECE).cast("int")
+        count = F.floor((z - 1) / PIECE).cast("int") - first + 1
+        return F.when(z > a, F.substring(F.array_join(F.slice(pieces, first + 1, F.greatest(count, F.lit(1))), ""), a - first * PIECE + 1, z - a)).otherwise("")
+
+    def replaced(pieces: Column, spans: Column, ends: Column) -> Column:
+        each = F.zip_with(spans, ends, lambda x, e: F.when(x["start"] >= e, F.concat(cut(pieces, F.greatest(e, F.lit(0)), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(each, ""), cut(pieces, last, F.length("__text")))
 
-    done = F.aggregate("all_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
+    pieces = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    done = _with(pieces, lambda p: _with(F.col("all_spans"), lambda spans: _with(_highest_before(spans, lambda x: x["end"]), lambda ends: replaced(p, spans, ends))))
     clean = F.when(F.size("all_spans") > 0, done).otherwise(F.col("__text"))
     out = found.withColumn("__clean", clean)
     values = {text: F.col("__clean"), "n_chars": F.when(F.size("all_spans") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import cases
@@ -90,6 +91,37 @@ def test_texts_with_many_matches(spark):
     assert (r.n_ip, r.n_email) == (400, 400) and r.b == ",".join(base(t))
 
 
+def redacted_plainly(t, spans):
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [t[at : s.start], f"<{s.kind.upper()}>"]
+        at = max(at, s.end)
+    return "".join(out) + t[at:]
+
+
+def test_proposals_and_redaction_of_many_matches_equal_the_plain_way(spark):
+    # few and many of both kinds, so that proposals are compared one by one and in one order with the base spans
+    one = "é call (212) 555-0199 or +1 (212) 555-0199, a@b.org 10.0.0.1 / 4111 1111 1111 1111 (555) 867-5309, b [at] c [dot] com 😀 "
+    df = spark.createDataFrame([(n, one * n + "x" * n) for n in (0, 1, 3, 40, 300)], "doc_id int, text string")
+    found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    for n, r in found.items():
+        extra = [s for s in r.all_spans if s not in r.base_spans]
+        assert len(extra) == n * len([s for s in found[1].all_spans if s not in found[1].base_spans]) and len(r.base_spans) == n * len(found[1].base_spans)
+        assert not any(b.start < c.end and c.start < b.end for b in r.base_spans for c in extra)
+        assert clean[n] == redacted_plainly(r.text, r.all_spans)
+    assert len(found[1].all_spans) > len(found[1].base_spans) > 3
+
+
+def test_a_text_of_a_hundred_thousand_matches(spark):
+    t = "a@b.org (212) 555-0199 x " * 50_000
+    began = time.time()
+    r = pii.redacted(spark.createDataFrame([(1, t)], "doc_id int, text string")).first()
+    assert r.text == "<EMAIL> <NUMBER> x " * 50_000 or r.text == "<EMAIL> (212) 555-0199 x " * 50_000
+    assert time.time() - began < 60
+
+
 def test_pieces_match_the_library(docs):
     from sentencepiece import SentencePieceProcessor
 

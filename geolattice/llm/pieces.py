@@ -30,6 +30,8 @@ SLICE_BYTES = 1 << 18
 LONG = 400
 _NONE = np.iinfo(np.int64).max
 _PLACE = 20
+#: Slots for pairs, as a power of two.
+SLOT_BITS = 20
 
 
 class Pieces:
@@ -58,6 +60,12 @@ class Pieces:
         pairs = sorted({(names[a] * size + names[b], i) for name, i in names.items() for k in range(1, len(name)) if (a := name[:k]) in names and (b := name[k:]) in names})
         self.pair, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.merge_of = dict(pairs)
+        # pairs by a hash with room to spare; slots that several pairs fall in send the search to the sorted pairs
+        slot, where = np.unique(self._slot(self.pair), return_index=True)
+        self.slot_pair, self.slot_merged = np.full(1 << SLOT_BITS, -1), np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slot_pair[slot], self.slot_merged[slot] = self.pair[where], self.merged[where]
+        self.crowded = np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[np.flatnonzero(np.bincount(self._slot(self.pair), minlength=1 << SLOT_BITS) > 1)] = True
         self.longest = max(map(len, names))
         spelled = [b""] * size
         for name, i in names.items():
@@ -71,8 +79,17 @@ class Pieces:
     def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair merges to, or -1."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        slot = self._slot(key)
+        same = self.slot_pair[slot] == key
+        out = np.where(same & (left >= 0) & (right >= 0), self.slot_merged[slot], -1).astype(np.int64)
+        rest = np.flatnonzero(self.crowded[slot] & ~same)
+        if len(rest):
+            at = np.minimum(np.searchsorted(self.pair, key[rest]), len(self.pair) - 1)
+            out[rest] = np.where((self.pair[at] == key[rest]) & (left[rest] >= 0) & (right[rest] >= 0), self.merged[at], -1)
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def skipped(key: np.ndarray, place: np.ndarray, merged: np.ndarray, dropout: float) -> np.ndarray:

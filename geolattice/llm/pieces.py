@@ -2,9 +2,10 @@
 
 Words are segmented by an agenda of candidate merges, best score first and the leftmost of equals. A keyed hash skips a candidate
 with probability ``dropout``, so a seed gives one segmentation and another seed another, and any of them decodes to the text.
-Candidates are skipped for each occurrence by itself. A segmentation follows from the word and the candidates skipped, so these two
-are its key in the cache, and an agenda runs only for pairs not met yet: side by side, one merge each at a time; a long word has
-an agenda of its own.
+Candidates are skipped for each occurrence by itself. What an agenda comes to without skipping is drawn first: if an occurrence skips
+nothing of it, that is its segmentation. Else what it skips is barred, and the agenda that bars this is asked for next, and so on. So a
+segmentation follows from the word and the candidates barred, which are its key in the cache, and an agenda runs only for pairs not
+met yet: side by side, one merge each at a time; a long word has an agenda of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ _NONE = np.iinfo(np.int64).max
 _PLACE = 20
 #: Slots for pairs, as a power of two.
 SLOT_BITS = 20
+#: Bits of a piece in a merge; those above hold the character at which it starts, which is at most LONG.
+PIECE_BITS = 23
+#: Words whose agendas and segmentations a worker keeps.
+KEPT = 500_000
 
 
 class Pieces:
@@ -43,6 +49,8 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.size = size
+        assert size < 1 << PIECE_BITS, "a merge is kept in 32 bits"
+        assert 3 * size.bit_length() < 63, "a pair and what it merges to are kept in 64 bits"
         normal = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         names = {model.id_to_piece(i): i for i in normal}
         self.byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
@@ -60,13 +68,17 @@ class Pieces:
         pairs = sorted({(names[a] * size + names[b], i) for name, i in names.items() for k in range(1, len(name)) if (a := name[:k]) in names and (b := name[k:]) in names})
         self.pair, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.merge_of = dict(pairs)
-        # pairs by a hash with room to spare; slots that several pairs fall in send the search to the sorted pairs
+        # pairs by a hash with room to spare: in a slot its pair, whether it has more, and what the pair merges to; those more are in order
+        self.bits = size.bit_length()
         slot, where = np.unique(self._slot(self.pair), return_index=True)
-        self.slot_pair, self.slot_merged = np.full(1 << SLOT_BITS, -1), np.full(1 << SLOT_BITS, -1, np.int32)
-        self.slot_pair[slot], self.slot_merged[slot] = self.pair[where], self.merged[where]
-        self.crowded = np.zeros(1 << SLOT_BITS, bool)
-        self.crowded[np.flatnonzero(np.bincount(self._slot(self.pair), minlength=1 << SLOT_BITS) > 1)] = True
-        self.longest = max(map(len, names))
+        self.slots = np.full(1 << SLOT_BITS, -1 << self.bits + 1)
+        self.slots[slot] = (self.pair[where] << self.bits + 1) | self.merged[where]
+        more = np.ones(len(self.pair), bool)
+        more[where] = False
+        self.slots[self._slot(self.pair[more])] |= 1 << self.bits
+        self.more_pair, self.more_merged = self.pair[more], self.merged[more]
+        self.chars = np.ones(size, np.int64)
+        self.chars[list(names.values())] = list(map(len, names))
         spelled = [b""] * size
         for name, i in names.items():
             spelled[i] = name.replace(MARK, " ").encode()
@@ -78,14 +90,15 @@ class Pieces:
 
     def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair merges to, or -1."""
-        key = left * self.size + right
-        slot = self._slot(key)
-        same = self.slot_pair[slot] == key
-        out = np.where(same & (left >= 0) & (right >= 0), self.slot_merged[slot], -1).astype(np.int64)
-        rest = np.flatnonzero(self.crowded[slot] & ~same)
+        key = left.astype(np.int64) * self.size + right
+        found = self.slots[self._slot(key)]
+        same = found >> self.bits + 1 == key
+        out = np.where(same, found & (1 << self.bits) - 1, -1)
+        rest = np.flatnonzero((found & 1 << self.bits != 0) & ~same)
         if len(rest):
-            at = np.minimum(np.searchsorted(self.pair, key[rest]), len(self.pair) - 1)
-            out[rest] = np.where((self.pair[at] == key[rest]) & (left[rest] >= 0) & (right[rest] >= 0), self.merged[at], -1)
+            at = np.minimum(np.searchsorted(self.more_pair, key[rest]), len(self.more_pair) - 1)
+            out[rest] = np.where(self.more_pair[at] == key[rest], self.more_merged[at], -1)
+        out[(left < 0) | (right < 0)] = -1
         return out
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -100,28 +113,9 @@ def skipped(key: np.ndarray, place: np.ndarray, merged: np.ndarray, dropout: flo
     return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
 
 
-def candidates(pieces: Pieces, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, place, merged piece) of each candidate that an agenda can come to, whichever others are skipped; in order of words."""
-    room = np.repeat(np.cumsum(counts), counts) - np.arange(len(symbols))
-    spans = [np.zeros(0, np.int64), symbols.astype(np.int64)]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(2, pieces.longest + 1):
-        at = np.flatnonzero(room >= n)
-        if not len(at):
-            break
-        ids = np.full(len(symbols), -1)
-        for k in range(1, n):
-            at = at[ids[at] < 0]
-            both = at[(spans[k][at] >= 0) & (spans[n - k][at + k] >= 0)]
-            ids[both] = pieces.merges(spans[k][both], spans[n - k][both + k])
-        spans.append(ids)
-        own = np.flatnonzero(ids >= 0)
-        found.append((own, ids[own]))
-    at, merged = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    order = np.argsort(at, kind="stable")
-    at, merged = at[order], merged[order]
-    word = np.repeat(np.arange(len(counts)), counts)[at]
-    return word, at - (np.cumsum(counts) - counts)[word], merged
+def ragged(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ..., of each run of ``counts`` places."""
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
 def segment_one(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
@@ -168,84 +162,162 @@ def segment(pieces: Pieces, symbols: np.ndarray, counts: np.ndarray, keys: np.nd
         short = ~long_[word]
         word, place, symbols = word[short], place[short], symbols[short]
 
+    word, place, ids, _ = agendas(pieces, symbols, word, place, lambda w, at, m: skipped(keys[w], at, m, dropout))
+    done.append((word, place, ids))
+    word, place, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.lexsort((place, word))
+    return word[order], place[order], ids[order]
+
+
+Skip = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def agendas(pieces: Pieces, symbols: np.ndarray, word: np.ndarray, place: np.ndarray, skip: Skip | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """One merge of each word at a time: (word, first character, id) of each piece in no order, and the merges made, in turn, as words and
+    packed numbers. ``skip`` tells of words, places and merged pieces which are not to be taken."""
+
     def candidates(i: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Agenda keys of the pairs that start at symbols i; last tells where a word ends."""
         out, i_ = np.full(len(i), _NONE), np.flatnonzero(~last[i])
         at = i[i_]
         m = pieces.merges(ids[at], ids[at + 1])
         ok = np.flatnonzero(m >= 0)
-        ok = ok[~skipped(keys[word[at[ok]]], place[at[ok]], m[ok], dropout)]
-        out[i_[ok]] = (pieces.rank[m[ok]] << _PLACE) | place[at[ok]]
+        own = was[at[ok]]
+        if skip:
+            free = ~skip(words[own], places[own], m[ok])
+            ok, own = ok[free], own[free]
+        out[i_[ok]] = (pieces.rank[m[ok]] << _PLACE) | places[own]
         return out
 
-    ids = symbols.astype(np.int64)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    # a symbol knows its word and place by where it was
+    was, words, places = np.arange(len(symbols), dtype=np.int32), word, place
+    ids = symbols.astype(np.int32)
     last = np.ones(len(ids), bool)
     last[:-1] = word[1:] != word[:-1]
     agenda = candidates(np.arange(len(ids)), last)
     while len(ids):
         begin = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-        best = np.minimum.reduceat(agenda, begin)
-        over = best == _NONE
-        size = np.diff(np.append(begin, len(ids)))
-        if over.any():
-            stay = np.repeat(~over, size)
-            done.append((word[~stay], place[~stay], ids[~stay]))
-            word, place, ids, last, agenda = word[stay], place[stay], ids[stay], last[stay], agenda[stay]
-            if not len(ids):
-                break
-            best, size = best[~over], size[~over]
-        hit = np.flatnonzero(agenda == np.repeat(best, size))
+        best = np.repeat(np.minimum.reduceat(agenda, begin), np.diff(np.append(begin, len(ids))))
+        stay = best != _NONE
+        if not stay.all():
+            done.append((words[was[~stay]], places[was[~stay]], ids[~stay].astype(np.int64)))
+        hit = np.flatnonzero((agenda == best) & stay)
+        stay[hit + 1] = False
         ids[hit] = pieces.merges(ids[hit], ids[hit + 1])
+        made.append((words[was[hit]], (places[was[hit]] << PIECE_BITS) | ids[hit]))
         last[hit] = last[hit + 1]
-        stay = np.ones(len(ids), bool)
-        stay[hit + 1] = False
-        word, place, ids, last, agenda = word[stay], place[stay], ids[stay], last[stay], agenda[stay]
-        hit = hit - np.arange(len(hit))
+        hit = (np.cumsum(stay) - 1)[hit]
+        was, ids, last, agenda = was[stay], ids[stay], last[stay], agenda[stay]
         fresh = np.concatenate([hit, hit[(hit > 0) & ~last[np.maximum(hit - 1, 0)]] - 1])
         agenda[fresh] = candidates(fresh, last)
-    word, place, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-    order = np.lexsort((place, word))
-    return word[order], place[order], ids[order]
+    done.append((np.zeros(0, np.int64),) * 3)
+    return *(np.concatenate(x) for x in zip(*done, strict=True)), made
+
+
+def merges_made(pieces: Pieces, symbols: np.ndarray, counts: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed merges of each word's agenda in turn, how many a word has). barred has, in order, words above packed merges that are not to be taken."""
+
+    def skip(w: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+        want = (w << 32) | (at << PIECE_BITS) | m
+        return barred[np.minimum(np.searchsorted(barred, want), len(barred) - 1)] == want
+
+    word = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
+    *_, made = agendas(pieces, symbols, word, place, skip if len(barred) else None)
+    made.append((np.zeros(0, np.int64),) * 2)
+    word, merge = (np.concatenate(x) for x in zip(*made, strict=True))
+    return merge[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(counts))
+
+
+@dataclass
+class Spelled:
+    """Words as the code points of one behind the other, and how many each has."""
+
+    points: np.ndarray
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+
+@dataclass
+class Drawn:
+    """For each word the key of its own draws, and the merges that its agenda makes; a word with a count of -1 has an agenda to come."""
+
+    keys: np.ndarray
+    merges: np.ndarray
+    counts: np.ndarray
 
 
 class Codec:
     """Encodes and decodes slices of texts with one vocabulary, seed and dropout."""
 
     def __init__(self, path: str, seed: int, dropout: float):
-        self.pieces, self.seed, self.dropout, self.cache, self.met = Pieces(path), np.uint64(seed), dropout, WordCache(), WordCache()
+        self.pieces, self.seed, self.dropout, self.cache, self.met = Pieces(path), np.uint64(seed), dropout, WordCache(KEPT), WordCache(KEPT)
         self.stride = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
 
-    def _candidates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place and merged piece in turn, how many numbers a word has) of the words' candidates; words beyond LONG bytes have none."""
-        raw = [w.decode("utf-8", "replace") if len(w) <= LONG else "" for w in words]
-        points = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
-        word, place, merged = candidates(self.pieces, self.pieces.char[points], np.array([len(w) for w in raw], np.int64))
-        return np.stack([place, merged], axis=1).ravel(), 2 * np.bincount(word, minlength=len(words))
-
-    def _skips(self, word: np.ndarray, check: np.ndarray, own: np.ndarray, long_: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the set of candidates that each occurrence skips, given the words' hashes and the occurrences' keys; 0 for none."""
-        flat, counts = self.met.lookup(word, check, encode)
-        place, merged = flat[0::2].astype(np.uint64), flat[1::2]
-        at = np.repeat(np.arange(len(word)), counts // 2)
-        hit = np.flatnonzero(skipped(own[at], place, merged, self.dropout))
-        at, token = at[hit], T.mix((place[hit] << np.uint64(24)) + merged[hit])
-        sets = np.where(long_, own, np.uint64(0)), np.where(long_, T.mix(own), np.uint64(0))
-        if len(hit):
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            for x, t in zip(sets, (token, T.mix(token ^ self.stride)), strict=True):
-                x[at[first]] = np.add.reduceat(t, first)
-        return sets
-
-    def _words(self, words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _drawn(self, word: np.ndarray, check: np.ndarray, own: np.ndarray, short: np.ndarray, spelled: Callable[[np.ndarray], Spelled]) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], Drawn]]:
+        """Two hashes of each occurrence's word and barred candidates, and what has been drawn of occurrences; for the words' hashes, the
+        occurrences' keys, and the occurrences that are ``short``."""
+        key, second, at = np.where(short, word, own), np.where(short, check, T.mix(own)), np.flatnonzero(short)
+        begin, n = np.zeros(len(word), np.int64), np.where(short, 0, -1)
+        bars = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
+        made, made_n = [np.zeros(0, np.int64)], 0
+        barred_at, barred = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def agenda(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words, place = spelled(at[where]), np.full(len(word), -1)
+            place[at[where]] = np.arange(len(where))
+            mine = np.flatnonzero(place[barred_at] >= 0)
+            return merges_made(self.pieces, self.pieces.char[words.points], words.counts, np.sort((place[barred_at[mine]] << 32) | barred[mine]))
+
+        while len(at):
+            merges, counts = self.met.lookup(key[at], second[at], agenda)
+            merges = merges.astype(np.int64)
+            begin[at], n[at] = made_n + np.cumsum(counts) - counts, counts
+            made, made_n = [*made, merges], made_n + len(merges)
+            whose = np.repeat(at, counts)
+            hit = np.flatnonzero(skipped(own[whose], merges >> PIECE_BITS, merges & ((1 << PIECE_BITS) - 1), self.dropout))
+            if not len(hit):
+                break
+            # what is barred is not made again, so this ends
+            whose, merges = whose[hit], merges[hit]
+            barred_at, barred = np.concatenate([barred_at, whose]), np.concatenate([barred, merges])
+            first, token = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]])), T.mix(merges.astype(np.uint64) + np.uint64(1))
+            at = whose[first]
+            for x, t in zip(bars, (token, T.mix(token ^ self.stride)), strict=True):
+                x[at] += np.add.reduceat(t, first)
+            key[at], second[at] = T.mix(word[at] ^ bars[0][at]), check[at] ^ bars[1][at]
+        all_made = np.concatenate(made)
+        return key, second, lambda where: Drawn(own[where], all_made[ragged(begin[where], np.maximum(n[where], 0))], n[where])
+
+    def _words(self, words: Spelled, drawn: Drawn) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words in which a space is the mark; characters outside the vocabulary go as bytes."""
-        raw = [w.decode("utf-8", "replace") for w in words]
-        points = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
-        counts = np.array([len(w) for w in raw], np.int64)
-        word, place, ids = segment(self.pieces, self.pieces.char[points], counts, keys, self.dropout)
-        first = np.cumsum(counts) - counts
+        points, counts = words.points, words.counts
+        symbols, first = self.pieces.char[points], np.cumsum(counts) - counts
+        word = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(points)) - np.repeat(first, counts)
+        ids, n = symbols.copy(), np.maximum(drawn.counts, 0)
+        # of the merges that start at a character the last stays, and what they cover behind it goes
+        at, merged = np.repeat(first, n) + (drawn.merges >> PIECE_BITS), drawn.merges & ((1 << PIECE_BITS) - 1)
+        ids[at] = merged
+        inner = np.bincount(at + 1, minlength=len(ids) + 1) - np.bincount(at + self.pieces.chars[merged], minlength=len(ids) + 1)
+        todo = drawn.counts < 0
+        stay = (np.cumsum(inner[: len(ids)]) == 0) & ~todo[word]
+        parts = [(word[stay], place[stay], ids[stay])]
+        if todo.any():
+            which = np.flatnonzero(todo)
+            w, p, i = segment(self.pieces, symbols[todo[word]], counts[which], drawn.keys[which], self.dropout)
+            parts.append((which[w], p, i))
+        word, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.lexsort((place, word))
+            word, place, ids = word[order], place[order], ids[order]
         odd = np.flatnonzero(ids < 0)
         if len(odd):
-            spelled = [chr(int(points[first[word[k]] + place[k]])).encode() for k in odd]
+            spelled = [chr(x).encode() for x in points[first[word[odd]] + place[odd]].tolist()]
             size = np.ones(len(ids), np.int64)
             size[odd] = [len(x) for x in spelled]
             out = np.repeat(ids, size)
@@ -272,14 +344,12 @@ class Codec:
         within = np.arange(len(a)) - np.searchsorted(doc, doc)
         h1, h2 = T.span_hashes(data, a, b, 1), T.span_hashes(data, a, b, 2)
         key = T.mix(h1 ^ T.mix(np.full(len(a), self.seed)))
-        raw = data.tobytes()
-        spelled = lambda where: [raw[x:y] for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)]
-        own = key
+        own, second, spelled = key, h2, _speller(data, a, b)
+        drawn = lambda where: Drawn(own[where], np.zeros(0, np.int64), np.full(len(where), -1))
         if self.dropout > 0:
             own = T.mix(key ^ T.mix(doc_keys[doc] ^ T.mix(within.astype(np.uint64) + self.stride)))
-            skips, more = self._skips(key, h2, own, b - a > LONG, lambda where: self._candidates(spelled(where)))
-            key, h2 = np.where(skips > 0, T.mix(key ^ skips), key), h2 ^ more
-        ids, counts = self.cache.lookup(key, h2, lambda where: self._words(spelled(where), own[where]))
+            key, second, drawn = self._drawn(key, h2, own, b - a <= LONG, spelled)
+        ids, counts = self.cache.lookup(key, second, lambda where: self._words(spelled(where), drawn(where)))
         return ids.astype(np.int64), np.bincount(doc, weights=counts, minlength=s.n).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -293,6 +363,24 @@ class Codec:
         return [raw[a + 1 : b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _speller(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> Callable[[np.ndarray], Spelled]:
+    """Spells out some of the words that go from a to b."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+
+        def one_by_one(where: np.ndarray) -> Spelled:
+            words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)]
+            return Spelled(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.array([len(w) for w in words], np.int64))
+
+        return one_by_one
+    # characters begin at bytes that continue none
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    first, counts = before[a], before[b] - before[a]
+    return lambda where: Spelled(points[ragged(first[where], counts[where])], counts[where])
+
+
 _OPEN: dict[tuple[str, int, float], Codec] = {}
 
 

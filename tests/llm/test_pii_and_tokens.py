@@ -225,3 +225,16 @@ def test_dropout_is_drawn_for_each_occurrence(spark):
                 word = []
             word.append(i)
     assert len(forms) > 20
+
+
+def test_only_what_changes_an_agenda_makes_a_segmentation_of_its_own(monkeypatch):
+    # of one word's many occurrences few differ, and each has what its own draws give
+    texts = ["internationalization" + " internationalization" * 2999, "ünï 😀 ▁ab x\n\n" + "abcabc" * 300 + " ab"] * 2
+    s = next(text.slices(pa.array(texts, pa.large_string())))
+    keys = np.arange(len(texts)).astype(np.uint64)
+    codec, plain = (pieces.Codec(MODEL, 3, 0.1) for _ in range(2))
+    ids, counts = codec.encode(s, keys)
+    assert codec.cache.n < 2500  # of 6,000, nearly all of which skip something of their own
+    monkeypatch.setattr(plain, "_drawn", lambda word, check, own, short, spelled: (own, text.mix(own), lambda where: pieces.Drawn(own[where], np.zeros(0, np.int64), np.full(len(where), -1))))
+    one_by_one = plain.encode(s, keys)
+    assert one_by_one[0].tolist() == ids.tolist() and one_by_one[1].tolist() == counts.tolist()

@@ -38,6 +38,8 @@ MAX_PARTS = 200_000
 STRETCHES = 1_000_000
 #: Bytes of text encoded at a time.
 ENCODED = 1 << 20
+#: Words in a text that the tokenizer gets, and such texts at a time: in longer ones each word costs it more.
+LINES = 64
 _HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("n_out", "<u2")])
 
 
@@ -46,24 +48,32 @@ def _widths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _holder(width: int) -> np.dtype:
+    """The numbers of 16 or 32 bits that hold ``width`` bits."""
+    return np.dtype("<u2" if width <= 16 else "<u4")
+
+
 def write_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The blocks of a file and the place of each."""
     n = -(-len(ids) // BLOCK)
     if not n:
         return b"", np.zeros(0, np.uint64)
-    padded = np.concatenate([ids.astype(np.int64), np.full(n * BLOCK - len(ids), ids[-1], np.int64)]).reshape(n, BLOCK)
+    padded = np.concatenate([ids.astype(np.uint32), np.full(n * BLOCK - len(ids), ids[-1], np.uint32)]).reshape(n, BLOCK)
     least = padded.min(axis=1)
     over = padded - least[:, None]
-    width = np.sort(_widths(over), axis=1)[:, int(PERCENTILE * (BLOCK - 1))]
+    place = int(PERCENTILE * (BLOCK - 1))
+    width = _widths(np.partition(over, place, axis=1)[:, place])
     counts = np.full(n, BLOCK)
     counts[-1] = len(ids) - (n - 1) * BLOCK
     out: list[bytes] = [b""] * n
     for w in np.unique(width):  # blocks of one width are packed together
         rows = np.flatnonzero(width == w)
         part = over[rows]
-        outside = part >> int(w) > 0
-        low = (part & ((1 << int(w)) - 1)).astype(np.uint32)
-        bits = np.unpackbits(low.astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, : int(w)]
+        most = (1 << int(w)) - 1
+        outside = part > most
+        kind = _holder(int(w))
+        low = (part & np.uint32(most)).astype(kind)
+        bits = np.unpackbits(low.view(np.uint8).reshape(len(rows), BLOCK, kind.itemsize), axis=2, bitorder="little")[:, :, : int(w)]
         packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         for k, r in enumerate(rows.tolist()):
             at = np.flatnonzero(outside[k, : counts[r]])
@@ -87,10 +97,12 @@ def read_blocks(body: bytes, index: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero((head["width"] == w) & (counts == c))
         if w:
             packed = raw[(at[rows] + _HEAD.itemsize)[:, None] + np.arange(size[rows[0]])]
-            bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : c * w].reshape(len(rows), c, w)
-            whole = np.zeros((len(rows), c, 32), np.uint8)
-            whole[:, :, :w] = bits
-            out[rows, :c] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            # each value is in the few bytes from that of its first bit on
+            bit = w * np.arange(c)
+            value = np.zeros((len(rows), c), np.uint64 if w > 25 else np.uint32)
+            for k in range(-(-(w + 7) // 8)):
+                value |= packed[:, np.minimum((bit >> 3) + k, packed.shape[1] - 1)].astype(value.dtype) << value.dtype.type(8 * k)
+            out[rows, :c] = (value >> (bit & 7).astype(value.dtype)) & value.dtype.type((1 << w) - 1)
     for r in np.flatnonzero(head["n_out"]).tolist():
         k, p = int(head["n_out"][r]), int(at[r]) + _HEAD.itemsize + int(size[r])
         out[r, np.frombuffer(body, "<u2", k, p)] = np.frombuffer(body, "<u4", k, p + 2 * k)
@@ -177,11 +189,9 @@ class ByteBpe:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words without line feeds, encoded in lines."""
-        parts = []
-        for k in range(0, len(words), 4096):
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words[k : k + 4096]) + "\n"], add_special_tokens=False)[0].ids, np.uint32)
-            parts.append(ids)
+        """Ids of many words without line feeds, encoded as the lines of texts of LINES lines."""
+        texts = ["\n".join(words[k : k + LINES]) + "\n" for k in range(0, len(words), LINES)]
+        parts = [np.array(e, np.uint32) for k in range(0, len(texts), LINES) for e in self.whole(texts[k : k + LINES])]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         ends = np.flatnonzero(ids == self.feed[0])
         counts = np.diff(ends, prepend=-1) - 1

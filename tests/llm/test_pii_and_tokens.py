@@ -238,3 +238,14 @@ def test_only_what_changes_an_agenda_makes_a_segmentation_of_its_own(monkeypatch
     monkeypatch.setattr(plain, "_drawn", lambda word, check, own, short, spelled: (own, text.mix(own), lambda where: pieces.Drawn(own[where], np.zeros(0, np.int64), np.full(len(where), -1))))
     one_by_one = plain.encode(s, keys)
     assert one_by_one[0].tolist() == ids.tolist() and one_by_one[1].tolist() == counts.tolist()
+
+
+def test_words_go_to_the_tokenizer_in_short_texts(monkeypatch):
+    bpe = tokenfiles.ByteBpe(BPE)
+    words = [f" w{k}é" for k in range(1000)]
+    given, whole = [], bpe.whole
+    monkeypatch.setattr(bpe, "whole", lambda texts: (given.extend(texts), whole(texts))[1])
+    ids, counts = bpe._words(words)
+    alone = whole(words)
+    assert counts.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+    assert max(x.count("\n") for x in given) <= tokenfiles.LINES < len(given) * tokenfiles.LINES

@@ -8,7 +8,7 @@ texts one counts. So an expression that a class has seen in DISCOUNT texts or le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,10 @@ BITMAP_TEXTS = 4_000_000
 FEW = 200_000
 #: Numbers of edges likewise, which are one long each; the labelled sample bounds them.
 EDGES = 2_000_000
+#: Bits of the cells in which expressions of the labelled texts are counted first, at least and at most, and the stripes that cells are dealt to.
+CELL_BITS, STRIPES = (16, 26), 16
+#: Stands for all children of a parent that no class has often enough for evidence.
+REST = np.uint64(0x7C15D3A96E8B24F0)
 #: Stands for the parts of a text that rows of several parts have: no model leaves all of these out.
 SEVERAL = 5
 
@@ -90,8 +94,8 @@ def _summed(cls: np.ndarray, parent: np.ndarray, child: np.ndarray, n: np.ndarra
     return cls[at], parent[at], child[at], np.add.reduceat(n[order], first)
 
 
-def _count(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[pa.RecordBatch]:
-    """Documents by class and expression, summed within a task."""
+def _count(batches: Iterator[pa.RecordBatch], pairs: bool = False, named: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Documents by class and expression, summed within a task; ``named`` gives what children are counted as."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> pa.RecordBatch:
@@ -103,6 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[p
         cls = batch.column("cls").to_numpy(zero_copy_only=False)
         for s in T.slices(_lower(batch.column("text"))):
             doc, parent, child = _document_counts(s, pairs)
+            child = named(parent, child) if named else child
             held.append(_summed(cls[s.first + doc], parent, child, np.ones(len(doc), np.int64)))
         if sum(len(h[0]) for h in held) > 2 * HELD:
             yield out()
@@ -110,8 +115,55 @@ def _count(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[p
         yield out()
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _count(batches, True)
+def _cell(parent: np.ndarray, child: np.ndarray, y: np.ndarray | int, bits: int) -> np.ndarray:
+    """The cell of an expression of a class."""
+    return (T.mix(T.mix(child ^ T.mix(parent)) + np.asarray(y, np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _often(labelled: DataFrame, discount: int, bits: int) -> np.ndarray:
+    """Which cells (a bit each) have more than ``discount`` expressions of the labelled rows. Rows with equal texts count each: an expression
+    of whose cells none is among these is in ``discount`` texts of a class or less."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(1 << bits, np.uint8), []
+
+        def add() -> None:
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            total[cell] = np.minimum(total[cell] + n, 255)
+            held.clear()
+
+        for batch in batches:
+            cls = batch.column("cls").to_numpy(zero_copy_only=False)
+            for s in T.slices(_lower(batch.column("text"))):
+                doc, parent, child = _document_counts(s, True)
+                held.append(_cell(parent, child, cls[s.first + doc], bits))
+            if sum(map(len, held)) > 2 * HELD:
+                add()
+        if held:
+            add()
+        rows = [(k, pa.compress(x.tobytes(), "zstd", asbytes=True)) for k, x in enumerate(np.split(total, STRIPES))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["stripe", "cells"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        size = (1 << bits) // STRIPES
+        total = np.zeros(size, np.uint16)
+        for body in t["cells"]:
+            total = np.minimum(total + np.frombuffer(pa.decompress(body.as_py(), size, "zstd"), np.uint8), 255)
+        return pa.table([pa.array([t["stripe"][0].as_py()], pa.int32()), pa.array([np.packbits(total > discount).tobytes()], pa.binary())], names=["stripe", "cells"])
+
+    form = "stripe int, cells binary"
+    found = labelled.select("cls", "text").mapInArrow(count, form).groupBy("stripe").applyInArrow(merge, form).collect()
+    parts = {r["stripe"]: r["cells"] for r in found}
+    return np.frombuffer(b"".join(bytes(parts.get(k, bytes((1 << bits) // STRIPES // 8))) for k in range(STRIPES)), np.uint8)
+
+
+def _with_rest(often: np.ndarray, bits: int, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The children, REST for those that can't be evident."""
+    few = np.ones(len(child), bool)
+    for y in (0, 1):
+        cell = _cell(parent, child, y, bits)
+        few &= often[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 0
+    return np.where(few, REST, child)
 
 
 class Model:
@@ -193,10 +245,15 @@ def _fit(labelled: DataFrame, docs: DataFrame, discount: int) -> list[Model]:
     part = F.when(F.min("part") == F.max("part"), F.min("part")).otherwise(SEVERAL)
     cells = labelled.groupBy("text", "cls").agg(part.alias("part")).select("text", (F.col("cls") + 2 * F.col("part")).cast("int").alias("cls"))
     n = {(y, k): F.sum(F.when((F.col("cls") % 2 == y) & (F.col("cls") != y + 2 * k), F.col("n")).otherwise(0)) for y in (0, 1) for k in FOLDS}
-    per_class = cells.mapInArrow(_count_pairs, COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()])
-    sums = [x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.least(f"n{y}_{k}", F.lit(discount))).alias(f"left{y}_{k}"))]
+    # what can't be evident is told by a first count in cells, and is counted by its parent alone: discounting leaves all of it
+    size = labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(int(size // 8).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    often = labelled.sparkSession.sparkContext.broadcast(_often(labelled, discount, bits))
+    rest = F.col("child") == int(REST.astype(np.int64))
+    per_class = cells.mapInArrow(lambda batches: _count(batches, True, lambda parent, child: _with_rest(often.value, bits, parent, child)), COUNTS).groupBy("parent", "child").agg(*[x.alias(f"n{y}_{k}") for (y, k), x in n.items()])
+    sums = [x for y, k in n for x in (F.sum(f"n{y}_{k}").alias(f"all{y}_{k}"), F.sum(F.when(rest, F.col(f"n{y}_{k}")).otherwise(F.least(f"n{y}_{k}", F.lit(discount)))).alias(f"left{y}_{k}"))]
     # of a parent's children only those with evidence are kept, which are few; the sums have the others
-    child = F.when(F.greatest("n0_0", "n1_0") > discount, F.struct("child", *[f"n{y}_{k}" for y, k in n]))
+    child = F.when(~rest & (F.greatest("n0_0", "n1_0") > discount), F.struct("child", *[f"n{y}_{k}" for y, k in n]))
     per_class = staged(per_class.groupBy("parent").agg(*sums, F.collect_list(child).alias("evident")), "class-counts")
     parents = per_class.drop("evident")
     pair = F.col("parent").bitwiseAND(1) == 1

@@ -7,8 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import cases
+import numpy as np
+import pyarrow as pa
 import pytest
 from geolattice.llm import decontamination, jaccard, quality, sharding, substrings, suffixes, toxicity
+from geolattice.llm import text as T
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -323,3 +326,16 @@ def test_toxicity_counts_different_texts(spark):
     # each class counts what rows outside the part left out have; all texts are counted once
     counted = Counter(r["text"] for r in rows(toxicity._texts(copies.unionByName(copies.selectExpr("null as text", "0 as cls", "1 as part")))))
     assert counted == Counter({r["text"] for r in rows(copies)})
+
+
+def test_only_expressions_that_may_be_evident_are_counted_one_by_one(spark):
+    # 400 texts of words of their own, and a phrase that four of class 1 have
+    texts = [(" ".join(f"w{k}x{i}" for i in range(30)) + (" same old phrase" if k < 4 else ""), int(k < 4), 1 + k % 4) for k in range(400)]
+    labelled = spark.createDataFrame(texts, "text string, cls int, part int")
+    often = toxicity._often(labelled, 3, 20)
+    s = next(iter(T.slices(pa.array([t[0] for t in texts]))))
+    doc, parent, child = toxicity._document_counts(s, True)
+    named = toxicity._with_rest(often, 20, parent, child)
+    count = Counter(zip((doc < 4).tolist(), parent.tolist(), child.tolist(), strict=True))
+    evident = np.array([count[d, p, c] > 3 for d, p, c in zip((doc < 4).tolist(), parent.tolist(), child.tolist(), strict=True)])
+    assert evident.any() and (named == child)[evident].all() and (named == toxicity.REST).mean() > 0.8

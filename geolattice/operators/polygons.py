@@ -27,16 +27,24 @@ def scanline_mask(polygon_edges: DataFrame, width: int, height: int) -> DataFram
     return spans.select("poly", "r", F.explode(F.sequence("c0", "c1")).alias("c")).distinct()
 
 
-def points_in_polygons(points: DataFrame, polygon_edges: DataFrame, bucket: float = 1.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygon_edges: DataFrame, bucket: float = 1.0, wide: float | None = None) -> DataFrame:
     """(id, poly) of each point (id, x, y) and the polygons around it, by the parity of crossings to its right.
 
-    Points and edges meet in strips of y, so a point is compared with the edges of its strip alone.
+    Points and edges meet in strips of y, so a point is compared with the edges of its strip alone; with ``wide``, about a polygon's width,
+    strips are cut across too, and a polygon's edges are in the parts from its left end on. Both sides are dealt by strip, as neither's
+    size is known before its rows are made.
     """
     strip = lambda y: F.floor(y / bucket)
-    cut = polygon_edges.filter("y0 <> y1").withColumn("strip", F.explode(F.sequence(strip(F.least("y0", "y1")), strip(F.greatest("y0", "y1")))))
-    met = points.withColumn("strip", strip(F.col("y"))).join(cut, "strip")
+    at = ["strip"]
+    cut, asked = polygon_edges.filter("y0 <> y1"), points.withColumn("strip", strip(F.col("y")))
+    if wide:
+        at.append("part")
+        cut = cut.withColumn("__left", F.min(F.least("x0", "x1")).over(Window.partitionBy("poly"))).withColumn("part", F.explode(F.sequence(F.floor(F.col("__left") / wide), F.floor(F.greatest("x0", "x1") / wide)))).drop("__left")
+        asked = asked.withColumn("part", F.floor(F.col("x") / wide))
+    cut = cut.withColumn("strip", F.explode(F.sequence(strip(F.least("y0", "y1")), strip(F.greatest("y0", "y1")))))
+    met = asked.join(cut.hint("merge"), at)
     crosses = ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
-    return met.groupBy("id", "poly").agg(F.sum(crosses.cast("int")).alias("n")).filter("n % 2 = 1").select("id", "poly")
+    return met.filter(crosses).groupBy("id", "poly").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("id", "poly")
 
 
 def first_containing(points: DataFrame, polygon_edges: DataFrame, bucket: float = 1.0) -> DataFrame:

@@ -43,7 +43,7 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """(a, b, left, right, base): polygons whose boxes meet, the x that both have, and a y below both.
 
     A pair is found in every cell that both boxes touch and kept in the first of them alone. ``cell`` should be about the size of the
-    smaller polygons' boxes.
+    smaller polygons' boxes. The join is a merge: rows that explode makes aren't in the sizes by which Spark would broadcast a side.
     """
 
     def spread(edges: DataFrame, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
         return own.withColumn("i", F.explode(_cells(F.col(f"{name}_left"), F.col(f"{name}_right"), cell))).withColumn("j", F.explode(_cells(F.col(f"{name}_low"), F.col(f"{name}_high"), cell)))
 
     left, low = F.greatest("a_left", "b_left"), F.greatest("a_low", "b_low")
-    met = spread(a, "a").join(spread(b, "b"), ["i", "j"]).filter((left < F.least("a_right", "b_right")) & (low < F.least("a_high", "b_high")))
+    met = spread(a, "a").join(spread(b, "b").hint("merge"), ["i", "j"]).filter((left < F.least("a_right", "b_right")) & (low < F.least("a_high", "b_high")))
     met = met.filter((F.col("i") == F.floor(left / cell)) & (F.col("j") == F.floor(low / cell)))
     return met.select("a", "b", left.alias("left"), F.least("a_right", "b_right").alias("right"), F.least("a_low", "b_low").alias("base"))
 
@@ -65,14 +65,14 @@ def intersection_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     pairs = box_pairs(a, b, cell)
 
     def pieces(edges: DataFrame, name: str) -> DataFrame:
-        own = pairs.join(edges.withColumnRenamed("poly", name), name)
+        own = pairs.join(edges.withColumnRenamed("poly", name).hint("merge"), name)
         l, r = F.greatest(F.least("x0", "x1"), "left"), F.least(F.greatest("x0", "x1"), "right")
         own = own.withColumns({"__l": l, "__r": r}).filter("__l < __r").withColumn("s", F.explode(_cells(F.col("__l"), F.col("__r"), cell)))
         l, r = F.greatest("__l", F.col("s") * cell), F.least("__r", (F.col("s") + 1) * cell)
         slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
         return own.select("a", "b", "s", l.alias(f"{name}l"), r.alias(f"{name}r"), slope.alias(f"{name}k"), (F.col("y0") - F.col("base") - F.col("x0") * slope).alias(f"{name}c"), F.signum(F.col("x0") - F.col("x1")).alias(f"{name}s")).filter(f"{name}l < {name}r")
 
-    met = pieces(a, "a").join(pieces(b, "b"), ["a", "b", "s"]).withColumns({"l": F.greatest("al", "bl"), "r": F.least("ar", "br")}).filter("l < r")
+    met = pieces(a, "a").join(pieces(b, "b").hint("merge"), ["a", "b", "s"]).withColumns({"l": F.greatest("al", "bl"), "r": F.least("ar", "br")}).filter("l < r")
     at = lambda n, x: F.col(f"{n}c") + F.col(f"{n}k") * F.col(x)
     al, ar, bl, br = at("a", "l"), at("a", "r"), at("b", "l"), at("b", "r")
     width, d0, d1 = F.col("r") - F.col("l"), al - bl, ar - br
@@ -87,8 +87,8 @@ def shares(a: DataFrame, shared: DataFrame, outside) -> DataFrame:
     """(a, b, area, share) with a row ``outside`` for what each polygon of ``a`` has outside all of b; polygons of b mustn't overlap each other."""
     own = areas(a).select(F.col("poly").alias("a"), F.col("area").alias("__own"))
     inside = shared.groupBy("a").agg(F.sum("area").alias("__in"))
-    rest = own.join(inside, "a", "left").select("a", F.lit(outside).alias("b"), F.greatest(F.col("__own") - F.coalesce("__in", F.lit(0.0)), F.lit(0.0)).alias("area"))
-    return shared.select("a", "b", "area").unionByName(rest).join(own, "a").select("a", "b", "area", (F.col("area") / F.col("__own")).alias("share"))
+    rest = own.join(inside.hint("merge"), "a", "left").select("a", F.lit(outside).alias("b"), F.greatest(F.col("__own") - F.coalesce("__in", F.lit(0.0)), F.lit(0.0)).alias("area"))
+    return shared.select("a", "b", "area").unionByName(rest).join(own.hint("merge"), "a").select("a", "b", "area", (F.col("area") / F.col("__own")).alias("share"))
 
 
 def _crossings(edges: DataFrame, cell: float) -> DataFrame:

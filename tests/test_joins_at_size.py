@@ -6,7 +6,7 @@ from geolattice.plans import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["square_lattice", "overlay_shares", "overlay_difference", "hexagon_overlay"])
+@pytest.mark.parametrize("name", ["square_lattice", "overlay_shares", "overlay_difference", "hexagon_overlay", "value_by_sector"])
 def test_no_exploded_side_is_broadcast(name, spark):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -20,14 +20,15 @@ def drawn_shares(strata: DataFrame, draws: int, seed: int = 0) -> DataFrame:
 def kept_words(things: DataFrame, shares: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """(thing, word, bits): in which draws each thing (thing, stratum, known boolean or null) is kept: in all or none if known, else by its stratum's share.
 
-    Unknown things of strata that weren't reviewed are in none.
+    Unknown things of strata that weren't reviewed are in none. Unknown things are dealt out by number: they are small rows with many draws each.
     """
     every = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // WORD)))
     always = things.filter("known").select("thing", every.alias("word"), F.lit(-1).cast("long").alias("bits"))
     words = shares.groupBy("stratum", F.floor(F.col("draw") / WORD).cast("int").alias("word")).agg(F.collect_list(F.struct("draw", "share")).alias("s"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda x: F.when(uniform(F.lit(seed), F.lit("keep"), x["draw"], F.col("thing")) < x["share"], F.call_function("shiftleft", one, (x["draw"] % WORD).cast("int"))).otherwise(none)
-    drawn = things.filter("known is null").join(words, "stratum").select("thing", "word", F.aggregate("s", none, lambda bits, x: bits.bitwiseOR(bit(x))).alias("bits"))
+    n = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = things.filter("known is null").repartition(n, "thing").join(F.broadcast(words), "stratum").select("thing", "word", F.aggregate("s", none, lambda bits, x: bits.bitwiseOR(bit(x))).alias("bits"))
     return always.unionByName(drawn.filter("bits <> 0"))
 
 

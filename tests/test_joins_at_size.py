@@ -1,7 +1,8 @@
 """Joins of rows that explode makes: their sizes aren't known when Spark plans, so none of them may be sent whole through the driver."""
 
 import pytest
-from geolattice.plans import QUERIES
+from geolattice.plans import QUERIES, iterative
+from geolattice.session import saved
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -10,3 +11,14 @@ FOLDER = "/root/testdata/sf0.001"
 def test_no_exploded_side_is_broadcast(name, spark):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_corrected_access_makes_no_pairs(spark, tmp_path, monkeypatch):
+    # all keys fall into one cell: 60 parks, some of them known, and 300 people
+    step, kept = 10007 * 10009, []
+    spark.createDataFrame([(k * step, k % 5, 9000.0) for k in range(60)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k * step,) for k in range(300)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(iterative, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    got = QUERIES["corrected_access"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("high", 1.0, 1.0, 1.0), ("low", 1.0, 1.0, 1.0)]
+    assert max(df.count() for df in kept) <= 5 * 2000 < 60 * 300

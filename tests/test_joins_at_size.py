@@ -1,6 +1,7 @@
 """Joins of rows that explode makes: their sizes aren't known when Spark plans, so none of them may be sent whole through the driver."""
 
 import pytest
+from geolattice.operators import quadtree as Q
 from geolattice.plans import QUERIES, iterative
 from geolattice.session import saved
 
@@ -22,3 +23,9 @@ def test_corrected_access_makes_no_pairs(spark, tmp_path, monkeypatch):
     got = QUERIES["corrected_access"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("high", 1.0, 1.0, 1.0), ("low", 1.0, 1.0, 1.0)]
     assert max(df.count() for df in kept) <= 5 * 2000 < 60 * 300
+
+
+def test_lines_equal_to_nine_places_go_by_their_number(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    lines = spark.createDataFrame([(1, -5.0, 1.0 + 1e-12, 5.0, 1.0 + 1e-12), (2, -5.0, 1.0, 5.0, 1.0)], "line long, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.line, round(r.d, 9)) for r in Q.nearest_line(points, lines, saved).collect()] == [(1, 1.0)]

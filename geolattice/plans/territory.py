@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from geolattice.functions import radiometry as R
 from geolattice.functions.order_stats import spearman, terciles, with_average_rank
 from geolattice.operators import dates as D
+from geolattice.operators import quadtree as Q
 from geolattice.operators import territory as T
 from geolattice.operators.polygons import hexagon
 from geolattice.plans.fixtures import SCENES, scenes
 from geolattice.plans.registry import query
-from geolattice.session import table
+from geolattice.session import saved, table
 from geolattice.sources.reports import legend_json, measurements
 from geolattice.streaming.monitor import daily
 
@@ -152,7 +153,7 @@ _POINTS = "p as (select c_custkey as id, (c_custkey * 7919 % 10007) / 10.0 as x,
 def nearest_place(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "customer").selectExpr("c_custkey as id", "(c_custkey * 7919 % 10007) / 10.0D as x", "(c_custkey * 104729 % 10009) / 10.0D as y")
     q = table(spark, folder, "supplier").selectExpr("s_suppkey as place", "(s_suppkey * 7907 % 10007) / 10.0D as px", "(s_suppkey * 6101 % 10009) / 10.0D as py")
-    return T.nearest(p, q, 100.0).withColumn("d", F.round("d", 6))
+    return Q.nearest_place(p, q, saved).filter("d <= 100").withColumn("d", F.round("d", 6))
 
 
 @query(f"""with {_POINTS}, a as (select id, (sqrt(3) / 3 * x - y / 3) / 50 as q, (2.0 / 3 * y) / 50 as r from p), b as (select id, q, r, -q - r as s, floor(q + 0.5) as rq, floor(r + 0.5) as rr, floor(-q - r + 0.5) as rs from a),

@@ -29,3 +29,9 @@ def test_lines_equal_to_nine_places_go_by_their_number(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
     lines = spark.createDataFrame([(1, -5.0, 1.0 + 1e-12, 5.0, 1.0 + 1e-12), (2, -5.0, 1.0, 5.0, 1.0)], "line long, x0 double, y0 double, x1 double, y1 double")
     assert [(r.line, round(r.d, 9)) for r in Q.nearest_line(points, lines, saved).collect()] == [(1, 1.0)]
+
+
+def test_nearest_place_goes_by_leaves(spark):
+    # by cells of 100, each place was in nine of them and each point met all places of its cell
+    plan = QUERIES["nearest_place"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "leaf" in plan and "__i" in plan and "FLOOR((px" not in plan

@@ -35,3 +35,18 @@ def test_nearest_place_goes_by_leaves(spark):
     # by cells of 100, each place was in nine of them and each point met all places of its cell
     plan = QUERIES["nearest_place"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "leaf" in plan and "__i" in plan and "FLOOR((px" not in plan
+
+
+def test_boxes_meet_leaves_by_key_alone(spark):
+    # a condition beside the key would be asked for every leaf below each larger cell
+    points = spark.range(300).selectExpr("id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 97 as double) as y")
+    tree = Q.build([points.select("x", "y")], saved, rows=4)
+    met = Q.meeting(tree, points.selectExpr("id", "x - 3 as qx0", "x + 3 as qx1", "y - 3 as qy0", "y + 3 as qy1"))
+    joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert len(joins) == 2 and not any(" OR " in line for line in joins)
+    boxes, leaves = points.collect(), tree.leaves.collect()
+    want = {(p.id, q.leaf) for p in boxes for q in leaves if p.x - 3 <= q.hx and p.x + 3 >= q.lx and p.y - 3 <= q.hy and p.y + 3 >= q.ly}
+    got = [(r.id, r.leaf) for r in met.collect()]
+    assert len(got) == len(set(got)) and set(got) <= want
+    inner = {(p.id, q.leaf) for p in boxes for q in leaves if p.x - 3 < q.hx and p.x + 3 > q.lx and p.y - 3 < q.hy and p.y + 3 > q.ly}
+    assert inner <= set(got)
